@@ -1,0 +1,9 @@
+"""Queries of the search, alignment, template and curation operators."""
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
