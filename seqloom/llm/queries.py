@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import formatting
+from seqloom.llm import formatting, leaks, mixture
+from seqloom.session import materialize
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -25,6 +26,38 @@ def p4_ledger(spark: SparkSession, d: str) -> DataFrame:
     return ledger.table().select(F.col("first_id").alias("first_record_id"), "first_seen", "copies")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold 13 consecutive words of an item: the hits within one word edit, kept where exact."""
+    hits = leaks.leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
+    return hits.filter(F.col("n_passages") > 0).select("doc_id", "item_id")
+
+
+def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """All hits within two word edits, with the best distance and the number of passages held unchanged."""
+    return leaks.leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items"), budget=2)
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, list[dict]]:
+    sized = materialize(mixture.with_tokens(_t(spark, d, "documents"), "text").select("doc_id", "source", "n_tokens"), "tokens")
+    return sized, mixture.plan_mix(sized, _t(spark, d, "mix_targets"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sources that cannot reach their target share even at max_repeats uses of everything."""
+    sized, plan = _mix(spark, d)
+    return mixture.mix_report(sized, plan).filter("falls_short").select("source")
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return mixture.mix_report(*_mix(spark, d))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mix, shuffled."""
+    return mixture.mix(*_mix(spark, d))
+
+
 _SAID = r"""
     WITH bare AS (SELECT record_id, seen_at, regexp_replace(line, '(?i)deletion_matrix|sequences', '|', 'g') AS b FROM msa_raw WHERE line IS NOT NULL),
     said AS (SELECT record_id, seen_at, translate(regexp_replace(upper(b), '[^A-Z.\-]', '', 'g'), '.', '-') || '|' ||
@@ -32,7 +65,7 @@ _SAID = r"""
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_ledger": p4_ledger}
+    return {"p4_found": p4_found, "p4_ledger": p4_ledger, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -41,4 +74,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT f AS first_record_id, record_id FROM (SELECT record_id, min(record_id) OVER (PARTITION BY said) AS f FROM said) WHERE f <> record_id""",
         "p4_ledger": _SAID + """
             SELECT min(record_id) AS first_record_id, min(seen_at) AS first_seen, count(*) AS copies FROM said GROUP BY said""",
+        "p6_found": r"""
+            WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+            runs AS (SELECT item_id, array_to_string(w[i:i+12], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS i FROM iw WHERE len(w) >= 13)),
+            own AS (SELECT run, min(item_id) AS item_id FROM runs GROUP BY run HAVING count(DISTINCT item_id) = 1),
+            dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+            druns AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+12], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM dw WHERE len(w) >= 13))
+            SELECT DISTINCT doc_id, item_id FROM druns JOIN own USING (run)""",
     }
