@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import formatting, leaks, mixture
+from seqloom.llm import formatting, leaks, mixture, related
 from seqloom.session import materialize
 
 
@@ -13,6 +13,22 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p2_row_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The group of every alignment row."""
+    return related.row_groups(_t(spark, d, "msa_rows")).select("row_id", "msa_id", "group_id")
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Size and most typical rows of every group."""
+    return related.group_summary(materialize(related.row_groups(_t(spark, d, "msa_rows")), "rows"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that are related to a row with a smaller row_id, directly or through others."""
+    groups = p2_row_groups(spark, d)
+    return groups.filter(F.col("group_id") != F.col("row_id")).select(F.col("group_id").alias("first_row_id"), "row_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Records that repeat an earlier one in another spelling, with the smallest record_id of their copies."""
     ledger, keyed = formatting.ledger_of(_t(spark, d, "msa_raw"), "line", "record_id", "seen_at", "loaded_at")
@@ -65,7 +81,7 @@ _SAID = r"""
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_ledger": p4_ledger, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix}
+    return {"p2_found": p2_found, "p2_row_groups": p2_row_groups, "p2_groups": p2_groups, "p4_found": p4_found, "p4_ledger": p4_ledger, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix}
 
 
 def oracle_sql() -> dict[str, str]:
