@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import formatting, leaks, mixture, related
+from seqloom.llm import formatting, leaks, mixture, near_duplicates, related, subsets
 from seqloom.session import materialize
 
 
@@ -29,6 +29,19 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.filter(F.col("group_id") != F.col("row_id")).select(F.col("group_id").alias("first_row_id"), "row_id")
 
 
+def p3_subsets(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen rows of every requested alignment."""
+    requests = _t(spark, d, "subset_requests")
+    rows = _t(spark, d, "msa_rows").join(requests.select("msa_id"), "msa_id", "left_semi").select("row_id", "msa_id", "seq")
+    groups = related.row_groups(rows).select("row_id", "group_id", "n_gaps")
+    return subsets.choose(materialize(rows.join(groups, "row_id"), "grouped"), requests)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Chosen rows that are a group of their own: no good subset can do without them."""
+    return p3_subsets(spark, d).filter("group_rows = 1").select("row_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Records that repeat an earlier one in another spelling, with the smallest record_id of their copies."""
     ledger, keyed = formatting.ledger_of(_t(spark, d, "msa_raw"), "line", "record_id", "seen_at", "loaded_at")
@@ -42,6 +55,21 @@ def p4_ledger(spark: SparkSession, d: str) -> DataFrame:
     return ledger.table().select(F.col("first_id").alias("first_record_id"), "first_seen", "copies")
 
 
+_TEXTS = {"chains": ("chain_id", "full_seq"), "msa_rows": ("row_id", "seq")}
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of rows of one table whose 5-letter substrings agree to 60 % and whose letters are not identical."""
+    parts = [near_duplicates.near_duplicates(_t(spark, d, t), *cols).select(F.lit(t).alias("tbl"), "id_a", "id_b") for t, cols in _TEXTS.items()]
+    return parts[0].unionAll(parts[1])
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Class, group and number of links of every row of both tables."""
+    parts = [near_duplicates.duplicate_groups(_t(spark, d, t), *cols).withColumn("tbl", F.lit(t)) for t, cols in _TEXTS.items()]
+    return parts[0].unionAll(parts[1])
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold 13 consecutive words of an item: the hits within one word edit, kept where exact."""
     hits = leaks.leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
@@ -81,7 +109,7 @@ _SAID = r"""
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_row_groups": p2_row_groups, "p2_groups": p2_groups, "p4_found": p4_found, "p4_ledger": p4_ledger, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix}
+    return {"p2_found": p2_found, "p2_row_groups": p2_row_groups, "p2_groups": p2_groups, "p3_found": p3_found, "p3_subsets": p3_subsets, "p4_found": p4_found, "p4_ledger": p4_ledger, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix}
 
 
 def oracle_sql() -> dict[str, str]:
