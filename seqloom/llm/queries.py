@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import formatting, leaks, mixture, near_duplicates, related, subsets
+from seqloom.llm import formatting, keyword_pages, leaks, mixture, near_duplicates, related, subsets
 from seqloom.session import materialize
 
 
@@ -102,6 +102,16 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mix(*_mix(spark, d))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of which more than half the words stand among keywords, links or tags."""
+    return keyword_pages.keyword_share(_t(spark, d, "documents")).filter("is_keyword_page").select("doc_id")
+
+
+def p8_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The measures of every document."""
+    return keyword_pages.keyword_share(_t(spark, d, "documents"))
+
+
 _SAID = r"""
     WITH bare AS (SELECT record_id, seen_at, regexp_replace(line, '(?i)deletion_matrix|sequences', '|', 'g') AS b FROM msa_raw WHERE line IS NOT NULL),
     said AS (SELECT record_id, seen_at, translate(regexp_replace(upper(b), '[^A-Z.\-]', '', 'g'), '.', '-') || '|' ||
@@ -109,7 +119,7 @@ _SAID = r"""
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_row_groups": p2_row_groups, "p2_groups": p2_groups, "p3_found": p3_found, "p3_subsets": p3_subsets, "p4_found": p4_found, "p4_ledger": p4_ledger, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix}
+    return {"p2_found": p2_found, "p2_row_groups": p2_row_groups, "p2_groups": p2_groups, "p3_found": p3_found, "p3_subsets": p3_subsets, "p4_found": p4_found, "p4_ledger": p4_ledger, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix, "p8_found": p8_found, "p8_pages": p8_pages}
 
 
 def oracle_sql() -> dict[str, str]:
