@@ -28,7 +28,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     empty table gives an empty result. Each round halves the depth of the trees or better; nothing but two sums a
     round goes to the driver.
     """
-    now = materialize(edges.select("u", "v").filter("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct(), "edges")
+    now = materialize(edges.select("u", "v").filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     for _ in range(max_rounds):
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
