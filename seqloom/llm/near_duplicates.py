@@ -2,10 +2,11 @@
 
 All tokens (substrings of ``K`` letters) are ordered from rare to frequent. Two sets with Jaccard similarity >= t have a
 common token among the first n - ceil(t n) + 1 of one and the first n - ceil(2t/(1+t) n) + 1 of the other, smaller one. Here the
-prefixes are longer by ``classes``, so that they must share classes + 1 tokens; tokens are dealt into that many
-classes by a hash, so at least one class holds two shared tokens (pigeonhole). Each class is one join task and only
-pairs that meet twice in it leave the task: a single rare token that two strangers share by chance doesn't make a
-candidate, which is what keeps the candidates few as the collection grows and its 5-letter substrings all get used.
+prefixes are longer by CLASSES * (MEET - 1), so that they must share CLASSES * (MEET - 1) + 1 tokens; tokens are dealt
+into CLASSES classes by a hash, so at least one class holds MEET shared tokens (pigeonhole). Each class is joined by
+itself and only pairs that meet MEET times in it leave the task: a rare token or two that strangers share by chance
+don't make a candidate, which is what keeps candidates few as the collection grows and its 5-letter substrings all get
+used. A class's probes are split over several tasks when there are many.
 
 Steps: (1) a sketch of token frequencies (fixed size) gives the order; any order is correct, a good one is fast.
 (2) Sequences with the same prefix and size are collapsed into one group, copies into one class; groups are written
@@ -29,6 +30,12 @@ from seqloom.session import materialize
 K = 5
 #: Size of the frequency sketch: 2**SKETCH_BITS counters in SKETCH_BLOCKS blocks.
 SKETCH_BITS, SKETCH_BLOCKS = 20, 16
+#: Token classes, and the shared tokens in one class that make a candidate.
+CLASSES, MEET = 6, 3
+#: Sets too small to share that many tokens meet in classes of their own, where one shared token makes a candidate.
+SMALL_CLASSES = 8
+#: Sequences whose probes one join task takes.
+PROBES_A_TASK = 2_000_000
 
 
 def token_table(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +121,11 @@ class Ranked:
         self.start = np.concatenate([[0], np.cumsum(self.size)])
 
 
-def prefix_lengths(size: np.ndarray, num: int, den: int, extra: int) -> tuple[np.ndarray, np.ndarray]:
+def is_small(size: np.ndarray, num: int, den: int) -> np.ndarray:
+    return -(-size * num // den) < CLASSES * (MEET - 1) + 1
+
+
+def prefix_lengths(size: np.ndarray, num: int, den: int, extra: int = CLASSES * (MEET - 1)) -> tuple[np.ndarray, np.ndarray]:
     """(probe, index) prefix lengths for Jaccard >= num/den, both longer by extra, no longer than the set."""
     probe = size - -(-size * num // den) + 1 + extra
     index = size - -(-size * 2 * num // (num + den)) + 1 + extra
@@ -135,31 +146,67 @@ def jaccard_pairs(a: list[str], b: list[str], num: int, den: int) -> np.ndarray:
     return (twice * den >= union * num) & (union > 0)
 
 
-_POSTING = "cls int, n int, gids binary, sizes binary, counts binary, index_counts binary, tokens binary"
+_POSTING = "cls int, split int, n int, packed binary, tokens binary"
+
+
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The bytes of numbers, all lowest ones first: neighbours are alike and compress."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _numbers(raw: bytes, n: int, width: int) -> np.ndarray:
+    flat = np.zeros((n, 8), np.uint8)
+    flat[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
+    return flat.view("<u8").ravel().astype(np.int64)
+
 
+def _pack(gid: np.ndarray, size: np.ndarray, count: np.ndarray, own: np.ndarray) -> bytes:
+    return b"".join([_planes(np.diff(gid, prepend=0), 8), _planes(size, 4), _planes(count, 4), _planes(own, 4)])
+
+
+def _unpack(raw: bytes, n: int) -> list[np.ndarray]:
+    gid, size, count, own = (_numbers(raw[a * n : b * n], n, b - a) for a, b in ((0, 8), (8, 12), (12, 16), (16, 20)))
+    return [np.cumsum(gid), size, count, own]
+
+
+def _postings(order_of, splits: int, num: int, den: int):
+    """gid, letters (gid ascending within a batch) -> packed blocks by class and split.
+
+    A block holds, for each sequence, how many tokens it has in the class, rare ones first, and how many of them are in
+    its index prefix. Split 0 of a sequence's home split has all tokens; with several splits, the others get the index
+    tokens only.
+    """
 
-def _postings(order_of, classes: int, num: int, den: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = order_of.value
         for batch in batches:
             gid = batch.column(0).to_numpy(zero_copy_only=False)
             ranked = Ranked(batch.column(1).to_pylist(), order)
-            probe, index = prefix_lengths(ranked.size, num, den, classes)
+            probe, index = prefix_lengths(ranked.size, num, den)
             place = np.arange(len(ranked.row)) - ranked.start[ranked.row]
             keep = place < probe[ranked.row]
             row, code, indexed = ranked.row[keep], ranked.code[keep], (place < index[ranked.row])[keep]
-            cls = _class(code, classes)
+            cls = _class(code, CLASSES)
+            small = is_small(ranked.size, num, den)
+            if small.any():  # posted a second time, by their plain prefixes
+                p0, i0 = prefix_lengths(ranked.size, num, den, 0)
+                again = np.flatnonzero(small[ranked.row] & (place < p0[ranked.row]))
+                row, code, indexed = np.r_[row, ranked.row[again]], np.r_[code, ranked.code[again]], np.r_[indexed, (place < i0[ranked.row])[again]]
+                cls = np.r_[cls, CLASSES + _class(ranked.code[again], SMALL_CLASSES)]
+            home = (gid[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % splits
             rows = []
-            for c in range(classes):
-                at = np.flatnonzero(cls == c)
-                if not len(at):
-                    continue
-                held, counts = np.unique(row[at], return_counts=True)
-                own = np.bincount(row[at], weights=indexed[at], minlength=len(gid))[held]
-                raw = code[at].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-                rows.append((c, len(held), gid[held].astype("<i8").tobytes(), ranked.size[held].astype("<u4").tobytes(), counts.astype("<u4").tobytes(), own.astype("<u4").tobytes(), np.ascontiguousarray(raw.T).tobytes()))
+            for c in range(CLASSES + SMALL_CLASSES * bool(small.any())):
+                for split in range(splits):
+                    at = np.flatnonzero((cls == c) & (indexed | (home == split)))
+                    if not len(at):
+                        continue
+                    held, count = np.unique(row[at], return_counts=True)
+                    own = np.bincount(row[at], weights=indexed[at], minlength=len(gid))[held].astype(np.int64)
+                    # the lowest bit of the count says whether the sequence probes here
+                    here = (home[at][np.r_[0, np.cumsum(count)[:-1]]] == split).astype(np.int64)
+                    rows.append((c, split, len(held), _pack(gid[held], ranked.size[held], count * 2 + here, own), _planes(code[at], 3)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32(), pa.int32(), *[pa.binary()] * 5])], names=["cls", "n", "gids", "sizes", "counts", "index_counts", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])], names=["cls", "split", "n", "packed", "tokens"])
 
     return emit
 
@@ -170,30 +217,29 @@ _AT_ONCE = 8_000_000
 
 def _join_class(num: int, den: int):
     def join(table: pa.Table) -> pa.Table:
-        gids, sizes, counts, own, tokens = [], [], [], [], []
-        for gid, size, count, index, raw in zip(*(table.column(c).to_pylist() for c in ("gids", "sizes", "counts", "index_counts", "tokens"))):
-            gids.append(np.frombuffer(gid, "<i8"))
-            sizes.append(np.frombuffer(size, "<u4"))
-            counts.append(np.frombuffer(count, "<u4"))
-            own.append(np.frombuffer(index, "<u4"))
-            flat = np.frombuffer(raw, np.uint8).reshape(3, -1).astype(np.uint32)
-            tokens.append(flat[0] | (flat[1] << 8) | (flat[2] << 16))
-        gid, size, count, own, token = (np.concatenate(x) for x in (gids, sizes, counts, own, tokens))
+        parts, tokens = [], []
+        meet = MEET if table.column("cls")[0].as_py() < CLASSES else 1
+        for n, packed, raw in zip(*(table.column(c).to_pylist() for c in ("n", "packed", "tokens"))):
+            parts.append(_unpack(packed, n))
+            tokens.append(_numbers(raw, len(raw) // 3, 3))
+        gid, size, count, own = (np.concatenate(x) for x in zip(*parts))
+        token, probes, count = np.concatenate(tokens), count & 1, count >> 1
         order = np.lexsort((gid, size))  # probes look only at what comes before them
         rank = np.empty(len(gid), np.int64)
         rank[order] = np.arange(len(gid))
         owner = np.repeat(rank, count)
         start = np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64)
         place = np.arange(len(token)) - np.repeat(start, count)
-        by = size[order].astype(np.int64)
+        by = size[order]
         index = np.flatnonzero(place < np.repeat(own, count))
-        key = (token[index].astype(np.int64) << 32) | owner[index]
+        key = (token[index] << 32) | owner[index]
         key.sort()
         posted = key & 0xFFFFFFFF
         # a probe of token w and rank r meets the postings of w with smaller rank and enough tokens
         floor_rank = np.searchsorted(by, -(-by * num // den))  # smallest rank that is large enough for each rank
-        probe = np.argsort(owner, kind="stable")
-        w, r = token[probe].astype(np.int64) << 32, owner[probe]
+        probe = np.flatnonzero(np.repeat(probes, count))
+        probe = probe[np.argsort(owner[probe], kind="stable")]
+        w, r = token[probe] << 32, owner[probe]
         low, high = np.searchsorted(key, w | floor_rank[r]), np.searchsorted(key, w | r)
         many = np.maximum(high - low, 0)
         done = np.concatenate([[0], np.cumsum(many)])
@@ -207,8 +253,8 @@ def _join_class(num: int, den: int):
                 at = np.repeat(low[a:b], n) + np.arange(total) - np.repeat(done[a:b] - done[a], n)
                 pair = (np.repeat(r[a:b], n) << 32) | posted[at]
                 pair.sort()
-                twice = pair[1:][pair[1:] == pair[:-1]]
-                out.append(twice[np.r_[True, twice[1:] != twice[:-1]]] if len(twice) else twice)
+                often = pair[meet - 1 :][pair[meet - 1 :] == pair[: len(pair) - meet + 1]] if len(pair) >= meet else pair[:0]
+                out.append(often[np.r_[True, often[1:] != often[:-1]]] if len(often) else often)
             a = int(b)
         pair = np.concatenate(out) if out else np.zeros(0, np.int64)
         g = gid[order]
@@ -223,7 +269,7 @@ def letters_of(col: F.Column) -> F.Column:
     return F.regexp_replace(F.upper(col), "[^A-Z]", "")
 
 
-def _prefix_keys(order_of, classes: int, num: int, den: int):
+def _prefix_keys(order_of, num: int, den: int):
     """id, letters -> the same after collapsing copies within a batch, with a 128-bit key of size and prefix."""
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +281,7 @@ def _prefix_keys(order_of, classes: int, num: int, den: int):
             once = frame.groupby("letters", sort=False)["id"].agg(["min", "size"]).reset_index()
             texts = once["letters"].tolist()
             ranked = Ranked(texts, order)
-            probe, _ = prefix_lengths(ranked.size, num, den, classes)
+            probe, _ = prefix_lengths(ranked.size, num, den)
             raw = memoryview(ranked.code.tobytes())
             keys = [xxhash.xxh3_128_intdigest(raw[4 * s : 4 * (s + p)], seed=int(n)) for s, p, n in zip(ranked.start.tolist(), probe.tolist(), ranked.size.tolist())]
             low = np.array([k & (2**64 - 1) for k in keys], np.uint64).view(np.int64)
@@ -245,23 +291,25 @@ def _prefix_keys(order_of, classes: int, num: int, den: int):
     return key
 
 
-def classes_of(df: DataFrame, record_id: str, text: str, num: int = 3, den: int = 5, classes: int = 12) -> tuple[DataFrame, object]:
+def classes_of(df: DataFrame, record_id: str, text: str, num: int = 3, den: int = 5) -> tuple[DataFrame, object]:
     """(gid, place, cid, copies, letters), one row per distinct sequence of at least K letters: its prefix group and place
     in it, its smallest id and how many rows have it; and the broadcast token order. The table is written to the shared folder."""
     spark = df.sparkSession
     plain = df.filter(F.col(f"`{text}`").isNotNull() & F.col(f"`{record_id}`").isNotNull()).select(F.col(f"`{record_id}`").cast("long").alias("id"), letters_of(F.col(f"`{text}`")).alias("letters")).filter(F.length("letters") >= K)
     order_of = spark.sparkContext.broadcast(token_order(plain.select("letters"), spark))
-    keyed = plain.mapInArrow(_prefix_keys(order_of, classes, num, den), "ka long, kb long, id long, copies long, letters string")
+    keyed = plain.mapInArrow(_prefix_keys(order_of, num, den), "ka long, kb long, id long, copies long, letters string")
     # one exchange serves the collapse of copies and that of prefixes; copies shrank to one row a batch before it
     once = keyed.repartition("ka", "kb").groupBy("ka", "kb", "letters").agg(F.min("id").alias("cid"), F.sum("copies").alias("copies"))
-    place = F.row_number().over(Window.partitionBy("ka", "kb").orderBy("cid"))
-    return materialize(once.select(F.xxhash64("ka", "kb").alias("gid"), place.alias("place"), "cid", "copies", "letters"), "classes"), order_of
+    same = Window.partitionBy("ka", "kb").orderBy("cid")
+    numbered = once.withColumn("place", F.row_number().over(same)).withColumn("at", F.monotonically_increasing_id())
+    return materialize(numbered.select(F.first("at").over(same).alias("gid"), "place", "cid", "copies", "letters"), "classes"), order_of
 
 
-def similar_classes(table: DataFrame, order_of, num: int = 3, den: int = 5, classes: int = 12) -> DataFrame:
+def similar_classes(table: DataFrame, order_of, num: int = 3, den: int = 5) -> DataFrame:
     """(u, v), u < v: the smallest ids of two different sequences whose similarity is at least num/den."""
-    posted = table.filter("place = 1").select("gid", "letters").mapInArrow(_postings(order_of, classes, num, den), _POSTING)
-    met = posted.groupBy("cls").applyInArrow(_join_class(num, den), "ga long, gb long").distinct()
+    splits = max(1, -(-table.count() // PROBES_A_TASK))
+    posted = table.filter("place = 1").select("gid", "letters").mapInArrow(_postings(order_of, splits, num, den), _POSTING)
+    met = posted.groupBy("cls", "split").applyInArrow(_join_class(num, den), "ga long, gb long").distinct()
     inner = table.filter("place = 2").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
     members = table.select("gid", "cid", "letters")
     pairs = met.unionAll(inner).join(members.toDF("ga", "ca", "la"), "ga").join(members.toDF("gb", "cb", "lb"), "gb").filter("ga <> gb or ca < cb")
@@ -282,27 +330,27 @@ def _copies(df: DataFrame, record_id: str, text: str, table: DataFrame) -> DataF
     return rows.select("id", *key).join(table.filter("copies > 1").select("cid", *key), ["ha", "hb"]).select("cid", "id")
 
 
-def near_duplicates(df: DataFrame, record_id: str, text: str, num: int = 3, den: int = 5, classes: int = 12) -> DataFrame:
+def near_duplicates(df: DataFrame, record_id: str, text: str, num: int = 3, den: int = 5) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs of rows with similarity >= num/den whose letters are not identical.
 
     Only letters A-Z count, in either case. Rows without an id, null or empty texts and texts of fewer than five
     letters are in no pair. Copies of one text are collapsed while searching and expanded in the result. Empty tables
     give no pairs; columns other than the two named don't matter.
     """
-    table, order_of = classes_of(df, record_id, text, num, den, classes)
-    pairs = materialize(similar_classes(table, order_of, num, den, classes), "pairs")
+    table, order_of = classes_of(df, record_id, text, num, den)
+    pairs = materialize(similar_classes(table, order_of, num, den), "pairs")
     copies = _copies(df, record_id, text, table)
     wide = pairs.join(copies.toDF("u", "iu"), "u", "left").join(copies.toDF("v", "iv"), "v", "left")
     a, b = F.coalesce("iu", "u"), F.coalesce("iv", "v")
     return wide.select(F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b"))
 
 
-def duplicate_groups(df: DataFrame, record_id: str, text: str, num: int = 3, den: int = 5, classes: int = 12) -> DataFrame:
+def duplicate_groups(df: DataFrame, record_id: str, text: str, num: int = 3, den: int = 5) -> DataFrame:
     """(id, class_id, group_id, n_links) of every row with an id: class_id is the smallest id with the same letters,
     group_id the smallest id that can be reached by similar pairs, n_links the number of different texts it is similar
     to. Rows without five letters are classes of their own."""
-    table, order_of = classes_of(df, record_id, text, num, den, classes)
-    pairs = materialize(similar_classes(table, order_of, num, den, classes), "pairs")
+    table, order_of = classes_of(df, record_id, text, num, den)
+    pairs = materialize(similar_classes(table, order_of, num, den), "pairs")
     links = pairs.select("u").unionAll(pairs.select("v")).groupBy(F.col("u").alias("cid")).agg(F.count(F.lit(1)).alias("n_links"))
     roots = components(pairs).toDF("cid", "root")
     copies = _copies(df, record_id, text, table).toDF("class_id", "id")
