@@ -1 +1 @@
-
+"""Column builders: everything stays in JVM expressions."""
