@@ -1,16 +1,16 @@
 """Near-duplicate sequences by a grouped prefix join on sets of 5-letter substrings.
 
 All tokens (substrings of ``K`` letters) are ordered from rare to frequent. Two sets with Jaccard similarity >= t have a
-common token among the first n - ceil(t n) + 1 of one and the first n - ceil(2t/(1+t) n) + 1 of the other, smaller one. Here the
-prefixes are longer by CLASSES * (MEET - 1), so that they must share CLASSES * (MEET - 1) + 1 tokens; tokens are dealt
-into CLASSES classes by a hash, so at least one class holds MEET shared tokens (pigeonhole). Each class is joined by
-itself and only pairs that meet MEET times in it leave the task: a rare token or two that strangers share by chance
-don't make a candidate, which is what keeps candidates few as the collection grows and its 5-letter substrings all get
-used. A class's probes are split over several tasks when there are many.
+common token among the first n - ceil(t n) + 1 of one and the first n - ceil(2t/(1+t) n) + 1 of the other, smaller one: their
+prefixes. A common prefix token alone isn't much evidence once a large collection has used up the 5-letter substrings,
+so group pairs are filtered before they leave the join: every sequence carries 64 * WORDS parity bits (token i flips
+bit h(i)), and the number of differing bits is at most the number of differing tokens, which for a similar pair is at
+most (n + m) (1 - t) / (1 + t). The filter loses nothing and passes few strangers.
 
 Steps: (1) a sketch of token frequencies (fixed size) gives the order; any order is correct, a good one is fast.
 (2) Sequences with the same prefix and size are collapsed into one group, copies into one class; groups are written
-out once. (3) Prefix tokens travel as packed blocks, one per map task and class, and are joined within the class.
+out once. (3) Prefix tokens travel as packed blocks, one per map task and class of tokens, and are joined within the class; the
+probes of a class are split over several tasks when there are many.
 (4) Candidate group pairs are made unique, expanded to their members and verified on the full sets.
 """
 
@@ -30,10 +30,8 @@ from seqloom.session import materialize
 K = 5
 #: Size of the frequency sketch: 2**SKETCH_BITS counters in SKETCH_BLOCKS blocks.
 SKETCH_BITS, SKETCH_BLOCKS = 20, 16
-#: Token classes, and the shared tokens in one class that make a candidate.
-CLASSES, MEET = 6, 3
-#: Sets too small to share that many tokens meet in classes of their own, where one shared token makes a candidate.
-SMALL_CLASSES = 8
+#: Classes of tokens, each of which is joined by itself, and 64-bit words of a sketch.
+CLASSES, WORDS = 6, 3
 #: Sequences whose probes one join task takes.
 PROBES_A_TASK = 2_000_000
 
@@ -121,15 +119,17 @@ class Ranked:
         self.start = np.concatenate([[0], np.cumsum(self.size)])
 
 
-def is_small(size: np.ndarray, num: int, den: int) -> np.ndarray:
-    return -(-size * num // den) < CLASSES * (MEET - 1) + 1
+def prefix_lengths(size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(probe, index) prefix lengths for Jaccard >= num/den."""
+    return size - -(-size * num // den) + 1, size - -(-size * 2 * num // (num + den)) + 1
 
 
-def prefix_lengths(size: np.ndarray, num: int, den: int, extra: int = CLASSES * (MEET - 1)) -> tuple[np.ndarray, np.ndarray]:
-    """(probe, index) prefix lengths for Jaccard >= num/den, both longer by extra, no longer than the set."""
-    probe = size - -(-size * num // den) + 1 + extra
-    index = size - -(-size * 2 * num // (num + den)) + 1 + extra
-    return np.minimum(probe, size), np.minimum(index, size)
+def parity_sketches(ranked: Ranked) -> np.ndarray:
+    """WORDS 64-bit words of parity bits for each text of a batch."""
+    n, bits = len(ranked.size), 64 * WORDS
+    bit = (((ranked.code.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(ranked.row * bits + bit, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits)
+    return np.packbits(odd, axis=1).view(np.uint64).reshape(n, WORDS)
 
 
 def jaccard_pairs(a: list[str], b: list[str], num: int, den: int) -> np.ndarray:
@@ -160,51 +160,46 @@ def _numbers(raw: bytes, n: int, width: int) -> np.ndarray:
     return flat.view("<u8").ravel().astype(np.int64)
 
 
-def _pack(gid: np.ndarray, size: np.ndarray, count: np.ndarray, own: np.ndarray) -> bytes:
-    return b"".join([_planes(np.diff(gid, prepend=0), 8), _planes(size, 4), _planes(count, 4), _planes(own, 4)])
+def _pack(gid: np.ndarray, size: np.ndarray, count: np.ndarray, own: np.ndarray, sketch: np.ndarray) -> bytes:
+    return b"".join([_planes(np.diff(gid, prepend=0), 8), _planes(size, 4), _planes(count, 4), _planes(own, 4), sketch.tobytes()])
 
 
 def _unpack(raw: bytes, n: int) -> list[np.ndarray]:
     gid, size, count, own = (_numbers(raw[a * n : b * n], n, b - a) for a, b in ((0, 8), (8, 12), (12, 16), (16, 20)))
-    return [np.cumsum(gid), size, count, own]
+    return [np.cumsum(gid), size, count, own, np.frombuffer(raw[20 * n :], np.uint64).reshape(n, WORDS)]
 
 
 def _postings(order_of, splits: int, num: int, den: int):
-    """gid, letters (gid ascending within a batch) -> packed blocks by class and split.
+    """gid, letters, alone -> packed blocks by class and split.
 
-    A block holds, for each sequence, how many tokens it has in the class, rare ones first, and how many of them are in
-    its index prefix. Split 0 of a sequence's home split has all tokens; with several splits, the others get the index
-    tokens only.
+    A block holds, for each sequence, how many tokens it has in the class, rare ones first, how many of them are in its
+    index prefix, and its sketch. With several splits, a sequence probes in one of them and is indexed in all.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = order_of.value
         for batch in batches:
             gid = batch.column(0).to_numpy(zero_copy_only=False)
+            alone = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             ranked = Ranked(batch.column(1).to_pylist(), order)
+            sketch = parity_sketches(ranked)
             probe, index = prefix_lengths(ranked.size, num, den)
             place = np.arange(len(ranked.row)) - ranked.start[ranked.row]
             keep = place < probe[ranked.row]
             row, code, indexed = ranked.row[keep], ranked.code[keep], (place < index[ranked.row])[keep]
             cls = _class(code, CLASSES)
-            small = is_small(ranked.size, num, den)
-            if small.any():  # posted a second time, by their plain prefixes
-                p0, i0 = prefix_lengths(ranked.size, num, den, 0)
-                again = np.flatnonzero(small[ranked.row] & (place < p0[ranked.row]))
-                row, code, indexed = np.r_[row, ranked.row[again]], np.r_[code, ranked.code[again]], np.r_[indexed, (place < i0[ranked.row])[again]]
-                cls = np.r_[cls, CLASSES + _class(ranked.code[again], SMALL_CLASSES)]
             home = (gid[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % splits
             rows = []
-            for c in range(CLASSES + SMALL_CLASSES * bool(small.any())):
+            for c in range(CLASSES):
                 for split in range(splits):
                     at = np.flatnonzero((cls == c) & (indexed | (home == split)))
                     if not len(at):
                         continue
                     held, count = np.unique(row[at], return_counts=True)
                     own = np.bincount(row[at], weights=indexed[at], minlength=len(gid))[held].astype(np.int64)
-                    # the lowest bit of the count says whether the sequence probes here
+                    # two low bits of the count: does the sequence probe here, and is it the only member of its group
                     here = (home[at][np.r_[0, np.cumsum(count)[:-1]]] == split).astype(np.int64)
-                    rows.append((c, split, len(held), _pack(gid[held], ranked.size[held], count * 2 + here, own), _planes(code[at], 3)))
+                    rows.append((c, split, len(held), _pack(gid[held], ranked.size[held], count * 4 + here * 2 + alone[held], own, sketch[held]), _planes(code[at], 3)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])], names=["cls", "split", "n", "packed", "tokens"])
 
@@ -212,25 +207,26 @@ def _postings(order_of, splits: int, num: int, den: int):
 
 
 #: Meetings that a join task holds at once.
-_AT_ONCE = 8_000_000
+_AT_ONCE = 2_000_000
 
 
 def _join_class(num: int, den: int):
     def join(table: pa.Table) -> pa.Table:
         parts, tokens = [], []
-        meet = MEET if table.column("cls")[0].as_py() < CLASSES else 1
         for n, packed, raw in zip(*(table.column(c).to_pylist() for c in ("n", "packed", "tokens"))):
             parts.append(_unpack(packed, n))
             tokens.append(_numbers(raw, len(raw) // 3, 3))
-        gid, size, count, own = (np.concatenate(x) for x in zip(*parts))
-        token, probes, count = np.concatenate(tokens), count & 1, count >> 1
+        gid, size, count, own, sketch = (np.concatenate(x) for x in zip(*parts))
+        token, alone, probes, count = np.concatenate(tokens), count & 1, (count >> 1) & 1, count >> 2
         order = np.lexsort((gid, size))  # probes look only at what comes before them
         rank = np.empty(len(gid), np.int64)
         rank[order] = np.arange(len(gid))
         owner = np.repeat(rank, count)
         start = np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64)
         place = np.arange(len(token)) - np.repeat(start, count)
-        by = size[order]
+        by, bits = size[order], np.ascontiguousarray(sketch[order].T)
+        # a group of several members is bound by its prefix alone: its sketch speaks for one of them
+        free = np.where(alone[order] == 1, 0, 1 << 20)
         index = np.flatnonzero(place < np.repeat(own, count))
         key = (token[index] << 32) | owner[index]
         key.sort()
@@ -238,25 +234,26 @@ def _join_class(num: int, den: int):
         # a probe of token w and rank r meets the postings of w with smaller rank and enough tokens
         floor_rank = np.searchsorted(by, -(-by * num // den))  # smallest rank that is large enough for each rank
         probe = np.flatnonzero(np.repeat(probes, count))
-        probe = probe[np.argsort(owner[probe], kind="stable")]
         w, r = token[probe] << 32, owner[probe]
+        line = np.argsort(w | r)  # in the order of the postings, so that searching and reading stay near
+        w, r = w[line], r[line]
         low, high = np.searchsorted(key, w | floor_rank[r]), np.searchsorted(key, w | r)
-        many = np.maximum(high - low, 0)
+        meets = np.flatnonzero(high > low)
+        low, many, r = low[meets], (high - low)[meets], r[meets]
         done = np.concatenate([[0], np.cumsum(many)])
-        ends = np.flatnonzero(np.r_[r[1:] != r[:-1], True]) + 1  # a record's probes stay together
         out, a = [], 0
         while a < len(r):
-            b = ends[max(np.searchsorted(done[ends], done[a] + _AT_ONCE, side="right") - 1, np.searchsorted(ends, a, side="right"))]
+            b = max(a + 1, int(np.searchsorted(done, done[a] + _AT_ONCE, side="right")) - 1)
             n = many[a:b]
-            total = int(n.sum())
-            if total:
-                at = np.repeat(low[a:b], n) + np.arange(total) - np.repeat(done[a:b] - done[a], n)
-                pair = (np.repeat(r[a:b], n) << 32) | posted[at]
-                pair.sort()
-                often = pair[meet - 1 :][pair[meet - 1 :] == pair[: len(pair) - meet + 1]] if len(pair) >= meet else pair[:0]
-                out.append(often[np.r_[True, often[1:] != often[:-1]]] if len(often) else often)
-            a = int(b)
-        pair = np.concatenate(out) if out else np.zeros(0, np.int64)
+            x = np.repeat(r[a:b], n)
+            y = posted[np.repeat(low[a:b] - done[a:b], n) + np.arange(done[a], done[b])]
+            differ = np.zeros(len(x), np.int64)
+            for word in bits:
+                differ += np.bitwise_count(word[x] ^ word[y])
+            near = differ * (num + den) <= (by[x] + by[y]) * (den - num) + free[x] + free[y]
+            out.append((x[near] << 32) | y[near])
+            a = b
+        pair = np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
         g = gid[order]
         x, y = g[pair >> 32], g[pair & 0xFFFFFFFF]
         return pa.table({"ga": np.minimum(x, y), "gb": np.maximum(x, y)})
@@ -292,7 +289,7 @@ def _prefix_keys(order_of, num: int, den: int):
 
 
 def classes_of(df: DataFrame, record_id: str, text: str, num: int = 3, den: int = 5) -> tuple[DataFrame, object]:
-    """(gid, place, cid, copies, letters), one row per distinct sequence of at least K letters: its prefix group and place
+    """(gid, place, alone, cid, copies, letters), one row per distinct sequence of at least K letters: its prefix group and place
     in it, its smallest id and how many rows have it; and the broadcast token order. The table is written to the shared folder."""
     spark = df.sparkSession
     plain = df.filter(F.col(f"`{text}`").isNotNull() & F.col(f"`{record_id}`").isNotNull()).select(F.col(f"`{record_id}`").cast("long").alias("id"), letters_of(F.col(f"`{text}`")).alias("letters")).filter(F.length("letters") >= K)
@@ -302,13 +299,14 @@ def classes_of(df: DataFrame, record_id: str, text: str, num: int = 3, den: int
     once = keyed.repartition("ka", "kb").groupBy("ka", "kb", "letters").agg(F.min("id").alias("cid"), F.sum("copies").alias("copies"))
     same = Window.partitionBy("ka", "kb").orderBy("cid")
     numbered = once.withColumn("place", F.row_number().over(same)).withColumn("at", F.monotonically_increasing_id())
-    return materialize(numbered.select(F.first("at").over(same).alias("gid"), "place", "cid", "copies", "letters"), "classes"), order_of
+    alone = (F.col("place") == 1) & F.lead("cid").over(same).isNull()
+    return materialize(numbered.select(F.first("at").over(same).alias("gid"), "place", alone.alias("alone"), "cid", "copies", "letters"), "classes"), order_of
 
 
 def similar_classes(table: DataFrame, order_of, num: int = 3, den: int = 5) -> DataFrame:
     """(u, v), u < v: the smallest ids of two different sequences whose similarity is at least num/den."""
     splits = max(1, -(-table.count() // PROBES_A_TASK))
-    posted = table.filter("place = 1").select("gid", "letters").mapInArrow(_postings(order_of, splits, num, den), _POSTING)
+    posted = table.filter("place = 1").select("gid", "letters", "alone").mapInArrow(_postings(order_of, splits, num, den), _POSTING)
     met = posted.groupBy("cls", "split").applyInArrow(_join_class(num, den), "ga long, gb long").distinct()
     inner = table.filter("place = 2").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
     members = table.select("gid", "cid", "letters")
