@@ -3,7 +3,7 @@
 All tokens (substrings of ``K`` letters) are ordered from rare to frequent. Two sets with Jaccard similarity >= t have a
 common token among the first n - ceil(t n) + 1 of one and the first n - ceil(2t/(1+t) n) + 1 of the other, smaller one: their
 prefixes. A common prefix token alone isn't much evidence once a large collection has used up the 5-letter substrings,
-so group pairs are filtered before they leave the join: every sequence carries 64 * WORDS parity bits (token i flips
+so group pairs are filtered before they leave the join: every sequence carries a sketch of parity bits (token i flips
 bit h(i)), and the number of differing bits is at most the number of differing tokens, which for a similar pair is at
 most (n + m) (1 - t) / (1 + t). The filter loses nothing and passes few strangers.
 
@@ -30,8 +30,10 @@ from seqloom.session import materialize
 K = 5
 #: Size of the frequency sketch: 2**SKETCH_BITS counters in SKETCH_BLOCKS blocks.
 SKETCH_BITS, SKETCH_BLOCKS = 20, 16
-#: Classes of tokens, each of which is joined by itself, and 64-bit words of a sketch.
-CLASSES, WORDS = 6, 3
+#: Classes of tokens, each of which is joined by itself.
+CLASSES = 4
+#: Sketch bits for each token of a long set (one of twenty is longer); a sketch has at most 64 words of 64 bits.
+BITS_A_TOKEN, MOST_WORDS = 1.8, 64
 #: Sequences whose probes one join task takes.
 PROBES_A_TASK = 2_000_000
 
@@ -124,26 +126,36 @@ def prefix_lengths(size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np
     return size - -(-size * num // den) + 1, size - -(-size * 2 * num // (num + den)) + 1
 
 
-def parity_sketches(ranked: Ranked) -> np.ndarray:
-    """WORDS 64-bit words of parity bits for each text of a batch."""
-    n, bits = len(ranked.size), 64 * WORDS
+def parity_sketches(ranked: Ranked, words: int) -> np.ndarray:
+    """64 * words parity bits for each text of a batch."""
+    n, bits = len(ranked.size), 64 * words
     bit = (((ranked.code.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)) % np.uint64(bits)).astype(np.int64)
     odd = (np.bincount(ranked.row * bits + bit, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits)
-    return np.packbits(odd, axis=1).view(np.uint64).reshape(n, WORDS)
+    return np.packbits(odd, axis=1).view(np.uint64).reshape(n, words)
 
 
-def jaccard_pairs(a: list[str], b: list[str], num: int, den: int) -> np.ndarray:
-    """For each i: is the similarity of a[i] and b[i] at least num/den."""
+def similar(a: list[str], b: list[str], num: int, den: int) -> np.ndarray:
+    """For each i: is the similarity of a[i] and b[i] at least num/den. Tokens are sorted once per distinct text; pairs that
+    their long sketches rule out aren't compared."""
     n = len(a)
-    row, code = token_table(a + b)
-    key = np.unique(row * (1 << 24) + code)
-    side, key = (key >> 24) >= n, key
-    local = (key >> 24) % n if n else key
-    pair = local * (1 << 24) + (key & 0xFFFFFF)
-    pair.sort()
-    twice = np.bincount(pair[1:][pair[1:] == pair[:-1]] >> 24, minlength=n)
-    union = np.bincount(local, minlength=n) - twice
-    return (twice * den >= union * num) & (union > 0)
+    which, texts = pd.factorize(np.array(a + b, dtype=object))
+    ranked = Ranked(list(texts), np.zeros(1 << SKETCH_BITS, np.uint32))
+    x, y = which[:n], which[n:]
+    sketch, total = parity_sketches(ranked, 16), ranked.size[x] + ranked.size[y]
+    differ = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64)
+    ok = (differ * (num + den) <= total * (den - num)) & (total > 0)
+    left = np.flatnonzero(ok)
+    for lot in np.array_split(left, -(-len(left) // 5000)) if len(left) else []:
+        key = []
+        for side in (x[lot], y[lot]):
+            count = ranked.size[side]
+            at = np.repeat(ranked.start[side] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            key.append((np.repeat(np.arange(len(lot)), count) << 24) | ranked.code[at])
+        key = np.concatenate(key)
+        key.sort()
+        common = np.bincount(key[1:][key[1:] == key[:-1]] >> 24, minlength=len(lot))
+        ok[lot] = common * den >= (total[lot] - common) * num
+    return ok
 
 
 _POSTING = "cls int, split int, n int, packed binary, tokens binary"
@@ -166,10 +178,10 @@ def _pack(gid: np.ndarray, size: np.ndarray, count: np.ndarray, own: np.ndarray,
 
 def _unpack(raw: bytes, n: int) -> list[np.ndarray]:
     gid, size, count, own = (_numbers(raw[a * n : b * n], n, b - a) for a, b in ((0, 8), (8, 12), (12, 16), (16, 20)))
-    return [np.cumsum(gid), size, count, own, np.frombuffer(raw[20 * n :], np.uint64).reshape(n, WORDS)]
+    return [np.cumsum(gid), size, count, own, np.frombuffer(raw[20 * n :], np.uint64).reshape(n, -1)]
 
 
-def _postings(order_of, splits: int, num: int, den: int):
+def _postings(order_of, words: int, splits: int, num: int, den: int):
     """gid, letters, alone -> packed blocks by class and split.
 
     A block holds, for each sequence, how many tokens it has in the class, rare ones first, how many of them are in its
@@ -182,7 +194,7 @@ def _postings(order_of, splits: int, num: int, den: int):
             gid = batch.column(0).to_numpy(zero_copy_only=False)
             alone = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             ranked = Ranked(batch.column(1).to_pylist(), order)
-            sketch = parity_sketches(ranked)
+            sketch = parity_sketches(ranked, words)
             probe, index = prefix_lengths(ranked.size, num, den)
             place = np.arange(len(ranked.row)) - ranked.start[ranked.row]
             keep = place < probe[ranked.row]
@@ -305,8 +317,9 @@ def classes_of(df: DataFrame, record_id: str, text: str, num: int = 3, den: int
 
 def similar_classes(table: DataFrame, order_of, num: int = 3, den: int = 5) -> DataFrame:
     """(u, v), u < v: the smallest ids of two different sequences whose similarity is at least num/den."""
-    splits = max(1, -(-table.count() // PROBES_A_TASK))
-    posted = table.filter("place = 1").select("gid", "letters", "alone").mapInArrow(_postings(order_of, splits, num, den), _POSTING)
+    n, long = table.agg(F.count(F.lit(1)), F.percentile_approx(F.length("letters"), 0.95, 1000)).first()
+    splits, words = max(1, -(-n // PROBES_A_TASK)), int(min(MOST_WORDS, max(1, -(-BITS_A_TOKEN * (long or 0) // 64))))
+    posted = table.filter("place = 1").select("gid", "letters", "alone").mapInArrow(_postings(order_of, words, splits, num, den), _POSTING)
     met = posted.groupBy("cls", "split").applyInArrow(_join_class(num, den), "ga long, gb long").distinct()
     inner = table.filter("place = 2").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
     members = table.select("gid", "cid", "letters")
@@ -315,7 +328,7 @@ def similar_classes(table: DataFrame, order_of, num: int = 3, den: int = 5) -> D
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ca, cb = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            ok = jaccard_pairs(batch.column(2).to_pylist(), batch.column(3).to_pylist(), num, den) if len(ca) else np.zeros(0, bool)
+            ok = similar(batch.column(2).to_pylist(), batch.column(3).to_pylist(), num, den) if len(ca) else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ca, cb)[ok]), pa.array(np.maximum(ca, cb)[ok])], names=["u", "v"])
 
     return pairs.select("ca", "cb", "la", "lb").mapInArrow(verify, "u long, v long")
