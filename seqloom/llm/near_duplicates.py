@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.components import components
-from seqloom.session import materialize
+from seqloom.session import drop_materialized, materialize
 
 K = 5
 #: Size of the frequency sketch: 2**SKETCH_BITS counters in SKETCH_BLOCKS blocks.
@@ -350,7 +350,8 @@ def near_duplicates(df: DataFrame, record_id: str, text: str, num: int = 3, den:
     """
     table, order_of = classes_of(df, record_id, text, num, den)
     pairs = materialize(similar_classes(table, order_of, num, den), "pairs")
-    copies = _copies(df, record_id, text, table)
+    copies = materialize(_copies(df, record_id, text, table), "copies")
+    drop_materialized(table)
     wide = pairs.join(copies.toDF("u", "iu"), "u", "left").join(copies.toDF("v", "iv"), "v", "left")
     a, b = F.coalesce("iu", "u"), F.coalesce("iv", "v")
     return wide.select(F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b"))

@@ -55,7 +55,7 @@ def p4_ledger(spark: SparkSession, d: str) -> DataFrame:
     return ledger.table().select(F.col("first_id").alias("first_record_id"), "first_seen", "copies")
 
 
-_TEXTS = {"chains": ("chain_id", "full_seq"), "msa_rows": ("row_id", "seq")}
+_TEXTS = {"msa_rows": ("row_id", "seq"), "chains": ("chain_id", "full_seq")}
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
