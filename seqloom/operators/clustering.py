@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.session import materialize
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -26,7 +28,7 @@ def blocked_pairs(df: DataFrame, key: str, vector: str, block: str, blocks: int,
     """
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
     left = rows.withColumn("o", F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))))
-    right = rows.withColumn("o", F.col("b")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("o"))))
+    right = rows.select(F.col("k").alias("k2"), F.col("v").alias("v2"), F.col("b").alias("o2")).withColumn("b2", F.explode(F.sequence(F.lit(0), F.col("o2"))))
 
     def unit(v: pd.Series) -> np.ndarray:
         x = np.array(v.tolist(), float)
@@ -35,13 +37,13 @@ def blocked_pairs(df: DataFrame, key: str, vector: str, block: str, blocks: int,
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"a": [], "b": [], "distance": []})
-        distance = np.maximum(0, 1 - unit(a["v"]) @ unit(b["v"]).T)
+        distance = np.maximum(0, 1 - unit(a["v"]) @ unit(b["v2"]).T)
         i, j = np.nonzero(distance <= most)
-        x, y = a["k"].to_numpy()[i], b["k"].to_numpy()[j]
-        once = (x < y) if a["b"].iloc[0] == a["o"].iloc[0] else (x != y)
+        x, y = a["k"].to_numpy()[i], b["k2"].to_numpy()[j]
+        once = (x < y) if a["b"].iloc[0] == b["o2"].iloc[0] else (x != y)
         return pd.DataFrame({"a": np.minimum(x, y)[once], "b": np.maximum(x, y)[once], "distance": distance[i, j][once]})
 
-    return left.groupBy("b", "o").cogroup(right.groupBy("b", "o")).applyInPandas(product, "a long, b long, distance double")
+    return left.groupBy("b", "o").cogroup(right.groupBy("b2", "o2")).applyInPandas(product, "a long, b long, distance double")
 
 
 def representatives(df: DataFrame, cluster: str, key: str, vector: str, most: int = 128) -> DataFrame:
@@ -192,16 +194,20 @@ def density_clusters(df: DataFrame, group: Sequence[str], key: str, vector: str,
     return df.select(*group, key, vector).groupBy(*group).applyInPandas(one, schema)
 
 
-def kmeans_labels(df: DataFrame, key: str, vector: str, k: int, seed: int = 0) -> DataFrame:
+def kmeans_labels(df: DataFrame, key: str, vector: str, k: int, seed: int = 0, max_rows: int = 20_000) -> DataFrame:
     """(key, label) of k-means on the rows' distances to all rows (distance-matrix rows as features).
 
-    The matrix is n x n, so this is for sampled sets; it is built in blocks and never held in one place.
+    The features are n x n numbers, so this is for sampled sets of at most max_rows rows (an error beyond).
     """
+    if df.limit(max_rows + 1).count() > max_rows:
+        raise ValueError(f"more than {max_rows} rows")
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    other = df.select(F.col(key).alias("ok"), F.col(vector).alias("ov"))
-    row = df.select(key, vector).join(F.broadcast(other)).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("ok", cosine_distance(F.col(vector), F.col("ov")).alias("d")))), lambda s: s["d"]).alias("f"))
+    unit = df.select(key, F.transform(vector, lambda x: x.cast("double") / F.sqrt(dot(F.col(vector), F.col(vector)))).alias("u"))
+    unit = materialize(unit, "unit")
+    far = F.greatest(F.lit(0.0), 1 - dot(F.col("u"), F.col("ou")))
+    row = unit.join(unit.select(F.col(key).alias("ok"), F.col("u").alias("ou"))).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("ok", far.alias("d")))), lambda s: s["d"]).alias("f"))
     features = row.select(key, array_to_vector("f").alias("features"))
     return KMeans(k=k, seed=seed).fit(features).transform(features).select(key, F.col("prediction").alias("label"))
 

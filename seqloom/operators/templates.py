@@ -64,14 +64,9 @@ def hit_score(query: Column, hit: Column, weights: Column | None = None) -> Colu
 def index_array(seq: Column, start: Column | int) -> Column:
     """Residue number of each column: capital letters count, gaps are -1, insertions (lower case) are left out but count."""
     begin = start if isinstance(start, Column) else F.lit(start)
-    zero = F.struct(begin.cast("int").alias("n"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, c: Column) -> Column:
-        gap, low = c == "-", (c != F.upper(c))
-        out = F.when(gap, F.concat(acc["out"], F.array(F.lit(-1)))).when(low, acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["n"])))
-        return F.struct((acc["n"] + F.when(gap, 0).otherwise(1)).cast("int").alias("n"), out.alias("out"))
-
-    return F.aggregate(chars(seq), zero, step)["out"]
+    before = lambda i: F.length(F.translate(F.substring(seq, F.lit(1), i), "-", ""))
+    number = F.transform(chars(seq), lambda c, i: F.when(c == "-", F.lit(-1)).when(c == F.upper(c), (begin + before(i)).cast("int")))
+    return F.filter(number, lambda n: n.isNotNull())
 
 
 def residue_mapping(query: Column, hit: Column, indices_query: Column, indices_hit: Column, full_query: Column) -> Column:
@@ -93,6 +88,6 @@ def locate_chain(hits: DataFrame, chains: DataFrame, keys: Sequence[str]) -> Dat
     joined = hits.withColumnRenamed("chain", "__named").join(chains, "file_id")
     holds = F.instr("seq", F.col("template")) > 0
     pattern = F.translate("template", "X", ".")
-    how = F.when(holds & (F.col("chain") == F.col("__named")), 1).when(holds, 2).when(F.col("seq").rlike(pattern), 3)
+    how = F.when(holds & (F.col("chain") == F.col("__named")), 1).when(holds, 2).when(F.regexp_like("seq", pattern), 3)
     best = joined.withColumn("how", how).filter(F.col("how").isNotNull()).groupBy(*keys).agg(F.min(F.struct("how", "chain_ord", "chain")).alias("b"))
     return best.select(*keys, "b.how", F.col("b.chain").alias("chain"))

@@ -1,3 +1,259 @@
-"""placeholder"""
-def queries(): return {}
-def oracle_sql(): return {}
+"""Queries of the alignment operators over msa_rows and chains."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from seqloom.functions import columns as C
+from seqloom.operators import aggregates as A
+from seqloom.operators import msa as M
+from seqloom.operators import ranking as R
+from seqloom.operators import sampling as S
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def rows(spark, d):
+    return t(spark, d, "msa_rows").select("row_id", "msa_id", "row_idx", F.upper("seq").alias("seq"), "description", "deletions")
+
+
+def dedup_first_wins(spark, d):
+    return M.first_wins(rows(spark, d).select("msa_id", "seq", "row_idx", "row_id"), ["msa_id", "seq"], ["row_idx", "row_id"]).select("msa_id", "row_id")
+
+
+def _gapped(spark, d):
+    """Alignments whose query is given gaps where its row 1 has them, so that columns fall out."""
+    m = rows(spark, d)
+    one = m.filter("row_idx = 1").groupBy("msa_id").agg(F.min("seq").alias("s1"))
+    q = F.array_join(F.zip_with(C.chars(F.col("seq")), C.chars(F.col("s1")), lambda a, b: F.when(b == "-", "-").otherwise(a)), "")
+    return m.join(one, "msa_id").withColumn("seq", F.when(F.col("row_idx") == 0, q).otherwise(F.col("seq")))
+
+
+def drop_query_gaps(spark, d):
+    return M.drop_query_gaps(_gapped(spark, d)).select("row_id", "seq")
+
+
+def _full(spark, d):
+    c = t(spark, d, "chains").filter("name is not null and full_seq is not null")
+    return c.select(F.concat_ws("_", "target_id", "name").alias("msa_id"), F.regexp_replace(F.upper("full_seq"), "[^A-Z]", "").alias("full_seq")).groupBy("msa_id").agg(F.min("full_seq").alias("full_seq"))
+
+
+def pad_to_full(spark, d):
+    return M.pad_to_full(rows(spark, d), _full(spark, d)).select("row_id", F.length("seq").cast("long").alias("n"), "seq")
+
+
+def merge_parts(spark, d):
+    m = rows(spark, d).filter("row_idx > 0")
+    pair = m.groupBy("msa_id").agg(F.min("row_idx").alias("x")).select("msa_id").withColumn("half", F.lit(1))
+    left = m.join(pair, "msa_id").select(F.concat_ws(":", "msa_id", "row_idx").alias("row_idx"), F.substring("seq", 1, 40).alias("seq"), "row_id")
+    right = m.select(F.concat_ws(":", "msa_id", "row_idx").alias("row_idx"), F.substring("seq", 51, 40).alias("seq"), "row_id")
+    first = lambda x: M.first_wins(x, ["row_idx"], ["row_id"])
+    return M.merge_parts(first(left), first(right), 3).select("row_idx", "seq")
+
+
+def _two_chains(m):
+    """Neighbouring alignments as the two chains of one target: each target of the tables has one alignment only."""
+    number = F.substring("msa_id", 2, 8).cast("int")
+    return m.withColumn("target_id", F.concat(F.lit("p"), F.floor(number / 2).cast("string"))).withColumn("chain_idx", number % 2)
+
+
+def block_diagonal(spark, d):
+    m = _two_chains(rows(spark, d)).withColumnRenamed("chain_idx", "chain_ord")
+    chains = m.groupBy("target_id", "chain_ord").agg(F.max(F.length("seq")).alias("length"))
+    return M.block_diagonal(m, chains).select("row_id", "seq")
+
+
+def block_crop(spark, d):
+    return M.crop(rows(spark, d), ["msa_id"], ["row_idx", "row_id"], 100).select("msa_id", "row_id")
+
+
+def gap_islands(spark, d):
+    m = _gapped(spark, d).filter("row_idx <= 2")
+    cells = m.select("row_id", F.posexplode(C.chars(F.col("seq"))).alias("pos", "c")).filter("c = '-'")
+    runs = M.islands(cells, ["row_id"], "pos", 3)
+    return runs.select("row_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n")
+
+
+def gap_columns(spark, d):
+    return M.gap_columns(rows(spark, d).filter("row_idx <= 1")).select("msa_id", F.col("pos").cast("long").alias("pos"))
+
+
+def anti_join_paired(spark, d):
+    m = rows(spark, d)
+    return M.without_paired(m.filter("row_id % 2 = 1"), m.filter("row_id % 2 = 0"), ["msa_id", "seq"]).select("row_id")
+
+
+def _species(spark, d):
+    """Rows with a pairing id: the source named in the description."""
+    m = _two_chains(rows(spark, d))
+    return m.withColumn("pair_id", F.coalesce(F.lower(F.trim(F.element_at(F.split("description", "\\|"), 1))), F.lit(""))).withColumn("row", F.col("row_idx"))
+
+
+def paired_rows(spark, d):
+    return M.paired_rows(_species(spark, d)).select("target_id", "pair_id", F.array_join(F.transform("rows", lambda x: x.cast("string")), ",").alias("rows"))
+
+
+def species_pairs(spark, d):
+    s = _species(spark, d)
+    q = s.filter("row_idx = 0").groupBy("msa_id").agg(F.min("seq").alias("q"))
+    s = s.join(q, "msa_id").withColumn("similarity", C.identity_score(F.col("seq"), F.col("q"))).filter("row_idx > 0")
+    out = M.species_pairs(s, "target_id", "chain_idx", "pair_id", "similarity", "row_id")
+    return out.select("target_id", "pair_id", F.col("rank").cast("long").alias("rank"), "row_0", "row_1")
+
+
+def column_frequency(spark, d):
+    return A.column_frequency(rows(spark, d), "msa_id").select("msa_id", F.col("pos").cast("long").alias("pos"), "aa", F.round("freq", 6).alias("freq"))
+
+
+def residue_frequency(spark, d):
+    return A.residue_frequency(rows(spark, d), "msa_id").select("msa_id", F.col("pos").cast("long").alias("pos"), "aa", F.round("p", 6).alias("p"), F.round("gap", 6).alias("gap"))
+
+
+def column_information(spark, d):
+    return A.column_information(rows(spark, d), "msa_id").select("msa_id", F.col("pos").cast("long").alias("pos"), "aa", F.round("information", 6).alias("information"))
+
+
+def profile(spark, d):
+    return A.profile(rows(spark, d), "msa_id", eps=1e-4).select("msa_id", F.col("pos").cast("long").alias("pos"), "aa", F.round("p", 6).alias("p"))
+
+
+def deletion_mean(spark, d):
+    return A.deletion_mean(rows(spark, d), "msa_id").select("msa_id", F.col("pos").cast("long").alias("pos"), F.round("deletion_mean", 6).alias("deletion_mean"))
+
+
+def gap_and_similarity(spark, d):
+    return A.gap_and_similarity(rows(spark, d)).select("row_id", F.round("gap_share", 6).alias("gap_share"), F.round("similarity", 6).alias("similarity"))
+
+
+def frequent_labels(spark, d):
+    return A.frequent_labels(t(spark, d, "bucket_store").filter("cdr3 is not null").withColumn("label", F.concat_ws("/", "cdr1_len", "cdr2_len")), "label", 16).select("row_ord")
+
+
+def _assigned(spark, d):
+    m = rows(spark, d)
+    centre = (F.col("row_idx") < 4)
+    assigned = m.select("row_id", F.concat_ws("#", "msa_id", (F.col("row_idx") % 4).cast("string")).alias("cluster"), centre.alias("is_centre"))
+    return m.select("row_id", "seq"), assigned
+
+
+def cluster_profile(spark, d):
+    m, assigned = _assigned(spark, d)
+    return A.cluster_profile(m, assigned).select("cluster", F.col("pos").cast("long").alias("pos"), "aa", F.round("p", 6).alias("p"))
+
+
+def reorder_by_likeness(spark, d):
+    m = rows(spark, d)
+    weights = m.groupBy("msa_id").agg(F.max(F.length("seq")).alias("n")).select("msa_id", F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: (i % 4).cast("double")).alias("weights"))
+    out = R.reorder_by_likeness(m.withColumn("ordinal", F.col("row_idx").cast("long") * 1000000000 + F.col("row_id")), weights, ["msa_id"], "ordinal")
+    return out.select("row_id", F.col("distance").alias("distance"), F.col("place").cast("long").alias("place"))
+
+
+def competition_rank(spark, d):
+    m = A.gap_and_similarity(rows(spark, d))
+    m = m.withColumn("similarity", F.round("similarity", 6))
+    return R.competition_rank(m, ["msa_id"], "similarity").select("row_id", F.col("rank").cast("long").alias("rank"))
+
+
+def distinct_top(spark, d):
+    m = A.gap_and_similarity(rows(spark, d)).filter("row_idx > 0").withColumn("similarity", F.round("similarity", 6))
+    return R.distinct_top(m, ["msa_id"], "seq", [F.desc("similarity"), F.asc("row_id")], 20).select("msa_id", "row_id", F.col("place").cast("long").alias("place"))
+
+
+def top_then_filter(spark, d):
+    m = A.gap_and_similarity(rows(spark, d)).withColumn("similarity", F.round("similarity", 6))
+    return R.top_then_filter(m, ["msa_id"], [F.desc("similarity"), F.asc("row_id")], 100, F.col("gap_share") == 0).select("row_id", F.col("index").cast("long").alias("index"))
+
+
+def strided_sample(spark, d):
+    return S.strided_sample(rows(spark, d), ["msa_id"], ["row_idx", "row_id"], 16, 3, 20).select("msa_id", F.col("bucket").cast("long").alias("bucket"), "row_id")
+
+
+def quota_sample(spark, d):
+    m = rows(spark, d).withColumn("cluster", F.length(F.regexp_replace("seq", "[^AL]", "")) % 5).withColumn("place", F.col("row_idx").cast("long") * 1000000000 + F.col("row_id"))
+    return S.quota_sample(m, "msa_id", "cluster", "place", 64).select("msa_id", F.col("cluster").cast("long").alias("cluster"), "row_id")
+
+
+def uniform_sample(spark, d):
+    return S.uniform_sample(rows(spark, d), ["msa_id"], "row_idx", 32, 7).select("msa_id", "row_id", "is_extra")
+
+
+def gumbel_order(spark, d):
+    return S.gumbel_order(rows(spark, d), ["msa_id"], "row_idx", F.lit(0.0), 7).select("msa_id", "row_id", "place")
+
+
+def masked_cells(spark, d):
+    m = rows(spark, d)
+    p = A.profile(m, "msa_id")
+    return S.masked_cells(A.cells(m, ["row_id", "msa_id"]), ["row_id"], p, ["msa_id", "pos"], 7).groupBy("row_id").agg(F.sum((F.col("aa") != F.col("corrupt")).cast("int")).alias("n_changed"), F.count(F.lit(1)).alias("n"))
+
+
+_NAMES = [
+    "dedup_first_wins", "drop_query_gaps", "pad_to_full", "merge_parts", "block_diagonal", "block_crop", "gap_islands", "gap_columns", "anti_join_paired",
+    "paired_rows", "species_pairs", "column_frequency", "residue_frequency", "column_information", "profile", "deletion_mean", "gap_and_similarity",
+    "frequent_labels", "cluster_profile", "reorder_by_likeness", "competition_rank", "distinct_top", "top_then_filter", "strided_sample", "quota_sample",
+    "uniform_sample", "gumbel_order", "masked_cells",
+]
+
+
+def queries() -> dict:
+    return {name: globals()[name] for name in _NAMES}
+
+
+_M = "WITH m AS (SELECT row_id, msa_id, row_idx, upper(seq) AS seq, description, deletions FROM msa_rows)"
+_MIX = "list_transform(range(1, length(a) + 1), lambda i: CASE WHEN substr(b, i, 1) = '-' THEN '-' ELSE substr(a, i, 1) END)"
+_GAPPED = f"""{_M}, one AS (SELECT msa_id, min(seq) AS s1 FROM m WHERE row_idx = 1 GROUP BY msa_id),
+    g0 AS (SELECT m.*, seq AS a, s1 AS b FROM m JOIN one USING (msa_id)), g AS (SELECT row_id, msa_id, row_idx, CASE WHEN row_idx = 0 THEN array_to_string({_MIX}, '') ELSE seq END AS seq FROM g0)"""
+_CELLS = f"{_M}, cells AS (SELECT row_id, msa_id, row_idx, pos - 1 AS pos, substr(seq, CAST(pos AS INTEGER), 1) AS aa FROM m, LATERAL (SELECT unnest(range(1, length(seq) + 1)) AS pos)), cnt AS (SELECT msa_id, pos, aa, count(*) AS n FROM cells GROUP BY ALL)"
+_P = f"{_CELLS}, w AS (SELECT *, sum(n) OVER (PARTITION BY msa_id, pos) AS total, coalesce(sum(n) FILTER (aa = '-') OVER (PARTITION BY msa_id, pos), 0) AS gaps FROM cnt), p AS (SELECT msa_id, pos, aa, n / (total - gaps) AS p, gaps / total AS gap FROM w WHERE aa <> '-')"
+_SIM = f"""{_M}, q AS (SELECT msa_id, min(seq) AS q FROM m WHERE row_idx = 0 GROUP BY msa_id),
+    sim AS (SELECT m.*, (length(seq) - length(replace(seq, '-', ''))) / length(seq) AS gap_share, list_sum(list_transform(range(1, length(seq) + 1), lambda i: CASE WHEN substr(seq, i, 1) = substr(q, i, 1) THEN 1 ELSE 0 END)) / length(seq) AS similarity FROM m JOIN q USING (msa_id))"""
+_SPECIES = f"{_M}, s AS (SELECT row_id, msa_id, row_idx, seq, 'p' || (CAST(substr(msa_id, 2, 8) AS INTEGER) // 2) AS target_id, CAST(substr(msa_id, 2, 8) AS INTEGER) % 2 AS chain_idx, coalesce(lower(trim(split_part(description, '|', 1))), '') AS pair_id FROM m)"
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "dedup_first_wins": f"{_M} SELECT msa_id, row_id FROM m QUALIFY row_number() OVER (PARTITION BY msa_id, seq ORDER BY row_idx, row_id) = 1",
+        "drop_query_gaps": f"{_GAPPED}, q AS (SELECT msa_id, min(seq) AS q FROM g WHERE row_idx = 0 GROUP BY msa_id) SELECT row_id, array_to_string(list_transform(list_filter(range(1, length(seq) + 1), lambda i: substr(q, i, 1) <> '-'), lambda i: substr(seq, i, 1)), '') AS seq FROM g JOIN q USING (msa_id)",
+        "pad_to_full": f"""{_M}, f AS (SELECT concat_ws('_', target_id, name) AS msa_id, min(regexp_replace(upper(full_seq), '[^A-Z]', '', 'g')) AS full_seq FROM chains WHERE name IS NOT NULL AND full_seq IS NOT NULL GROUP BY 1),
+            q AS (SELECT msa_id, full_seq, strpos(full_seq, replace(seq, '-', '')) - 1 AS pre FROM m JOIN f USING (msa_id) WHERE row_idx = 0),
+            r AS (SELECT row_id, CASE WHEN row_idx = 0 THEN full_seq ELSE repeat('-', pre) || seq || repeat('-', greatest(length(full_seq) - pre - length(seq), 0)) END AS seq FROM m JOIN q USING (msa_id) WHERE pre >= 0)
+            SELECT row_id, length(seq) AS n, seq FROM r""",
+        "merge_parts": f"{_M} SELECT msa_id || ':' || row_idx AS row_idx, substr(seq, 1, 40) || '---' || substr(seq, 51, 40) AS seq FROM m WHERE row_idx > 0 QUALIFY row_number() OVER (PARTITION BY msa_id, row_idx ORDER BY row_id) = 1",
+        "block_diagonal": f"""{_M}, b AS (SELECT row_id, seq, 'p' || (CAST(substr(msa_id, 2, 8) AS INTEGER) // 2) AS target_id, CAST(substr(msa_id, 2, 8) AS INTEGER) % 2 AS c FROM m), l AS (SELECT target_id, c, max(length(seq)) AS n FROM b GROUP BY ALL),
+            o AS (SELECT target_id, c, n, sum(n) OVER (PARTITION BY target_id ORDER BY c) - n AS pre, sum(n) OVER (PARTITION BY target_id) AS total FROM l)
+            SELECT row_id, repeat('-', CAST(pre AS BIGINT)) || seq || repeat('-', CAST(total - pre - n AS BIGINT)) AS seq FROM b JOIN o USING (target_id, c)""",
+        "block_crop": f"{_M} SELECT msa_id, row_id FROM m QUALIFY row_number() OVER (PARTITION BY msa_id ORDER BY row_idx, row_id) <= 100",
+        "gap_islands": f"""{_GAPPED}, c AS (SELECT row_id, pos - 1 AS pos FROM g, LATERAL (SELECT unnest(range(1, length(seq) + 1)) AS pos) WHERE row_idx <= 2 AND substr(seq, CAST(pos AS INTEGER), 1) = '-'),
+            r AS (SELECT row_id, pos, pos - row_number() OVER (PARTITION BY row_id ORDER BY pos) AS k FROM c) SELECT row_id, min(pos) AS start, max(pos) AS "end", count(*) AS n FROM r GROUP BY row_id, k HAVING count(*) > 3""",
+        "gap_columns": f"""{_CELLS}, f AS (SELECT msa_id, pos, max(CASE WHEN aa <> '-' THEN 1 ELSE 0 END) AS filled FROM cells WHERE row_idx = 1 GROUP BY ALL), l AS (SELECT msa_id, max(pos) AS last FROM f WHERE filled = 1 GROUP BY msa_id)
+            SELECT msa_id, pos FROM f JOIN l USING (msa_id) WHERE filled = 0 AND pos < last""",
+        "anti_join_paired": f"{_M} SELECT row_id FROM m WHERE row_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM m n WHERE n.row_id % 2 = 0 AND n.msa_id = m.msa_id AND n.seq = m.seq)",
+        "paired_rows": f"""{_SPECIES}, n AS (SELECT target_id, count(DISTINCT chain_idx) AS k FROM s GROUP BY target_id), l AS (SELECT target_id, pair_id, chain_idx, max(row_idx) AS r FROM s WHERE pair_id <> '' AND row_idx > 0 GROUP BY ALL),
+            f AS (SELECT target_id, pair_id, count(*) AS k, string_agg(CAST(r AS VARCHAR), ',' ORDER BY chain_idx) AS rows FROM l GROUP BY ALL)
+            SELECT target_id, pair_id, rows FROM f JOIN n USING (target_id, k) UNION ALL SELECT target_id, '', CASE k WHEN 1 THEN '0' ELSE '0,0' END FROM n""",
+        "species_pairs": f"""{_SPECIES}, q AS (SELECT msa_id, min(seq) AS q FROM s WHERE row_idx = 0 GROUP BY msa_id),
+            x AS (SELECT s.*, list_sum(list_transform(range(1, length(q) + 1), lambda i: CASE WHEN substr(seq, i, 1) = substr(q, i, 1) THEN 1 ELSE -1 END)) / length(q) AS sim FROM s JOIN q USING (msa_id) WHERE row_idx > 0 AND pair_id <> ''),
+            n AS (SELECT target_id, pair_id, chain_idx, count(*) AS m FROM x GROUP BY ALL), f AS (SELECT target_id, pair_id, min(m) AS least FROM n GROUP BY ALL HAVING count(*) > 1 AND max(m) <= 600),
+            r AS (SELECT target_id, pair_id, chain_idx, row_id, row_number() OVER (PARTITION BY target_id, pair_id, chain_idx ORDER BY sim DESC, row_id) AS rank FROM x)
+            SELECT target_id, pair_id, rank, coalesce(max(CASE WHEN chain_idx = 0 THEN row_id END), -1) AS row_0, coalesce(max(CASE WHEN chain_idx = 1 THEN row_id END), -1) AS row_1 FROM r JOIN f USING (target_id, pair_id) WHERE rank <= least GROUP BY target_id, pair_id, rank""",
+        "column_frequency": f"{_CELLS} SELECT msa_id, pos, aa, round(freq, 6) AS freq FROM (SELECT msa_id, pos, aa, n / sum(n) OVER (PARTITION BY msa_id, pos) AS freq FROM cnt) WHERE aa <> 'X'",
+        "residue_frequency": f"{_P} SELECT msa_id, pos, aa, round(p, 6) AS p, round(gap, 6) AS gap FROM p",
+        "column_information": f"{_P}, h AS (SELECT *, sum(-p * log2(p)) OVER (PARTITION BY msa_id, pos) AS h FROM p) SELECT msa_id, pos, aa, round((log2(20) - h) * p * (1 - gap), 6) AS information FROM h",
+        "profile": f"{_CELLS} SELECT msa_id, pos, aa, round(n / (sum(n) OVER (PARTITION BY msa_id, pos) + 1e-4), 6) AS p FROM cnt WHERE aa <> '-'",
+        "deletion_mean": "SELECT msa_id, pos - 1 AS pos, round(avg(d), 6) AS deletion_mean FROM (SELECT msa_id, unnest(deletions) AS d, unnest(range(1, len(deletions) + 1)) AS pos FROM msa_rows WHERE deletions IS NOT NULL) GROUP BY msa_id, pos",
+        "gap_and_similarity": f"{_SIM} SELECT row_id, round(gap_share, 6) AS gap_share, round(similarity, 6) AS similarity FROM sim",
+        "frequent_labels": "WITH l AS (SELECT row_ord, concat_ws('/', cdr1_len, cdr2_len) AS label FROM bucket_store WHERE cdr3 IS NOT NULL) SELECT row_ord FROM l QUALIFY count(*) OVER (PARTITION BY label) >= 16",
+        "cluster_profile": f"{_CELLS}, k AS (SELECT msa_id || '#' || (row_idx % 4) AS cluster, pos, aa, count(*) AS n FROM cells GROUP BY ALL), z AS (SELECT msa_id || '#' || (row_idx % 4) AS cluster, count(*) AS size FROM m GROUP BY ALL) SELECT cluster, pos, aa, round(n / (size + 1e-6), 6) AS p FROM k JOIN z USING (cluster)",
+        "reorder_by_likeness": f"""{_M}, f AS (SELECT msa_id, arg_min(seq, CAST(row_idx AS BIGINT) * 1000000000 + row_id) AS q FROM m GROUP BY msa_id),
+            x AS (SELECT row_id, msa_id, row_idx, CAST(list_sum(list_transform(range(1, length(q) + 1), lambda i: CASE WHEN substr(seq, i, 1) <> substr(q, i, 1) THEN i % 4 ELSE 0 END)) AS DOUBLE) AS distance FROM m JOIN f USING (msa_id))
+            SELECT row_id, distance, row_number() OVER (PARTITION BY msa_id ORDER BY distance, row_idx, row_id) - 1 AS place FROM x""",
+        "competition_rank": f"{_SIM} SELECT row_id, rank() OVER (PARTITION BY msa_id ORDER BY round(similarity, 6) DESC) - 1 AS rank FROM sim",
+        "distinct_top": f"{_SIM}, o AS (SELECT msa_id, row_id, round(similarity, 6) AS s FROM sim WHERE row_idx > 0 QUALIFY row_number() OVER (PARTITION BY msa_id, seq ORDER BY round(similarity, 6) DESC, row_id) = 1) SELECT msa_id, row_id, place FROM (SELECT *, row_number() OVER (PARTITION BY msa_id ORDER BY s DESC, row_id) AS place FROM o) WHERE place <= 20",
+        "top_then_filter": f'{_SIM} SELECT row_id, "index" FROM (SELECT *, row_number() OVER (PARTITION BY msa_id ORDER BY round(similarity, 6) DESC, row_id) AS "index" FROM sim) WHERE "index" <= 100 AND gap_share = 0',
+        "strided_sample": f"""{_M}, r AS (SELECT msa_id, row_id, row_number() OVER (PARTITION BY msa_id ORDER BY row_idx, row_id) - 1 AS r, count(*) OVER (PARTITION BY msa_id) AS n FROM m),
+            b AS (SELECT *, (SELECT min(i) FROM range(0, 16) x(i) WHERE r >= i * n // 16 AND r < (i + 1) * n // 16) AS bucket FROM r), c AS (SELECT *, r - min(r) OVER (PARTITION BY msa_id, bucket) AS p, count(*) OVER (PARTITION BY msa_id, bucket) AS k, min(bucket) OVER (PARTITION BY msa_id) AS b0 FROM b)
+            SELECT msa_id, bucket, row_id FROM c WHERE p = CASE WHEN bucket = b0 THEN 0 WHEN 3 >= k THEN k - 1 ELSE least((k // 19) * 3, k - 1) END""",
+    }

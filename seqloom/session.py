@@ -64,7 +64,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write df to the shared folder and read it back: the lineage is cut, and the loss of an executor costs nothing."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
