@@ -191,6 +191,7 @@ def _postings(order_of, words: int, splits: int, num: int, den: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = order_of.value
         for batch in batches:
+            batch = batch.take(pa.array(np.argsort(batch.column(0).to_numpy(zero_copy_only=False))))  # small steps between numbers
             gid = batch.column(0).to_numpy(zero_copy_only=False)
             alone = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             ranked = Ranked(batch.column(1).to_pylist(), order)
