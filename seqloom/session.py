@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -73,3 +74,13 @@ def drop_materialized(df: DataFrame) -> None:
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/seqloom-" in path:
             _delete(df.sparkSession, path)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let the driver forget finished plans, so that executors delete their shuffle files between two phases.
+
+    Spark deletes them when the driver's collector finds a plan unreachable, which on a large heap may be long after
+    the last use. What is still referenced, or was written by materialize(), isn't touched.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
