@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.components import components
-from seqloom.session import drop_materialized, materialize
+from seqloom.session import drop_materialized, materialize, release_shuffles
 
 K = 5
 #: Size of the frequency sketch: 2**SKETCH_BITS counters in SKETCH_BLOCKS blocks.
@@ -350,9 +350,11 @@ def near_duplicates(df: DataFrame, record_id: str, text: str, num: int = 3, den:
     give no pairs; columns other than the two named don't matter.
     """
     table, order_of = classes_of(df, record_id, text, num, den)
+    release_shuffles(df.sparkSession)  # the exchange that made the classes
     pairs = materialize(similar_classes(table, order_of, num, den), "pairs")
     copies = materialize(_copies(df, record_id, text, table), "copies")
     drop_materialized(table)
+    release_shuffles(df.sparkSession)  # postings and candidates
     wide = pairs.join(copies.toDF("u", "iu"), "u", "left").join(copies.toDF("v", "iv"), "v", "left")
     a, b = F.coalesce("iu", "u"), F.coalesce("iv", "v")
     return wide.select(F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b"))
@@ -363,6 +365,7 @@ def duplicate_groups(df: DataFrame, record_id: str, text: str, num: int = 3, den
     group_id the smallest id that can be reached by similar pairs, n_links the number of different texts it is similar
     to. Rows without five letters are classes of their own."""
     table, order_of = classes_of(df, record_id, text, num, den)
+    release_shuffles(df.sparkSession)  # the exchange that made the classes
     pairs = materialize(similar_classes(table, order_of, num, den), "pairs")
     links = pairs.select("u").unionAll(pairs.select("v")).groupBy(F.col("u").alias("cid")).agg(F.count(F.lit(1)).alias("n_links"))
     roots = components(pairs).toDF("cid", "root")
