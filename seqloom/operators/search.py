@@ -53,7 +53,7 @@ def entry_cycle(lens: Column, target: Sequence[int], tolerance: Sequence[int], g
     for i, (t, w, cycles) in enumerate(zip(target, tolerance, grown)):
         need = F.greatest(F.abs(F.get(lens, F.lit(i)) - t) - w, F.lit(0))
         table = F.array(F.lit(0), *[F.lit(c) for c in cycles])
-        never = never | need.isNull() | (need > len(cycles))
+        never = never | F.get(lens, F.lit(i)).isNull() | (need > len(cycles))
         worst = F.greatest(worst, F.get(table, need.cast("int")))
     return F.when(~never, worst)
 
