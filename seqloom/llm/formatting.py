@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqloom.session import scratch_path
+from seqloom.session import materialize, scratch_path
 
 KEY = ["key_a", "key_b"]
 _FIELD_NAMES = r"(?i)deletion_matrix|sequences"
@@ -97,13 +97,15 @@ class CopyLedger:
 
 
 def ledger_of(df: DataFrame, line: str, record_id: str, seen: str, arrived: str, n_batches: int = 2, n_buckets: int = 16) -> tuple[CopyLedger, DataFrame]:
-    """Feed a whole table to a new ledger in n_batches of arrival time; returns it and df with its keys.
+    """Feed a whole table to a new ledger in n_batches of arrival time; returns it and the records' ids and keys.
 
     Rows without an arrival time come with the first batch. The result is the same for any number of batches.
     """
-    keyed = with_record_key(df, line)
+    # the spellings are parsed once; what is kept is a key and the times of each record
+    keyed = with_record_key(df, line).select(*[F.col(f"`{c}`").alias(c) for c in dict.fromkeys([record_id, seen, arrived])], *KEY)
+    keyed = materialize(keyed, "keyed")
     when = F.col(f"`{arrived}`").cast("timestamp").cast("double")
-    low, high = df.agg(F.min(when), F.max(when)).first()
+    low, high = keyed.agg(F.min(when), F.max(when)).first()
     ledger = CopyLedger(df.sparkSession, n_buckets=n_buckets)
     if low is None or high == low:
         ledger.update(keyed, "0", record_id, seen)
