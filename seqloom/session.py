@@ -6,6 +6,7 @@ import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,5 +83,7 @@ def release_shuffles(spark: SparkSession) -> None:
     Spark deletes them when the driver's collector finds a plan unreachable, which on a large heap may be long after
     the last use. What is still referenced, or was written by materialize(), isn't touched.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for pause in (0.5, 0.5):  # the first round lets go of the plans, the second of what hung on them
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
