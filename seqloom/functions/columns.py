@@ -143,15 +143,21 @@ def spreadsheet_id(number: Column) -> Column:
     return letters
 
 
+# Fixed value: the form of an identifier that ends in a species code.
+SPECIES_FORM = r"^(?:tr|sp)\|[A-Za-z0-9]{6,10}(?:_\d)?\|[A-Za-z0-9]+_([A-Za-z0-9]{1,12})(?:_\d+)?$"
+# Characters that don't stand in a path.
+NO_PATH_CHARS = '<:"/\\|?*+-()[]{}'
+
+
 def species_id(description: Column) -> Column:
-    """The species part of a UniProt-like identifier, '' where there is none."""
-    name = F.element_at(F.split(F.trim(description), r"/|\s"), 1)
-    return F.when(name.isNull(), "").otherwise(F.regexp_extract(name, r"^(?:tr|sp)\|[A-Z0-9]{6,10}(?:_\d+)?\|(?:[A-Z0-9]{1,5,}|[A-Z0-9]{1,10})_([A-Z0-9]{1,5})(?:_\d+)?$".replace("{1,5,}", "{1,5}"), 1))
+    """The species code of the first word of a description (before a slash), '' where there is none."""
+    word = F.regexp_extract(description, r"^\s*([^\s/]*)", 1)
+    return F.coalesce(F.regexp_extract(word, SPECIES_FORM, 1), F.lit(""))
 
 
 def safe_name(name: Column) -> Column:
-    """A name fit for a path: sixteen special characters removed, blanks, commas and line ends as underscores."""
-    return F.regexp_replace(F.regexp_replace(name, r"[\[\]<>:\"/\\|?*{}()'`]", ""), r"[ ,\r\n]", "_")
+    """A name fit for a path: special characters removed, blanks, commas and line ends as underscores."""
+    return F.translate(F.translate(name, NO_PATH_CHARS, ""), " ,\r\n", "____")
 
 
 def gap_count(text: Column) -> Column:

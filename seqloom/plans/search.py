@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import columns as C
 from seqloom.operators import msa, search
 from seqloom.operators.ranking import competition_rank
+from seqloom.operators.ranking import ranking_metric as metric
 
 BAND = [10, 2, 10, 2, 10, 4, 5]
 START = [10, 0, 0, 0, 0, 0, 5]
@@ -176,6 +177,21 @@ def assembly_ids(spark, d):
     return c.select("chain_id", *[F.col(x).cast("long").alias(x) for x in ("asym_id", "entity_id", "sym_id")])
 
 
+def species_ids(spark, d):
+    """Identifiers made of the rows' own numbers, some of them malformed."""
+    m = t(spark, d, "msa_rows").select("row_id", F.concat(F.when(F.col("row_id") % 3 == 0, "sp|").otherwise("tr|"), F.lit("A0A8T2NDK"), F.col("row_idx").cast("string"), F.lit("|X_"), F.substring("msa_id", 7, 4), F.lit("/1-9 text")).alias("description"))
+    return m.select("row_id", C.species_id(F.col("description")).alias("species"))
+
+
+def ranking_metric(spark, d):
+    """Mean residue codes as confidences: the ranking value of each chain."""
+    s = region_store(spark, d)
+    mean = lambda i: F.length(F.regexp_replace(F.get("regions", F.lit(i)), "[^A-M]", "")) / F.length(F.get("regions", F.lit(i)))
+    h3 = F.when(F.col("chain_type") == "H", mean(5))
+    value = metric(h3, mean(1), F.length(F.get("regions", F.lit(1))), mean(0))
+    return s.select("chain_id", F.round(value, 6).alias("metric"))
+
+
 def residue_gap(spark, d):
     w = Window.partitionBy("target_id").orderBy("ord", "chain_id")
     return t(spark, d, "chains").select("chain_id", (200 * (F.row_number().over(w) - 1) + F.coalesce(F.sum(F.length("full_seq")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("long").alias("offset"))
@@ -201,7 +217,7 @@ _NAMES = [
     "band_filter", "relaxed_search", "search_top_k", "close_cdr3", "popcount_hamming", "weighted_hamming", "length_limits", "bucket_choice", "unpaired_search",
     "clonotype_search", "clonotype_groups", "skip_existing", "keep_set", "sliding_windows", "region_intervals", "region_vector", "safe_names", "residue_codes",
     "deletion_values", "query_identity", "letter_block", "spreadsheet_ids", "contiguous_split", "chunk_list", "positional_pairs", "self_pairs", "assembly_ids",
-    "residue_gap", "clonotype_join", "target_order", "fan_out",
+    "species_ids", "ranking_metric", "residue_gap", "clonotype_join", "target_order", "fan_out",
 ]
 
 
@@ -258,7 +274,7 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT chain_id, full_seq, unnest(CASE WHEN length(full_seq) > 200 THEN range(0, length(full_seq), 100) ELSE [0] END) AS start FROM chains WHERE length(full_seq) > 0)""",
         "region_intervals": f"{_STORE}, l AS (SELECT chain_id, i AS region, len(regions[i + 1]) AS n FROM s, range(0, 7) r(i)) SELECT chain_id, region, CAST(sum(n) OVER w - n AS BIGINT) AS s, CAST(sum(n) OVER w AS BIGINT) AS e FROM l WINDOW w AS (PARTITION BY chain_id ORDER BY region)",
         "region_vector": f"{_STORE}, l AS (SELECT chain_id, i AS region, len(regions[i + 1]) AS n FROM s, range(0, 7) r(i)), m AS (SELECT chain_id, region + 1 AS region, n, CAST(sum(n) OVER (PARTITION BY chain_id ORDER BY region) - n AS BIGINT) AS first FROM l) SELECT chain_id, region, n, first FROM m WHERE n > 0",
-        "safe_names": r"""WITH c AS (SELECT chain_id, target_id, regexp_replace(regexp_replace(name, '[\[\]<>:"/\\|?*{}()''`]', '', 'g'), '[ ,\r\n]', '_', 'g') AS clean FROM chains),
+        "safe_names": r"""WITH c AS (SELECT chain_id, target_id, translate(translate(name, '<:"/\|?*+-()[]{}', ''), chr(32) || ',' || chr(13) || chr(10), '____') AS clean FROM chains),
             n AS (SELECT *, row_number() OVER (PARTITION BY target_id, clean ORDER BY chain_id) AS k FROM c)
             SELECT chain_id, CASE WHEN length(clean) = 1 OR k > 1 THEN concat_ws('_', clean, target_id) ELSE clean END AS safe FROM n""",
         "residue_codes": f"""WITH f AS (SELECT row_id, seq, translate(upper(seq), 'BJOUZ', 'DXXCE') AS t FROM msa_rows), e AS (SELECT row_id, seq, t, list_transform(range(1, length(t) + 1), lambda i: substr(t, i, 1)) AS cs FROM f),
@@ -280,6 +296,9 @@ def oracle_sql() -> dict[str, str]:
         "self_pairs": "SELECT a.target_id, a.chain_id AS first, b.chain_id AS second FROM chains a JOIN chains b ON a.target_id = b.target_id AND a.chain_id < b.chain_id AND a.chain_type <> b.chain_type",
         "assembly_ids": """WITH a AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY ord, chain_id) AS asym_id FROM chains), f AS (SELECT *, min(asym_id) OVER (PARTITION BY target_id, full_seq) AS fst FROM a)
             SELECT chain_id, asym_id, dense_rank() OVER (PARTITION BY target_id ORDER BY fst) AS entity_id, row_number() OVER (PARTITION BY target_id, full_seq ORDER BY asym_id) AS sym_id FROM f""",
+        "species_ids": "WITH d AS (SELECT row_id, 'A0A8T2NDK' || row_idx AS acc, substr(msa_id, 7, 4) AS sp FROM msa_rows) SELECT row_id, CASE WHEN length(acc) BETWEEN 6 AND 10 AND regexp_full_match(sp, '[A-Za-z0-9]{1,12}') THEN sp WHEN length(acc) BETWEEN 6 AND 10 AND regexp_full_match(sp, '[A-Za-z0-9]{1,12}_[0-9]+') THEN split_part(sp, '_', 1) ELSE '' END AS species FROM d",
+        "ranking_metric": f"""{_STORE}, v AS (SELECT chain_id, chain_type, length(regions[2]) AS n1, list_transform(regions, lambda r: length(regexp_replace(r, '[^A-M]', '', 'g')) / length(r)) AS m FROM s)
+            SELECT chain_id, round(CASE WHEN chain_type <> 'H' OR chain_type IS NULL OR m[6] IS NULL THEN m[1] WHEN n1 > 12 THEN (m[2] + m[6]) / 2 ELSE m[6] END, 6) AS metric FROM v""",
         "residue_gap": 'SELECT chain_id, CAST(200 * (row_number() OVER w - 1) + coalesce(sum(length(full_seq)) OVER (PARTITION BY target_id ORDER BY ord, chain_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM chains WINDOW w AS (PARTITION BY target_id ORDER BY ord, chain_id)',
         "clonotype_join": "SELECT chain_id, last_clonotype FROM chains JOIN (SELECT target_id, name, arg_max(clonotype, chain_id) AS last_clonotype FROM chains WHERE clonotype IS NOT NULL GROUP BY target_id, name) USING (target_id, name)",
         "target_order": "SELECT target_id, CAST(coalesce(sum(length(full_seq)), 0) AS BIGINT) AS length FROM chains GROUP BY target_id",
