@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import columns as C
 from seqloom.operators import aggregates as A
+from seqloom.operators import features as X
 from seqloom.operators import msa as M
 from seqloom.operators import ranking as R
 from seqloom.operators import sampling as S
@@ -190,7 +191,75 @@ def masked_cells(spark, d):
     return S.masked_cells(A.cells(m, ["row_id", "msa_id"]), ["row_id"], p, ["msa_id", "pos"], 7).groupBy("row_id").agg(F.sum((F.col("aa") != F.col("corrupt")).cast("int")).alias("n_changed"), F.count(F.lit(1)).alias("n"))
 
 
+def _chains(spark, d):
+    return t(spark, d, "chains").filter("length(full_seq) > 0").withColumn("full_seq", F.regexp_replace(F.upper("full_seq"), "[^A-Z]", ""))
+
+
+def sequence_features(spark, d):
+    f = X.sequence_features(_chains(spark, d), "full_seq")
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    hot = X.target_features(F.col("aatype"), 22)
+    return f.select("chain_id", F.col("seq_length").cast("long").alias("n"), total("residue_index").alias("index_sum"), total("aatype").alias("aa_sum"), total(F.transform(hot, lambda v: X.argmax(v) - 1)).alias("hot_sum"), F.aggregate("seq_mask", F.lit(0.0), lambda s, x: s + x).alias("mask_sum"), F.size(X.pad_to(F.col("aatype"), 50, F.lit(0))).cast("long").alias("padded"))
+
+
+def alignment_features(spark, d):
+    m = rows(spark, d).filter("row_idx <= 5 and deletions is not null")
+    f = X.alignment_features(C.residue_codes(F.col("seq")), F.col("deletions"))
+    return m.select("row_id", F.size(f).cast("long").alias("n"), F.round(F.aggregate(F.transform(f, lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)), F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+
+
+def mask_ends(spark, d):
+    return rows(spark, d).select("row_id", X.mask_ends(F.col("seq"), F.lit(10), F.lit(12)).alias("seq"))
+
+
+def slice_part(spark, d):
+    return X.slice_part(rows(spark, d), F.substring("seq", 21, 30)).select("row_id", "seq")
+
+
+def merge_homomers(spark, d):
+    m = M.first_wins(_two_chains(rows(spark, d)).select("target_id", "chain_idx", "row_idx", "row_id", "seq"), ["target_id", "chain_idx", "row_idx"], ["row_id"])
+    return X.merge_homomers(m, ["target_id", "row_idx"], "chain_idx", "seq")
+
+
+def stack_blocks(spark, d):
+    m = rows(spark, d).select("row_id", "msa_id")
+    return X.stack_blocks(m.filter("row_id % 2 = 0"), m.filter("row_id % 2 = 1")).groupBy("msa_id", F.col("block").cast("long").alias("block")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def missing_rows(spark, d):
+    return X.missing_rows(rows(spark, d).groupBy("msa_id").agg(F.count(F.lit(1)).alias("n")), "msa_id", "n", 128)
+
+
+def random_unknown(spark, d):
+    c = X.random_unknown(A.cells(rows(spark, d), ["row_id"]), ["row_id"], 0.1, 11)
+    return c.groupBy("row_id").agg(F.sum((F.col("aa") == "X").cast("long")).alias("n_unknown"))
+
+
+def contiguous_crop(spark, d):
+    return X.contiguous_crop(_chains(spark, d), "chain_id", "full_seq", 64, 3).select("chain_id", "crop_start", "full_seq")
+
+
+def ensemble(spark, d):
+    return X.ensemble(rows(spark, d).filter("row_idx = 0").select("msa_id"), 4).groupBy("msa_id").agg(F.count(F.lit(1)).alias("n"), F.max("turn").cast("long").alias("last"))
+
+
+def chain_names(spark, d):
+    return X.chain_names(t(spark, d, "chains"), "target_id", ["ord", "chain_id"]).select("chain_id", "chain_name")
+
+
+def is_homomer(spark, d):
+    a = M.assembly_ids(t(spark, d, "chains"), "target_id", ["ord", "chain_id"], "full_seq", by_sequence=True)
+    return X.is_homomer(a, "target_id", "entity_id")
+
+
+def seqres_lines(spark, d):
+    out = _chains(spark, d).select("chain_id", F.posexplode(X.seqres_lines(F.col("full_seq"), F.lit("A"))).alias("k", "line"))
+    return out.select("chain_id", F.col("k").cast("long").alias("k"), "line")
+
+
 _NAMES = [
+    "sequence_features", "alignment_features", "mask_ends", "slice_part", "merge_homomers", "stack_blocks", "missing_rows", "random_unknown",
+    "contiguous_crop", "ensemble", "chain_names", "is_homomer", "seqres_lines",
     "dedup_first_wins", "drop_query_gaps", "pad_to_full", "merge_parts", "block_diagonal", "block_crop", "gap_islands", "gap_columns", "anti_join_paired",
     "paired_rows", "species_pairs", "column_frequency", "residue_frequency", "column_information", "profile", "deletion_mean", "gap_and_similarity",
     "frequent_labels", "cluster_profile", "reorder_by_likeness", "competition_rank", "distinct_top", "top_then_filter", "strided_sample", "quota_sample",
@@ -213,8 +282,25 @@ _SIM = f"""{_M}, q AS (SELECT msa_id, min(seq) AS q FROM m WHERE row_idx = 0 GRO
 _SPECIES = f"{_M}, s AS (SELECT row_id, msa_id, row_idx, seq, 'p' || (CAST(substr(msa_id, 2, 8) AS INTEGER) // 2) AS target_id, CAST(substr(msa_id, 2, 8) AS INTEGER) % 2 AS chain_idx, coalesce(lower(trim(split_part(description, '|', 1))), '') AS pair_id FROM m)"
 
 
+_C = "WITH c AS (SELECT *, regexp_replace(upper(full_seq), '[^A-Z]', '', 'g') AS s FROM chains WHERE length(full_seq) > 0), "
+
+
 def oracle_sql() -> dict[str, str]:
+    code = "CASE WHEN strpos('ACDEFGHIKLMNPQRSTVWYX-', c) > 0 THEN strpos('ACDEFGHIKLMNPQRSTVWYX-', c) - 1 ELSE 20 END"
     return {
+        "sequence_features": f"""{_C} k AS (SELECT chain_id, length(s) AS n, list_sum(list_transform(split(translate(s, 'BJOUZ', 'DXXCE'), ''), lambda c: {code})) AS a FROM c)
+            SELECT chain_id, n, n * (n - 1) // 2 AS index_sum, CAST(a AS BIGINT) AS aa_sum, CAST(a AS BIGINT) AS hot_sum, CAST(n AS DOUBLE) AS mask_sum, CAST(ceil(n / 50) * 50 AS BIGINT) AS padded FROM k""",
+        "alignment_features": f"{_M} SELECT row_id, length(seq) AS n, round(length(seq) + list_sum(list_transform(deletions, lambda x: least(greatest(x, 0), 1) + atan(x / 3.0) * 2 / pi())), 5) AS total FROM m WHERE row_idx <= 5 AND deletions IS NOT NULL",
+        "mask_ends": f"{_M} SELECT row_id, repeat('-', 10) || substr(seq, 11, length(seq) - 22) || repeat('-', 12) AS seq FROM m",
+        "slice_part": f"{_M}, q AS (SELECT msa_id, min(strpos(seq, substr(seq, 21, 30))) AS pre FROM m WHERE row_idx = 0 GROUP BY msa_id) SELECT row_id, substr(seq, CAST(pre AS INTEGER), 30) AS seq FROM m JOIN q USING (msa_id)",
+        "merge_homomers": f"{_M}, b AS (SELECT 'p' || (CAST(substr(msa_id, 2, 8) AS INTEGER) // 2) AS target_id, CAST(substr(msa_id, 2, 8) AS INTEGER) % 2 AS c, row_idx, seq FROM m QUALIFY row_number() OVER (PARTITION BY msa_id, row_idx ORDER BY row_id) = 1) SELECT target_id, row_idx, string_agg(seq, '' ORDER BY c) AS seq FROM b GROUP BY ALL",
+        "stack_blocks": f"{_M} SELECT msa_id, row_id % 2 AS block, count(*) AS n FROM m GROUP BY 1, 2",
+        "missing_rows": f"{_M}, n AS (SELECT msa_id, count(*) AS n FROM m GROUP BY 1) SELECT msa_id, unnest(range(n, 128)) AS pad_idx FROM n WHERE n < 128",
+        "ensemble": f"{_M} SELECT msa_id, 4 * count(*) AS n, CAST(3 AS BIGINT) AS last FROM m WHERE row_idx = 0 GROUP BY msa_id",
+        "chain_names": "SELECT chain_id, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789', CAST(row_number() OVER (PARTITION BY target_id ORDER BY ord, chain_id) AS INTEGER), 1) AS chain_name FROM chains",
+        "is_homomer": "SELECT target_id, count(DISTINCT coalesce(full_seq, '')) = 1 AS is_homomer FROM chains GROUP BY target_id",
+        "seqres_lines": f"""{_C} l AS (SELECT chain_id, s, unnest(range(0, (length(s) - 1) // 13 + 1)) AS k FROM c)
+            SELECT chain_id, k, format('SEQRES {{:3d}} A {{:4d}}    {{}}', k + 1, length(s), array_to_string(split(substr(s, CAST(k * 13 + 1 AS INTEGER), 13), ''), '   ')) AS line FROM l""",
         "dedup_first_wins": f"{_M} SELECT msa_id, row_id FROM m QUALIFY row_number() OVER (PARTITION BY msa_id, seq ORDER BY row_idx, row_id) = 1",
         "drop_query_gaps": f"{_GAPPED}, q AS (SELECT msa_id, min(seq) AS q FROM g WHERE row_idx = 0 GROUP BY msa_id) SELECT row_id, array_to_string(list_transform(list_filter(range(1, length(seq) + 1), lambda i: substr(q, i, 1) <> '-'), lambda i: substr(seq, i, 1)), '') AS seq FROM g JOIN q USING (msa_id)",
         "pad_to_full": f"""{_M}, f AS (SELECT concat_ws('_', target_id, name) AS msa_id, min(regexp_replace(upper(full_seq), '[^A-Z]', '', 'g')) AS full_seq FROM chains WHERE name IS NOT NULL AND full_seq IS NOT NULL GROUP BY 1),
