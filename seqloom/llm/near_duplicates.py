@@ -30,12 +30,11 @@ from seqloom.session import drop_materialized, materialize, release_shuffles
 K = 5
 #: Size of the frequency sketch: 2**SKETCH_BITS counters in SKETCH_BLOCKS blocks.
 SKETCH_BITS, SKETCH_BLOCKS = 20, 16
-#: Classes of tokens, each of which is joined by itself.
-CLASSES = 4
+#: Classes of tokens, each of which is joined by itself: one for so many sequences, within limits; beyond the upper limit
+#: the probes of a class are split.
+ROWS_A_CLASS, LEAST_CLASSES, MOST_CLASSES = 250_000, 4, 40
 #: Sketch bits for each token of a long set (one of twenty is longer); a sketch has at most 64 words of 64 bits.
 BITS_A_TOKEN, MOST_WORDS = 1.8, 64
-#: Sequences whose probes one join task takes.
-PROBES_A_TASK = 2_000_000
 
 
 def token_table(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +180,7 @@ def _unpack(raw: bytes, n: int) -> list[np.ndarray]:
     return [np.cumsum(gid), size, count, own, np.frombuffer(raw[20 * n :], np.uint64).reshape(n, -1)]
 
 
-def _postings(order_of, words: int, splits: int, num: int, den: int):
+def _postings(order_of, words: int, classes: int, splits: int, num: int, den: int):
     """gid, letters, alone -> packed blocks by class and split.
 
     A block holds, for each sequence, how many tokens it has in the class, rare ones first, how many of them are in its
@@ -200,10 +199,10 @@ def _postings(order_of, words: int, splits: int, num: int, den: int):
             place = np.arange(len(ranked.row)) - ranked.start[ranked.row]
             keep = place < probe[ranked.row]
             row, code, indexed = ranked.row[keep], ranked.code[keep], (place < index[ranked.row])[keep]
-            cls = _class(code, CLASSES)
+            cls = _class(code, classes)
             home = (gid[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % splits
             rows = []
-            for c in range(CLASSES):
+            for c in range(classes):
                 for split in range(splits):
                     at = np.flatnonzero((cls == c) & (indexed | (home == split)))
                     if not len(at):
@@ -319,8 +318,9 @@ def classes_of(df: DataFrame, record_id: str, text: str, num: int = 3, den: int
 def similar_classes(table: DataFrame, order_of, num: int = 3, den: int = 5) -> DataFrame:
     """(u, v), u < v: the smallest ids of two different sequences whose similarity is at least num/den."""
     n, long = table.agg(F.count(F.lit(1)), F.percentile_approx(F.length("letters"), 0.95, 1000)).first()
-    splits, words = max(1, -(-n // PROBES_A_TASK)), int(min(MOST_WORDS, max(1, -(-BITS_A_TOKEN * (long or 0) // 64))))
-    posted = table.filter("place = 1").select("gid", "letters", "alone").mapInArrow(_postings(order_of, words, splits, num, den), _POSTING)
+    classes = min(MOST_CLASSES, max(LEAST_CLASSES, -(-n // ROWS_A_CLASS)))
+    splits, words = max(1, -(-n // (classes * ROWS_A_CLASS))), int(min(MOST_WORDS, max(1, -(-BITS_A_TOKEN * (long or 0) // 64))))
+    posted = table.filter("place = 1").select("gid", "letters", "alone").mapInArrow(_postings(order_of, words, classes, splits, num, den), _POSTING)
     met = posted.groupBy("cls", "split").applyInArrow(_join_class(num, den), "ga long, gb long").distinct()
     inner = table.filter("place = 2").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
     members = table.select("gid", "cid", "letters")

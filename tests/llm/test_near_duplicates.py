@@ -57,7 +57,7 @@ def test_all_pairs_are_found(spark):
 
 
 def test_probes_split_over_tasks(spark, monkeypatch):
-    monkeypatch.setattr(nd, "PROBES_A_TASK", 40)
+    monkeypatch.setattr(nd, "ROWS_A_CLASS", 1)
     rows = rows_of(2, [8, 40, 100], 15, 7)
     df = spark.createDataFrame(rows, "id long, s string")
     assert {tuple(r) for r in nd.near_duplicates(df, "id", "s").collect()} == brute(rows)
