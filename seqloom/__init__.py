@@ -1 +1,8 @@
 """seqloom: sequence search, alignment algebra and corpus operators as Spark plans."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with their tasks, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
