@@ -7,7 +7,12 @@ word, ``loose`` is the share of its neighbour mass that is as likely in the swap
 the order); a word next to itself counts as loose. Three rounds over the corpus: (1) neighbour counts, giving loose;
 (2) how often each word stands in windows of high mean looseness, giving ``affinity`` (which reaches tags and codes
 that have an order of their own but live among keywords); (3) the share of each document's words that stand in windows
-of high mean affinity. Links count as one word and are always loose. Collocations that a page repeats are reported.
+of high mean affinity. Links count as one word and are always loose.
+
+A phrase repeated in a fixed order has no loose words, so excessive repetition is judged within the page: neighbours
+that stand together REPEATS times within WITHIN words are a repeated collocation, and an unbroken run of at least RUN
+words of such collocations counts as keywords too. Numbers end a run and words keep their digits here: lists, log lines
+and prose from templates repeat much as well, but have a number, a name or a code that differs every few words.
 
 Counts cover all documents. The word tables that are shipped hold words with at least total / MAX_WORDS occurrences, so
 there are at most MAX_WORDS of them; rarer words are unknown and don't count in window means.
@@ -30,6 +35,8 @@ MAX_WORDS, LEAST_COUNT = 200_000, 20
 #: Words on each side of a window, and known words that a mean is taken over at least.
 SIDE, LEAST_KNOWN = 7, 4
 LOOSE, AFFINE, MOST = 0.15, 0.4, 0.5
+#: A collocation is repeated excessively if it stands so many times within so many words; words in a run at least.
+REPEATS, WITHIN, RUN = 5, 400, 16
 URL, NUMBER = "<url>", "0"
 _TOKEN = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]|]+|[^\W_]+")
 #: Distinct pairs that a task holds before it hands its counts on.
@@ -47,6 +54,25 @@ def tokens(text: str) -> list[str]:
     return out
 
 
+def repeated_words(text: str) -> np.ndarray:
+    """For each token whether it stands in a run of collocations that are repeated excessively."""
+    words = _TOKEN.findall(text.lower())
+    at: dict[tuple[str, str], list[int]] = {}
+    for i, pair in enumerate(zip(words, words[1:])):
+        if not (pair[0].isdigit() or pair[1].isdigit()):
+            at.setdefault(pair, []).append(i)
+    on = np.zeros(len(words), bool)
+    for places in at.values():
+        for first, last in zip(range(len(places)), range(REPEATS - 1, len(places))):
+            if places[last] - places[first] < WITHIN:
+                for i in places[first : last + 1]:
+                    on[i : i + 2] = True
+    edges = np.flatnonzero(np.diff(np.r_[0, on.astype(int), 0]))
+    for low, high in zip(edges[::2], edges[1::2]):
+        on[low:high] = high - low >= RUN
+    return on
+
+
 def word_weights(words: list[str]) -> np.ndarray:
     """How many words each token stands for: Chinese has no word breaks, two of its characters count as a word."""
     return np.array([max(1, len(w) // 2) if "\u3400" <= w[0] <= "\u9fff" else 1 for w in words])
@@ -100,8 +126,8 @@ def loose_words(docs: DataFrame) -> DataFrame:
 def keyword_share(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, keyword_share, repeated_share, is_keyword_page) of every document that has words.
 
-    keyword_share is the share of words in windows of high affinity; repeated_share the share of neighbour pairs that
-    the document has three times or more. A document is a keyword page if keyword_share is above one half. Null, blank
+    keyword_share is the share of words in windows of high affinity or in runs of collocations that are repeated
+    excessively; repeated_share the share of neighbour pairs that the document has three times or more. A document is a keyword page if keyword_share is above one half. Null, blank
     and wordless texts have no row; copies get a row each; whole texts are read. Other columns don't matter.
     """
     spark = docs.sparkSession
@@ -119,7 +145,7 @@ def keyword_share(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
                 w = tokens(t)
                 if w:
                     held.update(x for x, on in zip(w, window_means(w, score) >= LOOSE) if on and x in score)
-        yield pd.DataFrame({"word": list(held), "n": list(held.values())})  # at most MAX_WORDS words
+        yield pd.DataFrame(list(held.items()), columns=["word", "n"])  # at most MAX_WORDS words
 
     among_keywords = plain.select("text").mapInPandas(among, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     seen = {r["word"]: r["n"] for r in among_keywords}
@@ -136,7 +162,10 @@ def keyword_share(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
                 pairs = Counter(zip(w, w[1:]))
                 again = sum(c for c in pairs.values() if c >= 3) / max(1, len(w) - 1)
                 weight = word_weights(w)
-                share = float(weight[window_means(w, score) >= AFFINE].sum() / weight.sum())
+                among = window_means(w, score) >= AFFINE
+                if max(pairs.values(), default=0) >= REPEATS:
+                    among |= repeated_words(t)
+                share = float(weight[among].sum() / weight.sum())
                 rows.append((doc, len(w), share, again, share > MOST))
             yield pd.DataFrame(rows, columns=["doc", "n_words", "keyword_share", "repeated_share", "is_keyword_page"])
 

@@ -98,3 +98,34 @@ def test_keyword_pages(spark):
     assert set(got) == {i for i, t in rows if t and t.strip()}
     assert {i for i, r in got.items() if r["is_keyword_page"] and i < 900} == {i for i in range(300) if i % 10 in (0, 1, 2)}
     assert keyword_pages.keyword_share(df.limit(0)).count() == 0
+
+
+def test_repeated_phrases(spark):
+    rng = random.Random(4)
+
+    def name():
+        return "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(4))
+
+    def prose(n):
+        return " ".join(f"the {name()} of this {name()} was left with its {name()} and then kept." for _ in range(n))
+
+    rows, want = [], set()
+    for i in range(80):
+        phrase, kind = " ".join(name() for _ in range(4)), i % 8
+        if kind == 0:
+            text = " ".join([phrase] * 60)
+        elif kind == 1:
+            text = prose(4) + "\n" + "; ".join(rng.choice([phrase, phrase[::-1], phrase[5:] + "x"]) for _ in range(60))
+        elif kind == 2:
+            text = "\n".join(f"warn: negative gap length at row {rng.randrange(9999)}" for _ in range(60))
+        elif kind == 3:
+            text = "\n".join(f"melting point of the antibody {name()} was {rng.randrange(99)}.{k} degrees" for k in range(60))
+        elif kind == 4:
+            text = prose(12) + " " + " ".join([phrase] * 6)
+        else:
+            text = prose(12)
+        rows.append((i, text))
+        if kind < 2:
+            want.add(i)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in keyword_pages.keyword_share(df).collect() if r["is_keyword_page"]} == want
