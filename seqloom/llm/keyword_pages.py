@@ -14,24 +14,27 @@ that stand together REPEATS times within WITHIN words are a repeated collocation
 words of such collocations counts as keywords too. Numbers end a run and words keep their digits here: lists, log lines
 and prose from templates repeat much as well, but have a number, a name or a code that differs every few words.
 
-Counts cover all documents. The word tables that are shipped hold words with at least total / MAX_WORDS occurrences, so
-there are at most MAX_WORDS of them; rarer words are unknown and don't count in window means.
+Counts cover all documents and every word has a score. A score from few occurrences is weak: window means are taken
+over the words with LEAST_COUNT occurrences, and again over all words, each weighted by n / (n + EVIDENCE) of its n
+occurrences; the higher mean counts. Words with at least total / MAX_WORDS occurrences, of which there are at most
+MAX_WORDS, are shipped to the workers; the scores of rarer ones are joined to the texts they stand in.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.session import materialize
 
-MAX_WORDS, LEAST_COUNT = 200_000, 20
+MAX_WORDS, LEAST_COUNT, EVIDENCE = 200_000, 20, 5
 #: Words on each side of a window, and known words that a mean is taken over at least.
 SIDE, LEAST_KNOWN = 7, 4
 LOOSE, AFFINE, MOST = 0.15, 0.4, 0.5
@@ -78,14 +81,21 @@ def word_weights(words: list[str]) -> np.ndarray:
     return np.array([max(1, len(w) // 2) if "\u3400" <= w[0] <= "\u9fff" else 1 for w in words])
 
 
-def window_means(words: list[str], score: dict[str, float]) -> np.ndarray:
-    """Mean score of the known words around each word."""
-    v = np.array([score.get(w, -1.0) for w in words])
-    known = (v >= 0).astype(float)
-    cs, ck = np.r_[0, np.cumsum(np.maximum(v, 0))], np.r_[0, np.cumsum(known)]
+def window_means(words: list[str], score: dict[str, tuple[int, float]]) -> np.ndarray:
+    """Mean score of the words around each word: of the frequent ones or of all by their weight, whichever is higher.
+
+    score has the occurrences and the score of a word. Numbers have none.
+    """
+    found = [score.get(w, (0, 0.0)) for w in words]
+    n, v = np.array([f[0] for f in found], float), np.array([f[1] for f in found])
     i = np.arange(len(words))
     low, high = np.maximum(0, i - SIDE), np.minimum(len(words), i + SIDE + 1)
-    return (cs[high] - cs[low]) / np.maximum(LEAST_KNOWN, ck[high] - ck[low])
+
+    def mean(weight: np.ndarray) -> np.ndarray:
+        cs, ck = np.r_[0, np.cumsum(v * weight)], np.r_[0, np.cumsum(weight)]
+        return (cs[high] - cs[low]) / np.maximum(LEAST_KNOWN, ck[high] - ck[low])
+
+    return np.maximum(mean((n >= LEAST_COUNT).astype(float)), mean(n / (n + EVIDENCE)))
 
 
 def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,6 +133,32 @@ def loose_words(docs: DataFrame) -> DataFrame:
     return n.join(of_word, "word", "left").select("word", "n", F.coalesce("loose", F.lit(0.0)).alias("loose"))
 
 
+def scored_texts(plain: DataFrame, scores: DataFrame, floor: int) -> tuple[DataFrame, Broadcast]:
+    """The texts with the scores of their rare words, and those of all words with at least floor occurrences.
+
+    scores is (word, n, score); texts get the column rare, an array of such structs or null. A rare word has fewer than
+    floor occurrences, so no key of the join is hot; copies of a text share their list.
+    """
+    frequent = {r["word"]: (r["n"], r["score"]) for r in scores.filter(F.col("n") >= floor).collect()}  # at most MAX_WORDS
+    shipped = plain.sparkSession.sparkContext.broadcast(frequent | {URL: (2**40, 1.0)})
+    if floor <= 1:
+        return plain.withColumn("rare", F.lit(None).cast("array<struct<word: string, n: bigint, score: double>>")), shipped
+
+    def rare_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, w) for k, t in zip(batch["key"], batch["text"]) for w in set(tokens(t)) if w != NUMBER and w not in shipped.value]
+            yield pd.DataFrame(rows, columns=["key", "word"])
+
+    keyed = plain.withColumn("key", F.sha2("text", 256))
+    rare = keyed.select("key", "text").mapInPandas(rare_words, "key string, word string").join(scores.filter(F.col("n") < floor), "word")
+    lists = rare.groupBy("key").agg(F.collect_set(F.struct("word", "n", "score")).alias("rare"))
+    return keyed.join(lists, "key", "left").drop("key"), shipped
+
+
+def _with_rare(shipped: dict, rare) -> dict:
+    return shipped if rare is None or not len(rare) else ChainMap({r["word"]: (r["n"], r["score"]) for r in rare}, shipped)
+
+
 def keyword_share(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, keyword_share, repeated_share, is_keyword_page) of every document that has words.
 
@@ -130,44 +166,45 @@ def keyword_share(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     excessively; repeated_share the share of neighbour pairs that the document has three times or more. A document is a keyword page if keyword_share is above one half. Null, blank
     and wordless texts have no row; copies get a row each; whole texts are read. Other columns don't matter.
     """
-    spark = docs.sparkSession
     plain = docs.filter(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     words = materialize(loose_words(plain.select("text")), "words")
-    total = words.agg(F.sum("n")).first()[0] or 0
-    floor = max(LEAST_COUNT, -(-total // MAX_WORDS))
-    known = {r["word"]: (r["n"], r["loose"]) for r in words.filter(F.col("n") >= floor).filter(~F.col("word").isin(URL, NUMBER)).collect()}  # at most MAX_WORDS
-    loose = spark.sparkContext.broadcast({w: s for w, (_, s) in known.items()} | {URL: 1.0})
+    size = words.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct")).first()
+    floor = -(-size["total"] // MAX_WORDS) if size["distinct"] > MAX_WORDS else 1
+    words = words.filter(~F.col("word").isin(URL, NUMBER))
+    texts, loose = scored_texts(plain, words.withColumnRenamed("loose", "score"), floor)
 
     def among(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score, held = loose.value, Counter()
+        held: Counter = Counter()
         for batch in batches:
-            for t in batch["text"]:
+            for t, rare in zip(batch["text"], batch["rare"]):
                 w = tokens(t)
                 if w:
-                    held.update(x for x, on in zip(w, window_means(w, score) >= LOOSE) if on and x in score)
-        yield pd.DataFrame(list(held.items()), columns=["word", "n"])  # at most MAX_WORDS words
+                    held.update(x for x, on in zip(w, window_means(w, _with_rare(loose.value, rare)) >= LOOSE) if on and x not in (URL, NUMBER))
+            if len(held) > _FLUSH:
+                yield pd.DataFrame(list(held.items()), columns=["word", "held"])
+                held = Counter()
+        yield pd.DataFrame(list(held.items()), columns=["word", "held"])
 
-    among_keywords = plain.select("text").mapInPandas(among, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    seen = {r["word"]: r["n"] for r in among_keywords}
-    affinity = spark.sparkContext.broadcast({w: seen.get(w, 0) / n for w, (n, _) in known.items()} | {URL: 1.0})
+    among_keywords = texts.select("text", "rare").mapInPandas(among, "word string, held long").groupBy("word").agg(F.sum("held").alias("held"))
+    scores = words.join(among_keywords, "word", "left").select("word", "n", (F.coalesce("held", F.lit(0)) / F.col("n")).alias("score"))
+    texts, affinity = scored_texts(plain, materialize(scores, "affinity"), floor)
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = affinity.value
         for batch in batches:
             rows = []
-            for doc, t in zip(batch["doc"], batch["text"]):
+            for doc, t, rare in zip(batch["doc"], batch["text"], batch["rare"]):
                 w = tokens(t)
                 if not w:
                     continue
                 pairs = Counter(zip(w, w[1:]))
                 again = sum(c for c in pairs.values() if c >= 3) / max(1, len(w) - 1)
                 weight = word_weights(w)
-                among = window_means(w, score) >= AFFINE
+                among = window_means(w, _with_rare(affinity.value, rare)) >= AFFINE
                 if max(pairs.values(), default=0) >= REPEATS:
                     among |= repeated_words(t)
                 share = float(weight[among].sum() / weight.sum())
                 rows.append((doc, len(w), share, again, share > MOST))
             yield pd.DataFrame(rows, columns=["doc", "n_words", "keyword_share", "repeated_share", "is_keyword_page"])
 
-    rated = plain.mapInPandas(rate, "doc long, n_words int, keyword_share double, repeated_share double, is_keyword_page boolean")
+    rated = texts.mapInPandas(rate, "doc long, n_words int, keyword_share double, repeated_share double, is_keyword_page boolean")
     return rated.withColumnRenamed("doc", doc_id)

@@ -129,3 +129,20 @@ def test_repeated_phrases(spark):
             want.add(i)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"] for r in keyword_pages.keyword_share(df).collect() if r["is_keyword_page"]} == want
+
+
+def test_rare_keywords(spark, monkeypatch):
+    rng = random.Random(6)
+
+    def names(n):
+        return ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(5)) for _ in range(n)]
+
+    subjects = names(9)
+    prose = [" ".join(f"the {rng.choice(subjects)} of this {names(1)[0]} was left with its {rng.choice(subjects)} and then kept." for _ in range(8)) for _ in range(60)]
+    pages = [" ".join(rng.choice(own) for _ in range(60)) for own in (names(12) for _ in range(15))]  # words of one page only
+    df = spark.createDataFrame(list(enumerate(prose + pages + pages[:2])), "doc_id long, text string").repartition(3)
+    got = keyword_pages.keyword_share(df).orderBy("doc_id").collect()
+    assert [r["doc_id"] for r in got if r["is_keyword_page"]] == list(range(60, 77))
+    for most in (400, 5, 1):  # the bound of shipped words says nothing about the result
+        monkeypatch.setattr(keyword_pages, "MAX_WORDS", most)
+        assert keyword_pages.keyword_share(df).orderBy("doc_id").collect() == got
