@@ -76,6 +76,40 @@ def relaxed_search(store: DataFrame, lens: str, target: Sequence[int], tolerance
     return placed.filter(F.col("entry") <= stop)
 
 
+def _expand(store: DataFrame, queries: DataFrame, shapes: DataFrame, lens: str, kind: Sequence[str], blocks: int) -> DataFrame:
+    """All pairs of queries and rows whose lengths are in shapes, in blocks of rows, so that frequent lengths are no hot key."""
+    wanted = queries.join(shapes, list(kind)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return store.withColumn("block", F.pmod(F.xxhash64(*store.columns), F.lit(blocks))).join(wanted, [lens, "block"]).drop("block")
+
+
+def band_filter_all(store: DataFrame, queries: DataFrame, lens: str, blocks: int = 16) -> DataFrame:
+    """band_filter for each row of queries (``target`` and ``tolerance`` are arrays), with the query's columns.
+
+    Only distinct lengths meet each other; rows and queries are joined to the pairs that fit.
+    """
+    kinds = queries.select("target", "tolerance").distinct()
+    near = F.forall(F.zip_with(F.zip_with(lens, "target", lambda a, b: F.abs(a - b)), "tolerance", lambda d, w: d <= w), lambda x: F.coalesce(x, F.lit(False)))
+    shapes = kinds.crossJoin(store.select(lens).distinct()).filter((F.size(lens) == F.size("target")) & near)
+    return _expand(store, queries, shapes, lens, ["target", "tolerance"], blocks)
+
+
+def relaxed_search_all(store: DataFrame, queries: DataFrame, lens: str, n_regions: int, min_rows: int, cap: int, blocks: int = 16) -> DataFrame:
+    """relaxed_search for each row of queries (``target`` and ``tolerance`` are arrays), with the query's columns and ``entry``.
+
+    The entry cycles are those of distinct lengths, weighed by their rows; each query's stopping cycle is read off a
+    running sum over at most ``cap`` counts, and nothing goes to the driver.
+    """
+    kinds = queries.select("target", "tolerance").distinct()
+    at = lambda c: [F.get(c, F.lit(i)) for i in range(n_regions)]
+    placed = kinds.crossJoin(store.groupBy(lens).agg(F.count(F.lit(1)).alias("n_shape")))
+    placed = placed.withColumn("entry", entry_cycle(F.col(lens), at("target"), at("tolerance"), growth_cycles(n_regions, cap))).filter(F.col("entry").isNotNull())
+    counts = placed.groupBy("target", "tolerance", "entry").agg(F.sum("n_shape").alias("n"))
+    counts = counts.withColumn("held", F.sum("n").over(Window.partitionBy("target", "tolerance").orderBy("entry")))
+    stop = counts.groupBy("target", "tolerance").agg(F.coalesce(F.min(F.when(F.col("held") >= min_rows, F.col("entry"))), F.lit(cap - 1)).alias("stop"))
+    shapes = placed.join(stop, ["target", "tolerance"]).filter(F.col("entry") <= F.col("stop")).select("target", "tolerance", lens, "entry")
+    return _expand(store, queries, shapes, lens, ["target", "tolerance"], blocks)
+
+
 def close_cdr3(df: DataFrame, cdr3: str, query: str, share: float = 1.6) -> DataFrame:
     """Rows whose cdr3 has the query's length and a popcount distance of at most int(length * share)."""
     return df.filter((F.length(cdr3) == len(query)) & (popcount_hamming(F.col(cdr3), F.lit(query)) <= int(len(query) * share)))

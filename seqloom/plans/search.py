@@ -12,6 +12,7 @@ from seqloom.operators.ranking import ranking_metric as metric
 
 BAND = [10, 2, 10, 2, 10, 4, 5]
 START = [10, 0, 0, 0, 0, 0, 5]
+START_L = [10, 0, 10, 0, 10, 0, 10]
 MIN_ROWS, CAP = 300, 50
 
 
@@ -50,6 +51,30 @@ def search_top_k(spark, d):
     return competition_rank(near, ["one"], "distance", descending=False).filter("rank < 20").select("chain_id", "distance", F.col("rank").cast("long").alias("rank"))
 
 
+def query_chains(spark: SparkSession, d: str, heavy: list[int], light: list[int]) -> DataFrame:
+    """The queries: every chain with regions whose id is divisible by 20, with the tolerance of its type."""
+    of_type = F.when(F.col("chain_type") == "L", F.lit(light)).otherwise(F.lit(heavy))
+    return region_store(spark, d).filter("chain_id % 20 = 0").select(F.col("chain_id").alias("query_id"), F.col("lens").alias("target"), of_type.alias("tolerance"), F.get("regions", F.lit(5)).alias("query_cdr3"))
+
+
+def band_filter_all(spark, d):
+    return search.band_filter_all(region_store(spark, d), query_chains(spark, d, BAND, BAND), "lens").select("query_id", "chain_id", "chain_type")
+
+
+def _relaxed_all(spark, d):
+    return search.relaxed_search_all(region_store(spark, d), query_chains(spark, d, START, START_L), "lens", 7, MIN_ROWS, CAP)
+
+
+def relaxed_search_all(spark, d):
+    return _relaxed_all(spark, d).select("query_id", "chain_id", "entry")
+
+
+def search_top_k_all(spark, d):
+    near = _relaxed_all(spark, d).withColumn("cdr3", F.get("regions", F.lit(5))).filter(F.length("cdr3") == F.length("query_cdr3"))
+    near = near.withColumn("distance", C.symbol_hamming(F.col("cdr3"), F.col("query_cdr3")))
+    return competition_rank(near, ["query_id"], "distance", descending=False).filter("rank < 20").select("query_id", "chain_id", "distance", F.col("rank").cast("long").alias("rank"))
+
+
 def close_cdr3(spark, d):
     return search.close_cdr3(t(spark, d, "bucket_store"), "cdr3", heavy_query(spark, d)["regions"][5]).select("row_ord", "cdr3")
 
@@ -217,7 +242,7 @@ _NAMES = [
     "band_filter", "relaxed_search", "search_top_k", "close_cdr3", "popcount_hamming", "weighted_hamming", "length_limits", "bucket_choice", "unpaired_search",
     "clonotype_search", "clonotype_groups", "skip_existing", "keep_set", "sliding_windows", "region_intervals", "region_vector", "safe_names", "residue_codes",
     "deletion_values", "query_identity", "letter_block", "spreadsheet_ids", "contiguous_split", "chunk_list", "positional_pairs", "self_pairs", "assembly_ids",
-    "species_ids", "ranking_metric", "residue_gap", "clonotype_join", "target_order", "fan_out",
+    "species_ids", "ranking_metric", "residue_gap", "clonotype_join", "target_order", "fan_out", "band_filter_all", "relaxed_search_all", "search_top_k_all",
 ]
 
 

@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from seqloom.operators import dense_counts, search
+from seqloom.plans import search as plan
 
 
 def loop(rows, target, tol, overflow, min_rows, cap):
@@ -111,3 +112,25 @@ def test_key_profile(spark):
     assert got == {(1, 1): (4, 3, 3), (None, 1): (1, 1, 1), (2, None): (1, 0, 0)}
     assert {(r["k"], r["j"], r["n_rows"], r["n_total"]) for r in dense_counts.dominant_keys(df, ["k", "j"], 0.5).collect()} == {(1, 1, 4, 6)}
     assert dense_counts.dominant_keys(df.limit(0), ["k", "j"]).count() == 0
+
+
+def test_searches_take_every_query(spark):
+    folder = "/root/testdata/sf0.01"
+    chains = [r for r in spark.read.parquet(f"{folder}/chains.parquet").collect() if r["regions"] is not None and len(r["regions"]) == 7]
+    rows = [(r["chain_id"], [len(x) for x in r["regions"]]) for r in chains]
+    asked = [r for r in chains if r["chain_id"] % 20 == 0]
+    assert {r["chain_type"] for r in asked} == {"H", "L"}
+    band, relaxed, top = set(), set(), set()
+    for q in asked:
+        target = [len(x) for x in q["regions"]]
+        band |= {(q["chain_id"], i) for i, lens in rows if all(abs(a - b) <= w for a, b, w in zip(lens, target, plan.BAND))}
+        got = loop(rows, target, plan.START_L if q["chain_type"] == "L" else plan.START, [0] * 7, plan.MIN_ROWS, plan.CAP)
+        relaxed |= {(q["chain_id"], i) for i in got}
+        cdr3 = {r["chain_id"]: r["regions"][5] for r in chains if r["chain_id"] in set(got) and len(r["regions"][5]) == target[5]}
+        far = {i: sum(a != b for a, b in zip(c, q["regions"][5])) for i, c in cdr3.items()}
+        top |= {(q["chain_id"], i, n) for i, n in far.items() if sum(m < n for m in far.values()) < 20}
+    for query, want in ((plan.band_filter_all, band), (plan.relaxed_search_all, relaxed)):
+        got = [(r["query_id"], r["chain_id"]) for r in query(spark, folder).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    got = [(r["query_id"], r["chain_id"], r["distance"]) for r in plan.search_top_k_all(spark, folder).collect()]
+    assert len(got) == len(set(got)) and set(got) == top
