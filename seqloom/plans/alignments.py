@@ -46,15 +46,22 @@ def pad_to_full(spark, d):
     return M.pad_to_full(rows(spark, d), _full(spark, d)).select("row_id", F.length("seq").cast("long").alias("n"), "seq")
 
 
-def merge_parts(spark, d):
+def merge_parts(spark, d, whole=False):
+    """Columns 1 to 40 and 51 to 90; whole: the two halves of the whole length."""
     m = rows(spark, d).filter("row_idx > 0")
     pair = m.groupBy("msa_id").agg(F.min("row_idx").alias("x")).select("msa_id").withColumn("half", F.lit(1))
-    left = m.join(pair, "msa_id").select(F.concat_ws(":", "msa_id", "row_idx").alias("row_idx"), F.substring("seq", 1, 40).alias("seq"), "row_id")
-    right = m.select(F.concat_ws(":", "msa_id", "row_idx").alias("row_idx"), F.substring("seq", 51, 40).alias("seq"), "row_id")
+    half = F.floor(F.length("seq") / 2).cast("int")
+    one, two = (F.substring("seq", F.lit(1), half), F.substring("seq", half + 1, F.length("seq"))) if whole else (F.substring("seq", 1, 40), F.substring("seq", 51, 40))
+    left = m.join(pair, "msa_id").select(F.concat_ws(":", "msa_id", "row_idx").alias("row_idx"), one.alias("seq"), "row_id")
+    right = m.select(F.concat_ws(":", "msa_id", "row_idx").alias("row_idx"), two.alias("seq"), "row_id")
     first = lambda x: M.first_wins(x, ["row_idx"], ["row_id"])
     return M.merge_parts(first(left), first(right), 3).select("row_idx", "seq")
 
 
+def merge_parts_all(spark, d):
+    return merge_parts(spark, d, True)
+
+
 def _two_chains(m):
     """Neighbouring alignments as the two chains of one target: each target of the tables has one alignment only."""
     number = F.substring("msa_id", 2, 8).cast("int")
@@ -71,15 +78,23 @@ def block_crop(spark, d):
     return M.crop(rows(spark, d), ["msa_id"], ["row_idx", "row_id"], 100).select("msa_id", "row_id")
 
 
-def gap_islands(spark, d):
-    m = _gapped(spark, d).filter("row_idx <= 2")
+def gap_islands(spark, d, which="row_idx <= 2"):
+    m = _gapped(spark, d).filter(which)
     cells = m.select("row_id", F.posexplode(C.chars(F.col("seq"))).alias("pos", "c")).filter("c = '-'")
     runs = M.islands(cells, ["row_id"], "pos", 3)
     return runs.select("row_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n")
 
 
-def gap_columns(spark, d):
-    return M.gap_columns(rows(spark, d).filter("row_idx <= 1")).select("msa_id", F.col("pos").cast("long").alias("pos"))
+def gap_islands_all(spark, d):
+    return gap_islands(spark, d, "true")
+
+
+def gap_columns(spark, d, which="row_idx <= 1"):
+    return M.gap_columns(rows(spark, d).filter(which)).select("msa_id", F.col("pos").cast("long").alias("pos"))
+
+
+def gap_columns_all(spark, d):
+    return gap_columns(spark, d, "true")
 
 
 def anti_join_paired(spark, d):
@@ -202,12 +217,16 @@ def sequence_features(spark, d):
     return f.select("chain_id", F.col("seq_length").cast("long").alias("n"), total("residue_index").alias("index_sum"), total("aatype").alias("aa_sum"), total(F.transform(hot, lambda v: X.argmax(v) - 1)).alias("hot_sum"), F.aggregate("seq_mask", F.lit(0.0), lambda s, x: s + x).alias("mask_sum"), F.size(X.pad_to(F.col("aatype"), 50, F.lit(0))).cast("long").alias("padded"))
 
 
-def alignment_features(spark, d):
-    m = rows(spark, d).filter("row_idx <= 5 and deletions is not null")
+def alignment_features(spark, d, which="row_idx <= 5"):
+    m = rows(spark, d).filter(which).filter("deletions is not null")
     f = X.alignment_features(C.residue_codes(F.col("seq")), F.col("deletions"))
     return m.select("row_id", F.size(f).cast("long").alias("n"), F.round(F.aggregate(F.transform(f, lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)), F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
+def alignment_features_all(spark, d):
+    return alignment_features(spark, d, "true")
+
+
 def mask_ends(spark, d):
     return rows(spark, d).select("row_id", X.mask_ends(F.col("seq"), F.lit(10), F.lit(12)).alias("seq"))
 
@@ -263,7 +282,7 @@ _NAMES = [
     "dedup_first_wins", "drop_query_gaps", "pad_to_full", "merge_parts", "block_diagonal", "block_crop", "gap_islands", "gap_columns", "anti_join_paired",
     "paired_rows", "species_pairs", "column_frequency", "residue_frequency", "column_information", "profile", "deletion_mean", "gap_and_similarity",
     "frequent_labels", "cluster_profile", "reorder_by_likeness", "competition_rank", "distinct_top", "top_then_filter", "strided_sample", "quota_sample",
-    "uniform_sample", "gumbel_order", "masked_cells",
+    "uniform_sample", "gumbel_order", "masked_cells", "merge_parts_all", "gap_islands_all", "gap_columns_all", "alignment_features_all",
 ]
 
 

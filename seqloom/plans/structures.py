@@ -67,16 +67,20 @@ def release_dates(spark, d):
     return c.join(s, "id", "left").withColumn("passes", F.coalesce(F.col("release_date") <= F.lit(CUTOFF).cast("date"), F.lit(True))).select("chain_id", "release_date", "passes")
 
 
-def index_arrays(spark, d):
-    m = t(spark, d, "msa_rows").filter("row_idx <= 20")
+def index_arrays(spark, d, which="row_idx <= 20"):
+    m = t(spark, d, "msa_rows").filter(which)
     a = H.index_array(F.upper("seq"), 5)
     return m.select("row_id", F.array_max(a).cast("long").alias("last"), F.size(F.filter(a, lambda i: i == -1)).cast("long").alias("n_gaps"))
 
 
-def residue_maps(spark, d):
+def index_arrays_all(spark, d):
+    return index_arrays(spark, d, "true")
+
+
+def residue_maps(spark, d, which="row_idx between 1 and 20"):
     m = t(spark, d, "msa_rows").select("row_id", "msa_id", "row_idx", F.upper("seq").alias("seq"))
     q = m.filter("row_idx = 0").groupBy("msa_id").agg(F.min("seq").alias("q"))
-    j = m.filter("row_idx between 1 and 20").join(q, "msa_id")
+    j = m.filter(which).join(q, "msa_id")
     j = j.withColumn("iq", H.index_array(F.col("q"), 0)).withColumn("ih", H.index_array(F.col("seq"), 0))
     mapped = F.col("mapped")
     j = j.withColumn("mapped", H.residue_mapping(F.col("q"), F.col("seq"), F.col("iq"), F.col("ih"), F.translate("q", "-", "")))
@@ -84,6 +88,10 @@ def residue_maps(spark, d):
     return j.select("row_id", F.size(mapped).cast("long").alias("n"), total.alias("total"))
 
 
+def residue_maps_all(spark, d):
+    return residue_maps(spark, d, "row_idx >= 1")
+
+
 def quality_filter(spark, d):
     return T.quality_filter(struct_chains(spark, d)).select("file_id", "chain")
 
@@ -201,7 +209,7 @@ _NAMES = [
     "hit_ids", "template_prefilter", "template_scores", "locate_chain", "id_closure", "release_dates", "index_arrays", "residue_maps", "quality_filter",
     "complex_filter", "structure_cache", "chain_cache", "stochastic_keep", "mixture_draws", "centre_distance", "gdt", "lddt", "drmsd", "distogram",
     "neighbour_breaks", "interface", "superpose", "confidence", "cosine_pairs", "representatives", "nearest_centre", "joint_clusters", "density_clusters",
-    "kmeans_labels",
+    "kmeans_labels", "index_arrays_all", "residue_maps_all",
 ]
 
 
