@@ -15,7 +15,14 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def p2_row_groups(spark: SparkSession, d: str) -> DataFrame:
     """The group of every alignment row."""
-    return related.row_groups(_t(spark, d, "msa_rows")).select("row_id", "msa_id", "group_id")
+    return related.row_groups(_t(spark, d, "msa_rows")).select("row_id", "msa_id", "component", "confirmed", "group_id")
+
+
+def p2_components(spark: SparkSession, d: str) -> DataFrame:
+    """Rows by the mixture alone, without the check: each but the smallest of its component, with that smallest one."""
+    rows = related.row_groups(_t(spark, d, "msa_rows")).select("row_id", "component")
+    first = rows.groupBy("component").agg(F.min("row_id").alias("first_row_id"))
+    return rows.join(first, "component").filter(F.col("row_id") != F.col("first_row_id")).select("first_row_id", "row_id")
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -33,8 +40,8 @@ def p3_subsets(spark: SparkSession, d: str) -> DataFrame:
     """The chosen rows of every requested alignment."""
     requests = _t(spark, d, "subset_requests")
     rows = _t(spark, d, "msa_rows").join(requests.select("msa_id"), "msa_id", "left_semi").select("row_id", "msa_id", "seq")
-    groups = related.row_groups(rows).select("row_id", "group_id", "n_gaps")
-    return subsets.choose(materialize(rows.join(groups, "row_id"), "grouped"), requests)
+    groups = related.row_groups(rows).select("row_id", "group_id", "density", "turn")
+    return subsets.choose(rows.join(groups, "row_id"), requests)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +126,7 @@ _SAID = r"""
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_row_groups": p2_row_groups, "p2_groups": p2_groups, "p3_found": p3_found, "p3_subsets": p3_subsets, "p4_found": p4_found, "p4_ledger": p4_ledger, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix, "p8_found": p8_found, "p8_pages": p8_pages}
+    return {"p2_found": p2_found, "p2_row_groups": p2_row_groups, "p2_components": p2_components, "p2_groups": p2_groups, "p3_found": p3_found, "p3_subsets": p3_subsets, "p4_found": p4_found, "p4_ledger": p4_ledger, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix, "p8_found": p8_found, "p8_pages": p8_pages}
 
 
 def oracle_sql() -> dict[str, str]:
