@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def get_session(app: str = "seqloom", cores: str | int = "*", **conf: str) -> SparkSession:
@@ -64,10 +63,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage is cut, and the loss of an executor costs nothing."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it back: the lineage is cut, and the loss of an executor costs nothing.
+
+    The shuffle files of the write are deleted when it ends (a setting of Spark, put back afterwards): nothing reads them
+    again, and on a large heap the driver's collector might come to it much later.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_materialized(df: DataFrame) -> None:
@@ -75,15 +83,3 @@ def drop_materialized(df: DataFrame) -> None:
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/seqloom-" in path:
             _delete(df.sparkSession, path)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let the driver forget finished plans, so that executors delete their shuffle files between two phases.
-
-    Spark deletes them when the driver's collector finds a plan unreachable, which on a large heap may be long after
-    the last use. What is still referenced, or was written by materialize(), isn't touched.
-    """
-    for pause in (0.5, 0.5):  # the first round lets go of the plans, the second of what hung on them
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(pause)
