@@ -3,9 +3,12 @@
 Sizes are tokens of a public tokenizer. A source's rate is the mean number of uses of its documents that would give it
 its target of a mix as large as all documents; it is limited by max_repeats. Each document draws its number of uses
 from a Poisson distribution cut at max_repeats whose mean is that rate, by inverting the distribution at a number
-hashed from seed and document: the draw needs no state, no exchange, and gives the same mix on every run. A source
+hashed from seed, document and text: the draw needs no state, no exchange, and gives the same mix on every run. A source
 that needs at least max_repeats uses of everything is used exactly max_repeats times. The mix is then shuffled
 globally by a hash of document and copy.
+
+Everything is a table: targets, their sums and their Poisson tables, so any number of sources is planned alike, and
+nothing goes to the driver. A source falls short if the draws use each of its documents max_repeats times and still miss the goal.
 """
 
 from __future__ import annotations
@@ -17,11 +20,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.session import materialize
+
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def with_tokens(df: DataFrame, text: str, tokenizer: str = TOKENIZER, out: str = "n_tokens") -> DataFrame:
-    """df with the number of tokens of its text (null or blank text: 0), by a sentencepiece or tokenizers file."""
+    """df with the number of tokens of its text (null or blank text: 0), by a sentencepiece or tokenizers file.
+
+    The file must lie at that path on every executor, or be added with addFile and named as SparkFiles gives it.
+    """
     if tokenizer.endswith(".model"):
 
         def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -74,61 +82,64 @@ def _spelled(col: F.Column) -> F.Column:
     return F.lower(F.trim(F.regexp_replace(col, r"\s+", " ")))
 
 
-def plan_mix(sized: DataFrame, targets: DataFrame, source: str = "source", tokens: str = "n_tokens", max_sources: int = 100_000) -> list[dict]:
-    """One entry per source of targets: its tokens, capacity, goal, rate and the table its draws are inverted with.
+def plan_mix(sized: DataFrame, targets: DataFrame, source: str = "source", tokens: str = "n_tokens") -> DataFrame:
+    """One row per source of targets: source, name, target_share, max_repeats, docs, source_tokens, total_tokens,
+    goal_tokens, capacity_tokens, rate, and table, with which its draws are inverted. It is written to the shared folder.
 
-    The goal is target_share of all documents' tokens, whether their source is known or not. targets is a bounded
-    table (an error beyond max_sources rows); source names match after trimming and lower-casing.
+    The goal is target_share of all documents' tokens, whether their source is known or not. Source names match after
+    trimming and lower-casing; a null or blank name matches nothing; a null share or max_repeats counts as 0.
     """
-    wanted = targets.select(F.col("source"), F.col("target_share").cast("double"), F.col("max_repeats").cast("int")).limit(max_sources + 1).collect()
-    if len(wanted) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    names = [" ".join((r["source"] or "").split()).lower() for r in wanted]
     key = _spelled(F.col(f"`{source}`"))
-    named = F.when(key.isin([n for n in names if n]), key)  # what no target names is one group
-    sums = {r["s"]: (int(r["n"] or 0), int(r["d"])) for r in sized.groupBy(named.alias("s")).agg(F.sum(F.col(f"`{tokens}`")).alias("n"), F.count(F.lit(1)).alias("d")).collect()}
-    total = sum(n for n, _ in sums.values())
-    plan = []
-    for row, name in zip(wanted, names):
-        have, docs = sums.get(name, (0, 0))
-        cap, share = max(0, row["max_repeats"] or 0), row["target_share"] or 0.0
-        goal = share * total
-        rate = min(goal / have, cap) if have else 0.0
-        plan.append({"source": row["source"], "name": name, "docs": docs, "tokens": have, "target_share": share, "max_repeats": cap, "goal": goal, "capacity": have * cap, "rate": rate, "falls_short": have * cap < goal, "table": cut_poisson(rate, cap)})
-    return plan
-
-
-def replicate(sized: DataFrame, plan: list[dict], doc_id: str = "doc_id", source: str = "source", tokens: str = "n_tokens", seed: int = 17) -> DataFrame:
-    """(doc_id, source as in targets, n_tokens, uses): the uses drawn for each document of a source in the plan.
-
-    Documents without a source of the plan are used 0 times and left out; a null doc_id is hashed like any value.
+    sums = sized.groupBy(key.alias("name")).agg(F.sum(F.col(f"`{tokens}`")).alias("n"), F.count(F.lit(1)).alias("d"))
+    sums = materialize(sums, "sums")
+    total = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_tokens"))  # one row
+    share, cap = F.coalesce(F.col("target_share").cast("double"), F.lit(0.0)), F.greatest(F.coalesce(F.col("max_repeats").cast("int"), F.lit(0)), F.lit(0))
+    wanted = targets.select("source", F.nullif(_spelled(F.col("source")), F.lit("")).alias("name"), share.alias("target_share"), cap.alias("max_repeats"))
+    plan = wanted.join(sums, "name", "left").join(F.broadcast(total))
+    have = F.coalesce("n", F.lit(0))
+    plan = plan.select("source", "name", "target_share", "max_repeats", F.coalesce("d", F.lit(0)).alias("docs"), have.alias("source_tokens"), "total_tokens", (F.col("target_share") * F.col("total_tokens")).alias("goal_tokens"), (have * F.col("max_repeats")).alias("capacity_tokens"))
+    rate = F.when(F.col("source_tokens") > 0, F.least(F.col("goal_tokens") / F.col("source_tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0)
+    table = F.pandas_udf(lambda r, c: pd.Series([cut_poisson(float(x), int(y)) for x, y in zip(r, c)]), "array<double>")
+    plan = plan.withColumn("rate", rate)
+    return materialize(plan.withColumn("table", table("rate", "max_repeats")), "plan")
+
+
+def replicate(sized: DataFrame, plan: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str | None = None, seed: int = 17) -> DataFrame:
+    """The documents of the plan's sources with ``target`` (the source as in targets) and ``uses``, the number drawn.
+
+    The draw depends on seed, doc_id and, where it is named, text, so that documents without an id draw for themselves.
     """
-    key = _spelled(F.col(f"`{source}`"))
-    draw = F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`")).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    table = F.lit(None)
-    name = F.lit(None)
-    for p in plan:  # bounded by the targets table
-        table = F.when(key == p["name"], F.array(*[F.lit(float(c)) for c in p["table"]])).otherwise(table)
-        name = F.when(key == p["name"], F.lit(p["source"])).otherwise(name)
-    uses = F.aggregate("table", F.lit(0), lambda acc, c: acc + F.when(F.col("u") >= c, 1).otherwise(0))
-    drawn = sized.select(F.col(f"`{doc_id}`").alias(doc_id), name.cast("string").alias("source"), F.col(f"`{tokens}`").alias("n_tokens"), draw.alias("u"), table.cast("array<double>").alias("table")).filter(F.col("source").isNotNull())
-    return drawn.withColumn("uses", uses).drop("u", "table")
-
-
-def mix(sized: DataFrame, plan: list[dict], doc_id: str = "doc_id", source: str = "source", tokens: str = "n_tokens", seed: int = 17) -> DataFrame:
-    """The mix itself, shuffled globally: doc_id, copy_no, source, n_tokens, shuffle_key (ascending over partitions)."""
-    used = replicate(sized, plan, doc_id, source, tokens, seed).filter(F.col("uses") > 0)
-    copies = used.select(doc_id, "source", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("uses"))).alias("copy_no"))
-    keyed = copies.withColumn("shuffle_key", F.xxhash64(F.lit(seed + 1), doc_id, "copy_no"))
-    return keyed.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key").select(doc_id, "copy_no", "source", "n_tokens", "shuffle_key")
-
-
-def mix_report(sized: DataFrame, plan: list[dict], doc_id: str = "doc_id", source: str = "source", tokens: str = "n_tokens", seed: int = 17) -> DataFrame:
-    """One row per source of targets: what the drawn mix reaches, and whether the source cannot reach its share."""
-    spark = sized.sparkSession
-    got = replicate(sized, plan, doc_id, source, tokens, seed).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("mixed_tokens"), F.sum("uses").alias("mixed_docs"))
-    rows = [(p["source"], p["target_share"], p["max_repeats"], p["tokens"], float(p["goal"]), p["capacity"], float(p["rate"]), p["falls_short"]) for p in plan]
-    base = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, source_tokens long, goal_tokens double, capacity_tokens long, rate double, falls_short boolean")
-    joined = F.broadcast(base).join(got, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0).cast("long"))).withColumn("mixed_docs", F.coalesce("mixed_docs", F.lit(0).cast("long")))
-    total = joined.agg(F.sum("mixed_tokens").alias("mix_total"))
-    return joined.join(F.broadcast(total)).withColumn("actual_share", F.when(F.col("mix_total") > 0, F.col("mixed_tokens") / F.col("mix_total")).otherwise(F.lit(0.0)))
+    draw = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in (doc_id, text) if c]).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    tables = plan.filter("name is not null").select(F.col("name").alias("__name"), F.col("source").alias("target"), F.col("table").alias("__table"))
+    met = sized.withColumn("__name", _spelled(F.col(f"`{source}`"))).withColumn("__u", draw).join(tables, "__name")
+    uses = F.size(F.filter("__table", lambda c: F.col("__u") >= c))
+    return met.withColumn("uses", uses).drop("__name", "__u", "__table")
+
+
+def mix(sized: DataFrame, plan: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str | None = None, seed: int = 17) -> DataFrame:
+    """The mix itself, shuffled globally: the documents' columns with target, copy_no and shuffle_key (ascending over partitions)."""
+    used = replicate(sized, plan, doc_id, source, text, seed).filter(F.col("uses") > 0)
+    copies = used.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("uses")))).drop("uses")
+    key = F.xxhash64(F.lit(seed + 1), *[F.col(f"`{c}`") for c in (doc_id, text) if c], "copy_no")
+    return copies.withColumn("shuffle_key", key).repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
+
+
+def mix_report(sized: DataFrame, plan: DataFrame, doc_id: str = "doc_id", source: str = "source", tokens: str = "n_tokens", text: str | None = None, seed: int = 17) -> DataFrame:
+    """One row per source of targets: what the drawn mix reaches of the planned size (planned_share) and of its own size
+    (actual_share), and whether the source falls short.
+
+    Sources that fall short make the mix smaller than planned, so the actual shares of the others are above their targets;
+    planned_share is what compares with target_share.
+    """
+    drawn = replicate(sized, plan, doc_id, source, text, seed)
+    got = drawn.groupBy(F.col("target").alias("source")).agg(F.sum(F.col(f"`{tokens}`") * F.col("uses")).alias("mixed"), F.sum("uses").alias("used"))
+    joined = plan.drop("name", "table").join(got, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed", F.lit(0))).withColumn("mixed_docs", F.coalesce("used", F.lit(0))).drop("mixed", "used")
+    joined = materialize(joined, "mixed")
+    total = joined.agg(F.sum("mixed_tokens").alias("mix_total"))  # one row
+    exhausted = F.col("mixed_docs") == F.col("docs") * F.col("max_repeats")
+    return joined.join(F.broadcast(total)).select(
+        "source", "target_share", "max_repeats", "source_tokens", "goal_tokens", "capacity_tokens", "rate", "mixed_tokens", "mixed_docs", "mix_total",
+        F.when(F.col("total_tokens") > 0, F.col("mixed_tokens") / F.col("total_tokens")).otherwise(0.0).alias("planned_share"),
+        F.when(F.col("mix_total") > 0, F.col("mixed_tokens") / F.col("mix_total")).otherwise(0.0).alias("actual_share"),
+        (exhausted & (F.col("mixed_tokens") < F.col("goal_tokens"))).alias("falls_short"),
+    )

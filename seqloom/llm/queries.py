@@ -78,9 +78,9 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold 13 consecutive words of an item: the hits within one word edit, kept where exact."""
-    hits = leaks.leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
-    return hits.filter(F.col("n_passages") > 0).select("doc_id", "item_id")
+    """Documents that hold 13 consecutive words of an item: the hits within one word edit whose best distance is 0."""
+    hits = leaks.leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items"), short_items=False)
+    return hits.filter("best_edits = 0").select("doc_id", "item_id")
 
 
 def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -88,25 +88,24 @@ def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items"), budget=2)
 
 
-def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, list[dict]]:
-    sized = materialize(mixture.with_tokens(_t(spark, d, "documents"), "text").select("doc_id", "source", "n_tokens"), "tokens")
+def _mix(spark: SparkSession, d: str, *more: str) -> tuple[DataFrame, DataFrame]:
+    sized = materialize(mixture.with_tokens(_t(spark, d, "documents"), "text").select("doc_id", "source", "n_tokens", *more), "tokens")
     return sized, mixture.plan_mix(sized, _t(spark, d, "mix_targets"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Sources that cannot reach their target share even at max_repeats uses of everything."""
-    sized, plan = _mix(spark, d)
-    return mixture.mix_report(sized, plan).filter("falls_short").select("source")
+    """Sources of which the draws use every document max_repeats times and yet less than the target share."""
+    return mixture.mix_report(*_mix(spark, d)).filter("falls_short").select("source")
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
-    """Target and actual share of every source."""
+    """Target, planned and actual share of every source."""
     return mixture.mix_report(*_mix(spark, d))
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
-    """The mix, shuffled."""
-    return mixture.mix(*_mix(spark, d))
+    """The mix, shuffled, with its texts."""
+    return mixture.mix(*_mix(spark, d, "text"), text="text")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -91,3 +91,18 @@ def test_tokens(spark):
     for file in ("piece_bpe_32k.model", "byte_bpe_50k.json"):
         got = [r["n_tokens"] for r in mixture.with_tokens(df, "text", f"/opt/tokenizers/{file}").collect()]
         assert got[0] > 1 and got[1] == 0 and got[2] == 0 and got[3] >= 20000
+
+
+def test_falls_short_is_what_the_draws_give(spark, monkeypatch):
+    sized = spark.createDataFrame([(i, "web", 10) for i in range(500)] + [(5000 + i, "small", 10) for i in range(60)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("web", 0.6, 1), ("small", 0.4, 3)], "source string, target_share double, max_repeats int")
+    short = lambda: {r["source"] for r in mixture.mix_report(sized, mixture.plan_mix(sized, targets)).filter("falls_short").collect()}
+    assert short() == {"small"}
+    monkeypatch.setattr(mixture, "cut_poisson", lambda rate, cap: [0.5, 1.0])
+    assert short() == set()
+
+
+def test_documents_without_id_draw_for_themselves(spark):
+    sized = spark.createDataFrame([(None, "web", 10, f"text {i}") for i in range(400)], "doc_id long, source string, n_tokens long, text string")
+    targets = spark.createDataFrame([("web", 0.5, 1)], "source string, target_share double, max_repeats int")
+    assert 150 < mixture.mix(sized, mixture.plan_mix(sized, targets), text="text").count() < 250

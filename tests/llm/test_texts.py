@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from seqloom.llm import keyword_pages, leaks
+from seqloom.llm import queries as plan
 
 
 def edit_distance_in(pattern, text):
@@ -32,8 +35,18 @@ def words(rng, n):
 VOCAB = [f"w{i}" for i in range(400)]
 
 
-@pytest.mark.parametrize("block_words", [4_000_000, 60])
-def test_leaks(spark, block_words):
+def test_myers_of_many_rows():
+    rng = np.random.default_rng(0)
+    for m in (1, 5, 13, 64):
+        p, t = rng.integers(1, 4, (50, m)), rng.integers(1, 4, (50, 30))
+        assert leaks.myers_rows(p, t).tolist() == [edit_distance_in(list(a), list(b)) for a, b in zip(p, t)]
+
+
+@pytest.mark.parametrize("bits", [26, 8])
+def test_leaks(spark, monkeypatch, bits):
+    """A small bitmap lets more through to the join; the result is the same."""
+    monkeypatch.setattr(leaks, "BITMAP_BITS", bits)
+    monkeypatch.setattr(leaks, "BITMAP_BLOCKS", 8)
     rng = random.Random(5)
     shared = words(rng, 15)
     items = {i: words(rng, 30) + (shared if i < 2 else []) for i in range(6)}
@@ -58,16 +71,42 @@ def test_leaks(spark, block_words):
     rows = [(d, " ".join(w).upper().replace(" ", ", ")) for d, w in docs.items()] + [(100, None), (101, ""), (102, "  "), (103, "é " * 30000)]
     df = spark.createDataFrame([(d, t, d) for d, t in rows], "doc_id long, text string, item_id long")
     its = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()] + [(77, None), (78, "too short")], "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): r for r in leaks.leaks(df, its, block_words=block_words).collect()}
+    got = {(r["doc_id"], r["item_id"]): r for r in leaks.leaks(df, its).collect()}
     assert {k for k, r in got.items() if r["n_passages"] > 0} == exact
     assert {k for k, r in got.items() if r["n_passages"] == 0 and r["best_edits"] == 1} == near
     assert leaks.leaks(df.limit(0), its).count() == 0 and leaks.leaks(df, its.limit(0)).count() == 0
 
 
-def test_more_items_than_allowed(spark):
-    its = spark.createDataFrame([(i, "a") for i in range(5)], "item_id long, text string")
-    with pytest.raises(ValueError):
-        leaks.leaks(its.selectExpr("item_id as doc_id", "text"), its, max_items=4)
+def test_short_items_and_missing_ids(spark):
+    its = spark.createDataFrame([(1, "Alpha beta, gamma delta"), (2, "omega"), (3, " "), (None, "omega omega")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "x alpha BETA gamma delta y"), (2, "alpha beta gamma"), (3, "an omega"), (None, "omega"), (4, None)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["best_edits"], r["n_passages"]) for r in leaks.leaks(df, its).collect()}
+    assert got == {(1, 1, 0, 1), (3, 2, 0, 1)}
+
+
+def test_leaks_equal_all_passages_against_all_documents(spark):
+    folder, span, budget = "/root/testdata/sf0.001", 13, 2
+    docs, items = (pd.read_parquet(f"{folder}/{t}.parquet") for t in ("documents", "eval_items"))
+    number, owners, want = {}, {}, {}
+    code = lambda ws: [number.setdefault(w, len(number) + 1) for w in ws]
+    for i, text in zip(items["item_id"], items["text"]):
+        w = code(leaks.words_of(text))
+        for k in range(max(1, len(w) - span + 1)):
+            owners.setdefault(tuple(w[k : k + span]), set()).add(i)
+    for size in {len(p) for p, own in owners.items() if len(own) == 1 and p}:
+        some = [(p, min(own)) for p, own in owners.items() if len(own) == 1 and len(p) == size]
+        patterns, of = np.array([p for p, _ in some]), np.array([i for _, i in some])
+        most = leaks.budget_of(size, span, budget)
+        for d, text in zip(docs["doc_id"], docs["text"]):
+            w = np.array(code(leaks.words_of(text or "")))
+            near = patterns if not len(w) else patterns[(hit := np.isin(patterns, w).sum(1) >= size - most)]
+            if len(w) and len(near):
+                for i, e in zip(of[hit], leaks.myers_rows(near, np.broadcast_to(w, (len(near), len(w))))):
+                    if e <= most:
+                        low, n = want.get((d, i), (e, 0))
+                        want[d, i] = (min(low, e), n + (e == 0))
+    got = {(r["doc_id"], r["item_id"]): (r["best_edits"], r["n_passages"]) for r in plan.p6_leaks(spark, folder).collect()}
+    assert got == want and len(got) > 3
 
 
 def test_keyword_pages(spark):
