@@ -184,4 +184,25 @@ def test_rare_keywords(spark, monkeypatch):
     assert [r["doc_id"] for r in got if r["is_keyword_page"]] == list(range(60, 77))
     for most in (400, 5, 1):  # the bound of shipped words says nothing about the result
         monkeypatch.setattr(keyword_pages, "MAX_WORDS", most)
+        monkeypatch.setattr(keyword_pages, "MAX_PAIRS", 10 * most)
         assert keyword_pages.keyword_share(df).orderBy("doc_id").collect() == got
+
+
+def test_all_three_measures_decide(spark, monkeypatch):
+    """Word salad is found by low PMI and order-free neighbours, repeated phrases by collocations; without either they aren't."""
+    rng = random.Random(11)
+    keys = [f"key{c}" for c in "abcdefghijkl"]
+    prose = [f"the {rng.choice('abcd')}x of this {rng.choice('efgh')}y was left with its {rng.choice('ijkl')}z and then kept. " * 5 for _ in range(40)]
+    salad = [" ".join(rng.choice(keys) for _ in range(60)) for _ in range(8)]
+    phrases = [" ".join([f"red{i} small{i} wooden{i} boat{i}".replace(str(i), "abcdefgh"[i])] * 40) for i in range(8)]
+    df = spark.createDataFrame(list(enumerate(prose + salad + phrases)), "doc_id long, text string")
+    found = lambda: {r["doc_id"] for r in keyword_pages.keyword_share(df).collect() if r["is_keyword_page"]}
+    rows = {r["doc_id"]: r for r in keyword_pages.keyword_share(df).collect()}
+    assert max(rows[i]["pmi_gain"] for i in range(40, 48)) < min(rows[i]["pmi_gain"] for i in range(40))
+    assert {i for i, r in rows.items() if r["is_keyword_page"]} >= set(range(40, 56))
+    real = keyword_pages.GAIN
+    monkeypatch.setattr(keyword_pages, "GAIN", -1e9)  # every window coherent
+    assert not found() & set(range(40, 48))
+    monkeypatch.setattr(keyword_pages, "GAIN", real)
+    monkeypatch.setattr(keyword_pages, "REPEATS", 10_000)
+    assert not found() & set(range(48, 56))
