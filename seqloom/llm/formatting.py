@@ -8,26 +8,28 @@ full-outer-joined with the buckets it touches, so a batch costs its own size plu
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqloom.session import materialize, scratch_path
+from seqloom.session import drop_materialized, materialize, scratch_path
 
 KEY = ["key_a", "key_b"]
-_FIELD_NAMES = r"(?i)deletion_matrix|sequences"
+_SAYS_NOTHING = r"\\[nrt]|\\u00[aA]0|\\u20[0-9a-fA-F]{2}|(?i:deletion_matrix|sequences)"
 
 
 def canonical_record(line: F.Column) -> tuple[F.Column, F.Column]:
     """(sequence, deletions) of a record written in any of the known spellings.
 
-    Field names go first; then letters and gap signs belong to the sequence and digits to the deletions, whichever
-    field comes first and whatever separates them. Escaped line breaks and tabs of JSON count as blanks. Null gives
-    nulls; a record without letters or numbers gives empty strings.
+    Field names and escapes of JSON (line breaks, tabs, blanks) count as blanks; then letters and gap signs belong to the
+    sequence and digits to the deletions, whichever field comes first and whatever separates them. Leading zeros of
+    numbers say nothing. Null gives nulls; a record without letters or numbers gives empty strings.
     """
-    bare = F.regexp_replace(F.regexp_replace(line, r"\\[nrt]|\\u00[aA]0|\\u20[0-9a-fA-F]{2}", " "), _FIELD_NAMES, "|")
-    sequence = F.translate(F.regexp_replace(F.upper(bare), r"[^A-Z.\-]", ""), ".", "-")
-    deletions = F.array_join(F.transform(F.regexp_extract_all(bare, F.lit(r"(\d+)"), 1), lambda x: F.regexp_replace(x, r"^0+(?=\d)", "")), ",")
+    bare = F.regexp_replace(line, _SAYS_NOTHING, " ")
+    sequence = F.translate(F.upper(F.regexp_replace(bare, r"[^A-Za-z.\-]+", "")), ".", "-")
+    deletions = F.trim(F.regexp_replace(bare, r"(?:[^0-9]+|^)(?:0+(?=[0-9]))?", " "))
     return sequence, deletions
 
 
@@ -40,11 +42,17 @@ def with_record_key(df: DataFrame, line: str) -> DataFrame:
 
 
 class CopyLedger:
-    """Counts of canonical keys, kept in buckets of a Parquet table and grown batch by batch.
+    """Counts of canonical keys, kept in buckets of Parquet files and grown batch by batch.
+
+    Columns: key_a, key_b, first_id (smallest id of all copies), first_seen (earliest time, null if none is
+    known), copies, bucket. The folder holds one subfolder for each version of a bucket and a manifest, which names the
+    live ones and the batches they hold. An update writes new versions of the buckets it touches and then a
+    new manifest, in one rename; what the manifest doesn't name doesn't exist, so an update that was broken off, a lost
+    executor or a batch_id given again changes nothing, and another process goes on where this one ended. Versions
+    that are no longer named are deleted after that. One process writes at a time.
 
-    Columns: bucket, key_a, key_b, first_id (smallest id of all copies), first_seen (earliest time, null if none is
-    known), copies. Each update writes a new version of only the buckets it touched; a version is complete before it
-    is used, so a lost executor or a repeated update(batch_id) changes nothing.
+    There are so many buckets that one holds about ``bucket_rows`` keys; when it gets more, their number is doubled and the
+    update rewrites all of them.
     """
 
     SCHEMA = T.StructType(
@@ -58,18 +66,58 @@ class CopyLedger:
         ]
     )
 
-    def __init__(self, spark: SparkSession, path: str | None = None, n_buckets: int = 16):
-        self.spark, self.n_buckets = spark, n_buckets
-        self.path = path or scratch_path(spark, "ledger")
-        self.live: dict[int, str] = {}  # bucket -> folder of its current version; bounded by n_buckets
+    def __init__(self, spark: SparkSession, path: str | None = None, n_buckets: int = 1, bucket_rows: int = 2_000_000):
+        self.spark, self.bucket_rows = spark, bucket_rows
+        self.path = (path or scratch_path(spark, "ledger")).rstrip("/")
+        self.number, self.n_buckets, self.n_keys = 0, n_buckets, 0
+        self.live: dict[int, int] = {}  # bucket -> its version; as many entries as buckets
         self.done: set[str] = set()
+        self._read()
+
+    def _fs(self, path: str):
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def _read(self) -> None:
+        """The manifest of the highest number, if there is one."""
+        fs, folder = self._fs(f"{self.path}/manifest")
+        if not fs.exists(folder):
+            return
+        names = [f.getPath().getName() for f in fs.listStatus(folder)]
+        numbers = [int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n.removesuffix(".json").isdigit()]
+        if not numbers:
+            return
+        raw = self.spark.read.text(f"{self.path}/manifest/{max(numbers)}.json", wholetext=True).first()[0]
+        held = json.loads(raw)
+        self.number, self.n_buckets, self.n_keys = max(numbers), held["n_buckets"], held["n_keys"]
+        self.live, self.done = {int(b): v for b, v in held["live"].items()}, set(held["done"])
+
+    def _commit(self, number: int, live: dict[int, int], n_buckets: int, n_keys: int, done: set[str]) -> None:
+        text = json.dumps({"live": live, "n_buckets": n_buckets, "n_keys": n_keys, "done": sorted(done)})
+        fs, draft = self._fs(f"{self.path}/manifest/draft-{number}")
+        out = fs.create(draft, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if not fs.rename(draft, self._fs(f"{self.path}/manifest/{number}.json")[1]):
+            raise RuntimeError("the manifest was written by another process")
+        gone = {(b, v) for b, v in self.live.items() if live.get(b) != v}
+        self.number, self.live, self.n_buckets, self.n_keys, self.done = number, live, n_buckets, n_keys, done
+        for bucket, version in gone:
+            fs.delete(self._fs(self._folder(bucket, version))[1], True)
+        for old in (number - 1, number - 2):
+            fs.delete(self._fs(f"{self.path}/manifest/{old}.json")[1], False)
+
+    def _folder(self, bucket: int, version: int) -> str:
+        return f"{self.path}/version={version}/bucket={bucket}"
 
     def table(self, buckets: list[int] | None = None) -> DataFrame:
         """The current rows of all buckets, or of some."""
-        files = sorted({f"{folder}/bucket={b}" for b, folder in self.live.items() if buckets is None or b in buckets})
+        files = [self._folder(b, v) for b, v in sorted(self.live.items()) if buckets is None or b in buckets]
         if not files:
             return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.option("basePath", self.path).schema(self.SCHEMA.add("version", T.StringType())).parquet(*files).drop("version")
+        schema = T.StructType([*self.SCHEMA, T.StructField("version", T.LongType())])
+        return self.spark.read.option("basePath", self.path).schema(schema).parquet(*files).drop("version")
 
     def update(self, batch: DataFrame, batch_id: str, record_id: str, seen: str) -> None:
         """Add a batch that has key_a, key_b, an id and a time; rows with a null key are left out."""
@@ -79,24 +127,37 @@ class CopyLedger:
             batch.filter(F.col("key_a").isNotNull())
             .groupBy(*KEY)
             .agg(F.min(f"`{record_id}`").cast("long").alias("new_id"), F.min(f"`{seen}`").cast("timestamp_ntz").alias("new_seen"), F.count(F.lit(1)).alias("new_copies"))
-            .withColumn("bucket", F.pmod(F.col("key_a"), F.lit(self.n_buckets)).cast("int"))
         )
-        touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most n_buckets
-        old = self.table(touched).withColumnRenamed("bucket", "old_bucket")
+        fresh = materialize(fresh, "fresh")
+        n_fresh, n_buckets = fresh.count(), self.n_buckets
+        while self.n_keys + n_fresh > n_buckets * self.bucket_rows:
+            n_buckets *= 2
+        bucket = F.pmod(F.col("key_a"), F.lit(n_buckets)).cast("int")
+        if n_buckets > self.n_buckets or n_fresh >= 8 * n_buckets:
+            touched = list(range(n_buckets))  # hashed keys, so a batch of that size meets nearly every bucket
+        else:
+            touched = [r[0] for r in fresh.select(bucket).distinct().collect()]  # at most 8 * n_buckets keys
+        old = self.table(None if n_buckets > self.n_buckets else touched).drop("bucket")
         merged = fresh.join(old, KEY, "full_outer").select(
             *KEY,
             F.least("first_id", "new_id").alias("first_id"),
             F.least("first_seen", "new_seen").alias("first_seen"),
             (F.coalesce("copies", F.lit(0)) + F.coalesce("new_copies", F.lit(0))).alias("copies"),
-            F.coalesce("bucket", "old_bucket").alias("bucket"),
+            bucket.alias("bucket"),
         )
-        version = f"{self.path}/version={len(self.done):06d}"
-        merged.repartition(self.n_buckets, "bucket").write.partitionBy("bucket").parquet(version)
-        self.live |= {b: version for b in touched}
-        self.done.add(batch_id)
-
-
-def ledger_of(df: DataFrame, line: str, record_id: str, seen: str, arrived: str, n_batches: int = 2, n_buckets: int = 16) -> tuple[CopyLedger, DataFrame]:
+        version = self.number + 1
+        target = f"{self.path}/version={version}"
+        merged.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+        fs, at = self._fs(target)
+        written = [int(f.getPath().getName().removeprefix("bucket=")) for f in fs.listStatus(at) if f.isDirectory() and f.getPath().getName().startswith("bucket=")]
+        live = {b: v for b, v in self.live.items() if b not in touched} | {b: version for b in written}
+        n_keys = self.spark.read.parquet(target).count() if written else 0
+        n_keys += self.table([b for b in self.live if b not in touched]).count() if set(self.live) - set(touched) else 0
+        self._commit(version, live, n_buckets, n_keys, self.done | {batch_id})
+        drop_materialized(fresh)
+
+
+def ledger_of(df: DataFrame, line: str, record_id: str, seen: str, arrived: str, n_batches: int = 2, n_buckets: int = 1, bucket_rows: int = 2_000_000) -> tuple[CopyLedger, DataFrame]:
     """Feed a whole table to a new ledger in n_batches of arrival time; returns it and the records' ids and keys.
 
     Rows without an arrival time come with the first batch. The result is the same for any number of batches.
@@ -106,7 +167,7 @@ def ledger_of(df: DataFrame, line: str, record_id: str, seen: str, arrived: str,
     keyed = materialize(keyed, "keyed")
     when = F.col(f"`{arrived}`").cast("timestamp").cast("double")
     low, high = keyed.agg(F.min(when), F.max(when)).first()
-    ledger = CopyLedger(df.sparkSession, n_buckets=n_buckets)
+    ledger = CopyLedger(df.sparkSession, n_buckets=n_buckets, bucket_rows=bucket_rows)
     if low is None or high == low:
         ledger.update(keyed, "0", record_id, seen)
         return ledger, keyed

@@ -56,6 +56,26 @@ def test_a_batch_counts_once_and_touches_its_buckets_only(spark):
     assert ledger.table().agg(F.sum("copies")).first()[0] == df.filter("line is not null").count() + 1
 
 
+def test_ledger_goes_on_in_another_process(spark, tmp_path):
+    df, truth = table(spark)
+    keyed = formatting.with_record_key(df, "line")
+    path = f"file://{tmp_path}/ledger"
+    first = formatting.CopyLedger(spark, path, bucket_rows=3)
+    first.update(keyed.filter("record_id < 15"), "a", "record_id", "at")
+    again = formatting.CopyLedger(spark, path, bucket_rows=3)
+    assert again.live == first.live and again.done == {"a"} and again.n_buckets > 1
+    again.update(keyed.filter("record_id < 15"), "a", "record_id", "at")
+    again.update(keyed.filter("record_id >= 15"), "b", "record_id", "at")
+    last = formatting.CopyLedger(spark, path, bucket_rows=3)
+    assert sorted((r["first_id"], r["copies"]) for r in last.table().collect()) == sorted((min(v), len(v)) for v in truth.values())
+    assert last.n_keys == len(truth) and last.n_buckets * 3 >= last.n_keys
+    on_disk = {(int(v.name[8:]), int(b.name[7:])) for v in (tmp_path / "ledger").glob("version=*") for b in v.glob("bucket=*")}
+    assert on_disk == {(v, b) for b, v in last.live.items()}  # old versions are gone
+    # an update that ended before its manifest leaves nothing behind that counts
+    (tmp_path / "ledger" / "version=99" / "bucket=0").mkdir(parents=True)
+    assert formatting.CopyLedger(spark, path).table().count() == len(truth)
+
+
 def test_empty_ledger(spark):
     df, _ = table(spark)
     ledger, keyed = formatting.ledger_of(df.limit(0), "line", "record_id", "at", "at")
