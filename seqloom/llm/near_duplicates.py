@@ -30,11 +30,11 @@ from seqloom.session import drop_materialized, materialize
 K = 5
 #: Size of the frequency sketch: 2**SKETCH_BITS counters in SKETCH_BLOCKS blocks.
 SKETCH_BITS, SKETCH_BLOCKS = 20, 16
-#: Classes of tokens, each of which is joined by itself: one for so many sequences, within limits; beyond the upper limit
-#: the probes of a class are split.
-ROWS_A_CLASS, LEAST_CLASSES, MOST_CLASSES = 250_000, 4, 40
+#: Classes of tokens, each of which is joined by itself: one for so many sequences, so that a join task keeps its size,
+#: up to a limit; beyond it the probes of a class are split.
+ROWS_A_CLASS, MOST_CLASSES = 60_000, 256
 #: Sketch bits for each token of a long set (one of twenty is longer); a sketch has at most 64 words of 64 bits.
-BITS_A_TOKEN, MOST_WORDS = 1.8, 64
+BITS_A_TOKEN, MOST_WORDS = 1.4, 64
 
 
 def token_table(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -318,7 +318,7 @@ def classes_of(df: DataFrame, record_id: str, text: str, num: int = 3, den: int
 def similar_classes(table: DataFrame, order_of, num: int = 3, den: int = 5) -> DataFrame:
     """(u, v), u < v: the smallest ids of two different sequences whose similarity is at least num/den."""
     n, long = table.agg(F.count(F.lit(1)), F.percentile_approx(F.length("letters"), 0.95, 1000)).first()
-    classes = min(MOST_CLASSES, max(LEAST_CLASSES, -(-n // ROWS_A_CLASS)))
+    classes = min(MOST_CLASSES, max(1, -(-n // ROWS_A_CLASS)))
     splits, words = max(1, -(-n // (classes * ROWS_A_CLASS))), int(min(MOST_WORDS, max(1, -(-BITS_A_TOKEN * (long or 0) // 64))))
     posted = table.filter("place = 1").select("gid", "letters", "alone").mapInArrow(_postings(order_of, words, classes, splits, num, den), _POSTING)
     met = posted.groupBy("cls", "split").applyInArrow(_join_class(num, den), "ga long, gb long").distinct()
