@@ -32,7 +32,7 @@ K = 5
 SKETCH_BITS, SKETCH_BLOCKS = 20, 16
 #: Classes of tokens, each of which is joined by itself: one for so many sequences, so that a join task keeps its size,
 #: up to a limit; beyond it the probes of a class are split.
-ROWS_A_CLASS, MOST_CLASSES = 60_000, 256
+ROWS_A_CLASS, MOST_CLASSES = 40_000, 256
 #: Sketch bits for each token of a long set (one of twenty is longer); a sketch has at most 64 words of 64 bits.
 BITS_A_TOKEN, MOST_WORDS = 1.4, 64
 
@@ -315,13 +315,23 @@ def classes_of(df: DataFrame, record_id: str, text: str, num: int = 3, den: int
     return materialize(numbered.select(F.first("at").over(same).alias("gid"), "place", alone.alias("alone"), "cid", "copies", "letters"), "classes"), order_of
 
 
+def _apart(spark, n: int) -> list[int]:
+    """n different numbers that a hash exchange deals evenly to its partitions."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    many = spark.range(16 * max(n, parts)).select(F.col("id").cast("int").alias("i")).select("i", F.pmod(F.hash("i"), F.lit(parts)).alias("p"))
+    turn = many.withColumn("turn", F.row_number().over(Window.partitionBy("p").orderBy("i"))).orderBy("turn", "p").limit(n)
+    return [r["i"] for r in turn.collect()]  # one for each task of the join
+
+
 def similar_classes(table: DataFrame, order_of, num: int = 3, den: int = 5) -> DataFrame:
     """(u, v), u < v: the smallest ids of two different sequences whose similarity is at least num/den."""
     n, long = table.agg(F.count(F.lit(1)), F.percentile_approx(F.length("letters"), 0.95, 1000)).first()
     classes = min(MOST_CLASSES, max(1, -(-n // ROWS_A_CLASS)))
     splits, words = max(1, -(-n // (classes * ROWS_A_CLASS))), int(min(MOST_WORDS, max(1, -(-BITS_A_TOKEN * (long or 0) // 64))))
     posted = table.filter("place = 1").select("gid", "letters", "alone").mapInArrow(_postings(order_of, words, classes, splits, num, den), _POSTING)
-    met = posted.groupBy("cls", "split").applyInArrow(_join_class(num, den), "ga long, gb long").distinct()
+    apart = _apart(table.sparkSession, classes * splits)
+    posted = posted.withColumn("task", F.get(F.lit(apart), F.col("cls") * splits + F.col("split"))).groupBy("task")
+    met = materialize(posted.applyInArrow(_join_class(num, den), "ga long, gb long").distinct(), "met")  # the postings are gone before members meet
     inner = table.filter("place = 2").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
     members = table.select("gid", "cid", "letters")
     pairs = met.unionAll(inner).join(members.toDF("ga", "ca", "la"), "ga").join(members.toDF("gb", "cb", "lb"), "gb").filter("ga <> gb or ca < cb")
