@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 from seqloom.session import drop_materialized, materialize, scratch_path
 
 KEY = ["key_a", "key_b"]
-_SAYS_NOTHING = r"\\[nrt]|\\u00[aA]0|\\u20[0-9a-fA-F]{2}|(?i:deletion_matrix|sequences)"
+_FIELD_NAMES = ["deletion_matrix", "sequences"]
+_ESCAPES = r"\\[nrt]|\\u00[aA]0|\\u20[0-9a-fA-F]{2}"
 
 
 def canonical_record(line: F.Column) -> tuple[F.Column, F.Column]:
@@ -27,9 +28,12 @@ def canonical_record(line: F.Column) -> tuple[F.Column, F.Column]:
     sequence and digits to the deletions, whichever field comes first and whatever separates them. Leading zeros of
     numbers say nothing. Null gives nulls; a record without letters or numbers gives empty strings.
     """
-    bare = F.regexp_replace(line, _SAYS_NOTHING, " ")
-    sequence = F.translate(F.upper(F.regexp_replace(bare, r"[^A-Za-z.\-]+", "")), ".", "-")
-    deletions = F.trim(F.regexp_replace(bare, r"(?:[^0-9]+|^)(?:0+(?=[0-9]))?", " "))
+    escaped = F.when(F.contains(line, F.lit("\\")), F.regexp_replace(line, _ESCAPES, " ")).otherwise(line)
+    bare = F.lower(escaped)
+    for name in _FIELD_NAMES:
+        bare = F.replace(bare, F.lit(name), F.lit(" "))
+    sequence = F.upper(F.replace(F.regexp_replace(bare, r"[^a-z.\-]++", ""), F.lit("."), F.lit("-")))
+    deletions = F.trim(F.regexp_replace(bare, r"(?:[^0-9]++|^)(?:0++(?=[0-9]))?", " "))
     return sequence, deletions
 
 
@@ -37,8 +41,8 @@ def with_record_key(df: DataFrame, line: str) -> DataFrame:
     """df with key_a, key_b; rows whose line is null have a null key and are copies of nothing."""
     sequence, deletions = canonical_record(F.col(f"`{line}`"))
     said = F.concat_ws("|", sequence, deletions)
-    known = F.col(f"`{line}`").isNotNull()
-    return df.withColumn("key_a", F.when(known, F.xxhash64(said))).withColumn("key_b", F.when(known, F.xxhash64(F.lit(11), said, F.lit("b"))))
+    none = F.when(F.col(f"`{line}`").isNotNull(), F.lit(0).cast("long"))  # added, so that what is hashed is computed once for both keys
+    return df.withColumns({"key_a": F.xxhash64(said) + none, "key_b": F.xxhash64(F.lit(11), said, F.lit("b")) + none})
 
 
 class CopyLedger:
