@@ -46,22 +46,18 @@ def pad_to_full(spark, d):
     return M.pad_to_full(rows(spark, d), _full(spark, d)).select("row_id", F.length("seq").cast("long").alias("n"), "seq")
 
 
-def merge_parts(spark, d, whole=False):
-    """Columns 1 to 40 and 51 to 90; whole: the two halves of the whole length."""
+def merge_parts(spark, d):
+    """The two halves of the whole length."""
     m = rows(spark, d).filter("row_idx > 0")
     pair = m.groupBy("msa_id").agg(F.min("row_idx").alias("x")).select("msa_id").withColumn("half", F.lit(1))
     half = F.floor(F.length("seq") / 2).cast("int")
-    one, two = (F.substring("seq", F.lit(1), half), F.substring("seq", half + 1, F.length("seq"))) if whole else (F.substring("seq", 1, 40), F.substring("seq", 51, 40))
+    one, two = F.substring("seq", F.lit(1), half), F.substring("seq", half + 1, F.length("seq"))
     left = m.join(pair, "msa_id").select(F.concat_ws(":", "msa_id", "row_idx").alias("row_idx"), one.alias("seq"), "row_id")
     right = m.select(F.concat_ws(":", "msa_id", "row_idx").alias("row_idx"), two.alias("seq"), "row_id")
     first = lambda x: M.first_wins(x, ["row_idx"], ["row_id"])
     return M.merge_parts(first(left), first(right), 3).select("row_idx", "seq")
 
 
-def merge_parts_all(spark, d):
-    return merge_parts(spark, d, True)
-
-
 def _two_chains(m):
     """Neighbouring alignments as the two chains of one target: each target of the tables has one alignment only."""
     number = F.substring("msa_id", 2, 8).cast("int")
@@ -78,23 +74,15 @@ def block_crop(spark, d):
     return M.crop(rows(spark, d), ["msa_id"], ["row_idx", "row_id"], 100).select("msa_id", "row_id")
 
 
-def gap_islands(spark, d, which="row_idx <= 2"):
-    m = _gapped(spark, d).filter(which)
+def gap_islands(spark, d):
+    m = _gapped(spark, d)
     cells = m.select("row_id", F.posexplode(C.chars(F.col("seq"))).alias("pos", "c")).filter("c = '-'")
     runs = M.islands(cells, ["row_id"], "pos", 3)
     return runs.select("row_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n")
 
 
-def gap_islands_all(spark, d):
-    return gap_islands(spark, d, "true")
-
-
-def gap_columns(spark, d, which="row_idx <= 1"):
-    return M.gap_columns(rows(spark, d).filter(which)).select("msa_id", F.col("pos").cast("long").alias("pos"))
-
-
-def gap_columns_all(spark, d):
-    return gap_columns(spark, d, "true")
+def gap_columns(spark, d):
+    return M.gap_columns(rows(spark, d)).select("msa_id", F.col("pos").cast("long").alias("pos"))
 
 
 def anti_join_paired(spark, d):
@@ -217,16 +205,12 @@ def sequence_features(spark, d):
     return f.select("chain_id", F.col("seq_length").cast("long").alias("n"), total("residue_index").alias("index_sum"), total("aatype").alias("aa_sum"), total(F.transform(hot, lambda v: X.argmax(v) - 1)).alias("hot_sum"), F.aggregate("seq_mask", F.lit(0.0), lambda s, x: s + x).alias("mask_sum"), F.size(X.pad_to(F.col("aatype"), 50, F.lit(0))).cast("long").alias("padded"))
 
 
-def alignment_features(spark, d, which="row_idx <= 5"):
-    m = rows(spark, d).filter(which).filter("deletions is not null")
+def alignment_features(spark, d):
+    m = rows(spark, d).filter("deletions is not null")
     f = X.alignment_features(C.residue_codes(F.col("seq")), F.col("deletions"))
     return m.select("row_id", F.size(f).cast("long").alias("n"), F.round(F.aggregate(F.transform(f, lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)), F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
-def alignment_features_all(spark, d):
-    return alignment_features(spark, d, "true")
-
-
 def mask_ends(spark, d):
     return rows(spark, d).select("row_id", X.mask_ends(F.col("seq"), F.lit(10), F.lit(12)).alias("seq"))
 
@@ -282,7 +266,7 @@ _NAMES = [
     "dedup_first_wins", "drop_query_gaps", "pad_to_full", "merge_parts", "block_diagonal", "block_crop", "gap_islands", "gap_columns", "anti_join_paired",
     "paired_rows", "species_pairs", "column_frequency", "residue_frequency", "column_information", "profile", "deletion_mean", "gap_and_similarity",
     "frequent_labels", "cluster_profile", "reorder_by_likeness", "competition_rank", "distinct_top", "top_then_filter", "strided_sample", "quota_sample",
-    "uniform_sample", "gumbel_order", "masked_cells", "merge_parts_all", "gap_islands_all", "gap_columns_all", "alignment_features_all",
+    "uniform_sample", "gumbel_order", "masked_cells",
 ]
 
 
@@ -309,7 +293,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "sequence_features": f"""{_C} k AS (SELECT chain_id, length(s) AS n, list_sum(list_transform(split(translate(s, 'BJOUZ', 'DXXCE'), ''), lambda c: {code})) AS a FROM c)
             SELECT chain_id, n, n * (n - 1) // 2 AS index_sum, CAST(a AS BIGINT) AS aa_sum, CAST(a AS BIGINT) AS hot_sum, CAST(n AS DOUBLE) AS mask_sum, CAST(ceil(n / 50) * 50 AS BIGINT) AS padded FROM k""",
-        "alignment_features": f"{_M} SELECT row_id, length(seq) AS n, round(length(seq) + list_sum(list_transform(deletions, lambda x: least(greatest(x, 0), 1) + atan(x / 3.0) * 2 / pi())), 5) AS total FROM m WHERE row_idx <= 5 AND deletions IS NOT NULL",
+        "alignment_features": f"{_M} SELECT row_id, length(seq) AS n, round(length(seq) + list_sum(list_transform(deletions, lambda x: least(greatest(x, 0), 1) + atan(x / 3.0) * 2 / pi())), 5) AS total FROM m WHERE deletions IS NOT NULL",
         "mask_ends": f"{_M} SELECT row_id, repeat('-', 10) || substr(seq, 11, length(seq) - 22) || repeat('-', 12) AS seq FROM m",
         "slice_part": f"{_M}, q AS (SELECT msa_id, min(strpos(seq, substr(seq, 21, 30))) AS pre FROM m WHERE row_idx = 0 GROUP BY msa_id) SELECT row_id, substr(seq, CAST(pre AS INTEGER), 30) AS seq FROM m JOIN q USING (msa_id)",
         "merge_homomers": f"{_M}, b AS (SELECT 'p' || (CAST(substr(msa_id, 2, 8) AS INTEGER) // 2) AS target_id, CAST(substr(msa_id, 2, 8) AS INTEGER) % 2 AS c, row_idx, seq FROM m QUALIFY row_number() OVER (PARTITION BY msa_id, row_idx ORDER BY row_id) = 1) SELECT target_id, row_idx, string_agg(seq, '' ORDER BY c) AS seq FROM b GROUP BY ALL",
@@ -326,14 +310,14 @@ def oracle_sql() -> dict[str, str]:
             q AS (SELECT msa_id, full_seq, strpos(full_seq, replace(seq, '-', '')) - 1 AS pre FROM m JOIN f USING (msa_id) WHERE row_idx = 0),
             r AS (SELECT row_id, CASE WHEN row_idx = 0 THEN full_seq ELSE repeat('-', pre) || seq || repeat('-', greatest(length(full_seq) - pre - length(seq), 0)) END AS seq FROM m JOIN q USING (msa_id) WHERE pre >= 0)
             SELECT row_id, length(seq) AS n, seq FROM r""",
-        "merge_parts": f"{_M} SELECT msa_id || ':' || row_idx AS row_idx, substr(seq, 1, 40) || '---' || substr(seq, 51, 40) AS seq FROM m WHERE row_idx > 0 QUALIFY row_number() OVER (PARTITION BY msa_id, row_idx ORDER BY row_id) = 1",
+        "merge_parts": f"{_M} SELECT msa_id || ':' || row_idx AS row_idx, substr(seq, 1, length(seq) // 2) || '---' || substr(seq, length(seq) // 2 + 1) AS seq FROM m WHERE row_idx > 0 QUALIFY row_number() OVER (PARTITION BY msa_id, row_idx ORDER BY row_id) = 1",
         "block_diagonal": f"""{_M}, b AS (SELECT row_id, seq, 'p' || (CAST(substr(msa_id, 2, 8) AS INTEGER) // 2) AS target_id, CAST(substr(msa_id, 2, 8) AS INTEGER) % 2 AS c FROM m), l AS (SELECT target_id, c, max(length(seq)) AS n FROM b GROUP BY ALL),
             o AS (SELECT target_id, c, n, sum(n) OVER (PARTITION BY target_id ORDER BY c) - n AS pre, sum(n) OVER (PARTITION BY target_id) AS total FROM l)
             SELECT row_id, repeat('-', CAST(pre AS BIGINT)) || seq || repeat('-', CAST(total - pre - n AS BIGINT)) AS seq FROM b JOIN o USING (target_id, c)""",
         "block_crop": f"{_M} SELECT msa_id, row_id FROM m QUALIFY row_number() OVER (PARTITION BY msa_id ORDER BY row_idx, row_id) <= 100",
-        "gap_islands": f"""{_GAPPED}, c AS (SELECT row_id, pos - 1 AS pos FROM g, LATERAL (SELECT unnest(range(1, length(seq) + 1)) AS pos) WHERE row_idx <= 2 AND substr(seq, CAST(pos AS INTEGER), 1) = '-'),
+        "gap_islands": f"""{_GAPPED}, c AS (SELECT row_id, pos - 1 AS pos FROM g, LATERAL (SELECT unnest(range(1, length(seq) + 1)) AS pos) WHERE substr(seq, CAST(pos AS INTEGER), 1) = '-'),
             r AS (SELECT row_id, pos, pos - row_number() OVER (PARTITION BY row_id ORDER BY pos) AS k FROM c) SELECT row_id, min(pos) AS start, max(pos) AS "end", count(*) AS n FROM r GROUP BY row_id, k HAVING count(*) > 3""",
-        "gap_columns": f"""{_CELLS}, f AS (SELECT msa_id, pos, max(CASE WHEN aa <> '-' THEN 1 ELSE 0 END) AS filled FROM cells WHERE row_idx = 1 GROUP BY ALL), l AS (SELECT msa_id, max(pos) AS last FROM f WHERE filled = 1 GROUP BY msa_id)
+        "gap_columns": f"""{_CELLS}, f AS (SELECT msa_id, pos, max(CASE WHEN aa <> '-' THEN 1 ELSE 0 END) AS filled FROM cells WHERE row_idx >= 1 GROUP BY ALL), l AS (SELECT msa_id, max(pos) AS last FROM f WHERE filled = 1 GROUP BY msa_id)
             SELECT msa_id, pos FROM f JOIN l USING (msa_id) WHERE filled = 0 AND pos < last""",
         "anti_join_paired": f"{_M} SELECT row_id FROM m WHERE row_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM m n WHERE n.row_id % 2 = 0 AND n.msa_id = m.msa_id AND n.seq = m.seq)",
         "paired_rows": f"""{_SPECIES}, n AS (SELECT target_id, count(DISTINCT chain_idx) AS k FROM s GROUP BY target_id), l AS (SELECT target_id, pair_id, chain_idx, max(row_idx) AS r FROM s WHERE pair_id <> '' AND row_idx > 0 GROUP BY ALL),

@@ -50,7 +50,7 @@ def template_scores(spark, d):
 
 
 def locate_chain(spark, d):
-    h = _hits(spark, d).filter("length(template) > 40").select("chain_id", "file_id", F.lit("A").alias("chain"), F.substring("template", 11, 20).alias("template")).distinct()
+    h = _hits(spark, d).filter("length(template) > 0").select("chain_id", "file_id", "chain", "template").distinct()
     s = struct_chains(spark, d).select(F.lower("file_id").alias("file_id"), "chain", "seq", "chain_ord")
     return H.locate_chain(h, s, ["chain_id", "file_id", "template"]).select("chain_id", "file_id", "template", F.col("how").cast("long").alias("how"), "chain")
 
@@ -67,20 +67,16 @@ def release_dates(spark, d):
     return c.join(s, "id", "left").withColumn("passes", F.coalesce(F.col("release_date") <= F.lit(CUTOFF).cast("date"), F.lit(True))).select("chain_id", "release_date", "passes")
 
 
-def index_arrays(spark, d, which="row_idx <= 20"):
-    m = t(spark, d, "msa_rows").filter(which)
+def index_arrays(spark, d):
+    m = t(spark, d, "msa_rows")
     a = H.index_array(F.upper("seq"), 5)
     return m.select("row_id", F.array_max(a).cast("long").alias("last"), F.size(F.filter(a, lambda i: i == -1)).cast("long").alias("n_gaps"))
 
 
-def index_arrays_all(spark, d):
-    return index_arrays(spark, d, "true")
-
-
-def residue_maps(spark, d, which="row_idx between 1 and 20"):
+def residue_maps(spark, d):
     m = t(spark, d, "msa_rows").select("row_id", "msa_id", "row_idx", F.upper("seq").alias("seq"))
     q = m.filter("row_idx = 0").groupBy("msa_id").agg(F.min("seq").alias("q"))
-    j = m.filter(which).join(q, "msa_id")
+    j = m.filter("row_idx >= 1").join(q, "msa_id")
     j = j.withColumn("iq", H.index_array(F.col("q"), 0)).withColumn("ih", H.index_array(F.col("seq"), 0))
     mapped = F.col("mapped")
     j = j.withColumn("mapped", H.residue_mapping(F.col("q"), F.col("seq"), F.col("iq"), F.col("ih"), F.translate("q", "-", "")))
@@ -88,10 +84,6 @@ def residue_maps(spark, d, which="row_idx between 1 and 20"):
     return j.select("row_id", F.size(mapped).cast("long").alias("n"), total.alias("total"))
 
 
-def residue_maps_all(spark, d):
-    return residue_maps(spark, d, "row_idx >= 1")
-
-
 def quality_filter(spark, d):
     return T.quality_filter(struct_chains(spark, d)).select("file_id", "chain")
 
@@ -209,7 +201,7 @@ _NAMES = [
     "hit_ids", "template_prefilter", "template_scores", "locate_chain", "id_closure", "release_dates", "index_arrays", "residue_maps", "quality_filter",
     "complex_filter", "structure_cache", "chain_cache", "stochastic_keep", "mixture_draws", "centre_distance", "gdt", "lddt", "drmsd", "distogram",
     "neighbour_breaks", "interface", "superpose", "confidence", "cosine_pairs", "representatives", "nearest_centre", "joint_clusters", "density_clusters",
-    "kmeans_labels", "index_arrays_all", "residue_maps_all",
+    "kmeans_labels",
 ]
 
 
@@ -235,14 +227,14 @@ def oracle_sql() -> dict[str, str]:
         "template_prefilter": f"""{_HITS} SELECT chain_id, file_id, CAST(chain_ord AS INTEGER) AS chain_ord, CASE WHEN release_date > DATE '{CUTOFF}' THEN 'date' WHEN aligned_cols / length(query) <= 0.1 THEN 'ratio'
             WHEN strpos(query, template) > 0 AND length(template) / length(query) > 0.95 THEN 'duplicate' WHEN length(template) < 10 THEN 'length' ELSE '' END AS reject_reason FROM h""",
         "template_scores": f"{_HITS} SELECT chain_id, file_id, CAST(chain_ord AS INTEGER) AS chain_ord, round(list_sum(list_transform(range(1, aligned_cols + 1), lambda i: CASE WHEN substr(query, i, 1) = substr(template, i, 1) THEN 1.0 ELSE -1.0 END)) / aligned_cols, 6) AS score FROM h",
-        "locate_chain": f"""{_HITS}, x AS (SELECT DISTINCT chain_id, file_id, substr(template, 11, 20) AS template FROM h WHERE length(template) > 40),
-            j AS (SELECT x.*, s.chain, s.chain_ord, CASE WHEN strpos(seq, x.template) > 0 AND s.chain = 'A' THEN 1 WHEN strpos(seq, x.template) > 0 THEN 2 WHEN regexp_matches(seq, replace(x.template, 'X', '.')) THEN 3 END AS how FROM x JOIN s ON lower(s.file_id) = x.file_id)
+        "locate_chain": f"""{_HITS}, x AS (SELECT DISTINCT chain_id, file_id, chain AS named, template FROM h WHERE length(template) > 0),
+            j AS (SELECT x.chain_id, x.file_id, x.template, s.chain, s.chain_ord, CASE WHEN strpos(seq, x.template) > 0 AND s.chain = x.named THEN 1 WHEN strpos(seq, x.template) > 0 THEN 2 WHEN regexp_matches(seq, replace(x.template, 'X', '.')) THEN 3 END AS how FROM x JOIN s ON lower(s.file_id) = x.file_id)
             SELECT chain_id, file_id, template, how, chain FROM j WHERE how IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chain_id, file_id, template ORDER BY how, chain_ord, chain) = 1""",
         "id_closure": "WITH RECURSIVE r AS (SELECT p_partkey AS k, p_partkey // 2 AS n FROM part WHERE p_partkey % 2 = 0 AND p_partkey > 0 UNION ALL SELECT k, n // 2 FROM r WHERE n % 2 = 0) SELECT CAST(k AS VARCHAR) AS from_id, CAST(n AS VARCHAR) AS to_id FROM r WHERE n % 2 = 1",
         "release_dates": f"SELECT chain_id, s.release_date, coalesce(s.release_date <= DATE '{CUTOFF}', true) AS passes FROM chains LEFT JOIN (SELECT lower(file_id) AS id, min(release_date) AS release_date FROM structures GROUP BY 1) s ON lower(substr(ori_name, 1, 4)) = s.id",
-        "index_arrays": "SELECT row_id, CASE WHEN replace(seq, '-', '') = '' THEN -1 ELSE 4 + length(replace(seq, '-', '')) END AS last, length(seq) - length(replace(seq, '-', '')) AS n_gaps FROM msa_rows WHERE row_idx <= 20",
+        "index_arrays": "SELECT row_id, CASE WHEN replace(seq, '-', '') = '' THEN -1 ELSE 4 + length(replace(seq, '-', '')) END AS last, length(seq) - length(replace(seq, '-', '')) AS n_gaps FROM msa_rows",
         "residue_maps": """WITH m AS (SELECT row_id, msa_id, row_idx, upper(seq) AS seq FROM msa_rows), q AS (SELECT msa_id, min(seq) AS q FROM m WHERE row_idx = 0 GROUP BY msa_id),
-            c AS (SELECT row_id, i, length(replace(substr(q, 1, i), '-', '')) - 1 AS k, length(replace(substr(seq, 1, i), '-', '')) - 1 AS h, substr(q, i, 1) <> '-' AND substr(seq, i, 1) <> '-' AS ok FROM (SELECT row_id, q, seq, CAST(unnest(range(1, length(q) + 1)) AS INTEGER) AS i FROM m JOIN q USING (msa_id) WHERE row_idx BETWEEN 1 AND 20))
+            c AS (SELECT row_id, i, length(replace(substr(q, 1, i), '-', '')) - 1 AS k, length(replace(substr(seq, 1, i), '-', '')) - 1 AS h, substr(q, i, 1) <> '-' AND substr(seq, i, 1) <> '-' AS ok FROM (SELECT row_id, q, seq, CAST(unnest(range(1, length(q) + 1)) AS INTEGER) AS i FROM m JOIN q USING (msa_id) WHERE row_idx >= 1))
             SELECT row_id, count(*) FILTER (ok) AS n, CAST(coalesce(sum(k * 1000 + h) FILTER (ok), 0) AS BIGINT) AS total FROM c GROUP BY row_id""",
         "quality_filter": f"{_S} SELECT file_id, chain FROM s WHERE (resolution IS NULL OR resolution <= 9) AND {_SHARE('seq')} <= 0.8",
         "complex_filter": f"""SELECT file_id FROM structures WHERE resolution <= 9 AND list_sum(list_transform(seqs, lambda x: length(x))) >= 200 AND list_bool_and(list_transform(seqs, lambda x: regexp_full_match(x, '[ACDEFGHIKLMNPQRSTVWY]+')))

@@ -31,15 +31,3 @@ def test_every_oracle_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
-
-
-@pytest.mark.parametrize(("name", "cap", "whole"), [
-    ("alignment_features", "row_idx <= 5 AND ", ""), ("gap_islands", "row_idx <= 2 AND ", ""), ("gap_columns", "row_idx = 1", "row_idx >= 1"),
-    ("index_arrays", " WHERE row_idx <= 20", ""), ("residue_maps", "row_idx BETWEEN 1 AND 20", "row_idx >= 1"),
-    ("merge_parts", "substr(seq, 1, 40) || '---' || substr(seq, 51, 40)", "substr(seq, 1, length(seq) // 2) || '---' || substr(seq, length(seq) // 2 + 1)"),
-])
-def test_whole_alignments(spark, con, name, cap, whole):
-    """The queries over all rows and columns equal the SQL without its caps."""
-    assert cap in ORACLE[name]
-    ours_columns, ours, theirs_columns, theirs = compare(spark, con, QUERIES[f"{name}_all"], ORACLE[name].replace(cap, whole), FOLDER)
-    assert ours_columns == theirs_columns and ours == theirs
