@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.columns import clonotype_fields, popcount_hamming, similar_gene
+from seqloom.session import materialize
 
 
 def band_filter(store: DataFrame, lens: str, target: Sequence[int], tolerance: int | Sequence[int] = 0) -> DataFrame:
@@ -93,21 +95,53 @@ def band_filter_all(store: DataFrame, queries: DataFrame, lens: str, blocks: int
     return _expand(store, queries, shapes, lens, ["target", "tolerance"], blocks)
 
 
+def clamp_targets(queries: DataFrame, longest: DataFrame, target: str = "target") -> DataFrame:
+    """queries with the target limited to the store's longest regions and ``overflow``, by how much it exceeds the reference
+    where it was. longest is the one row of length_limits: arrays ``longest`` and ``quantile`` (the reference)."""
+    limits = longest.select(F.col("longest").alias("__m"), F.col("quantile").alias("__r"))
+    at = F.arrays_zip(F.col(target).alias("t"), F.col("__m").alias("m"), F.col("__r").alias("r"))
+    over = F.transform(at, lambda x: F.when(x["t"] > x["m"], x["t"] - x["r"]).otherwise(0.0).cast("double"))
+    return queries.join(F.broadcast(limits)).withColumn("overflow", over).withColumn(target, F.zip_with(target, "__m", lambda t, m: F.least(t, m))).drop("__m", "__r")
+
+
 def relaxed_search_all(store: DataFrame, queries: DataFrame, lens: str, n_regions: int, min_rows: int, cap: int, blocks: int = 16) -> DataFrame:
-    """relaxed_search for each row of queries (``target`` and ``tolerance`` are arrays), with the query's columns and ``entry``.
+    """relaxed_search for each row of queries (arrays ``target``, ``tolerance`` and, if there, ``overflow``), with the
+    query's columns, ``entry`` and ``n_found``, the number of rows found for it.
 
     The entry cycles are those of distinct lengths, weighed by their rows; each query's stopping cycle is read off a
     running sum over at most ``cap`` counts, and nothing goes to the driver.
     """
-    kinds = queries.select("target", "tolerance").distinct()
-    at = lambda c: [F.get(c, F.lit(i)) for i in range(n_regions)]
-    placed = kinds.crossJoin(store.groupBy(lens).agg(F.count(F.lit(1)).alias("n_shape")))
-    placed = placed.withColumn("entry", entry_cycle(F.col(lens), at("target"), at("tolerance"), growth_cycles(n_regions, cap))).filter(F.col("entry").isNotNull())
-    counts = placed.groupBy("target", "tolerance", "entry").agg(F.sum("n_shape").alias("n"))
-    counts = counts.withColumn("held", F.sum("n").over(Window.partitionBy("target", "tolerance").orderBy("entry")))
-    stop = counts.groupBy("target", "tolerance").agg(F.coalesce(F.min(F.when(F.col("held") >= min_rows, F.col("entry"))), F.lit(cap - 1)).alias("stop"))
-    shapes = placed.join(stop, ["target", "tolerance"]).filter(F.col("entry") <= F.col("stop")).select("target", "tolerance", lens, "entry")
-    return _expand(store, queries, shapes, lens, ["target", "tolerance"], blocks)
+    if "overflow" not in queries.columns:
+        queries = queries.withColumn("overflow", F.array_repeat(F.lit(0.0), n_regions))
+    kind = ["target", "tolerance", "overflow"]
+    grow = F.pandas_udf(lambda o: pd.Series([growth_cycles(n_regions, cap, list(x)) for x in o]), "array<array<int>>")
+    kinds = queries.select(*kind).distinct().withColumn("grown", grow("overflow"))
+    placed = kinds.crossJoin(store.groupBy(lens).agg(F.count(F.lit(1)).alias("n_shape")))  # distinct lengths meet distinct targets
+    never, worst = F.size(lens) != n_regions, F.lit(0)
+    for i in range(n_regions):
+        need = F.greatest(F.abs(F.get(lens, F.lit(i)) - F.get("target", F.lit(i))) - F.get("tolerance", F.lit(i)), F.lit(0))
+        own = F.get("grown", F.lit(i))
+        never = never | need.isNull() | (need > F.size(own))
+        worst = F.greatest(worst, F.when(need > 0, F.get(own, (need - 1).cast("int"))).otherwise(0))
+    placed = placed.withColumn("entry", F.when(~never, worst)).filter(F.col("entry").isNotNull()).drop("grown")
+    counts = placed.groupBy(*kind, "entry").agg(F.sum("n_shape").alias("n"))
+    counts = counts.withColumn("held", F.sum("n").over(Window.partitionBy(*kind).orderBy("entry")))
+    stop = counts.groupBy(*kind).agg(F.coalesce(F.min(F.when(F.col("held") >= min_rows, F.struct("entry", "held"))), F.struct(F.lit(cap - 1).alias("entry"), F.max("held").alias("held"))).alias("s"))
+    shapes = placed.join(stop, kind).filter(F.col("entry") <= F.col("s.entry")).select(*kind, lens, "entry", F.col("s.held").alias("n_found"))
+    return _expand(store, queries, shapes, lens, kind, blocks)
+
+
+def keep_close(found: DataFrame, cdr3: Sequence[tuple[str, str]], most: int, query: str, order: str, cut: bool, share: float = 1.6) -> DataFrame:
+    """What is done where a query found more than ``most`` rows: only rows whose cdr3 are close stay, and with ``cut`` the
+    first ``most`` of those in store order. cdr3: pairs of columns, of the row and of the query."""
+    crowded, near = F.col("n_found") > most, F.lit(True)
+    for own, theirs in cdr3:
+        near = near & (F.length(own) == F.length(theirs)) & (popcount_hamming(F.col(own), F.col(theirs)) <= F.floor(F.length(theirs) * share))
+    kept = found.filter(~crowded | F.coalesce(near, F.lit(False)))
+    if not cut:
+        return kept
+    first = F.row_number().over(Window.partitionBy(query).orderBy(order))
+    return kept.filter(~crowded).unionByName(kept.filter(crowded).withColumn("__n", first).filter(F.col("__n") <= most).drop("__n"))
 
 
 def close_cdr3(df: DataFrame, cdr3: str, query: str, share: float = 1.6) -> DataFrame:
@@ -177,6 +211,69 @@ def unpaired_search(store: DataFrame, catalog: DataFrame, regions: Sequence[str]
     return out.orderBy("rank", "row_ord").limit(max_rows).select("path", "row_ord", "rank")
 
 
+def choose_buckets_all(catalog: DataFrame, queries: DataFrame, enough: int = 1000) -> DataFrame:
+    """choose_buckets for each row of queries (query_id, chain_type, c1, c2, c3): query_id, path, cdr3_len, distance, rank."""
+    kind = ["chain_type", "c1", "c2", "c3"]
+    kinds = queries.select(*kind).distinct()
+    d3 = F.abs(F.col("cdr3_len") - F.col("c3"))
+    own = catalog.withColumn("seq_count", F.coalesce("seq_count", F.lit(0))).join(kinds, "chain_type")
+    own = own.withColumn("distance", F.abs(F.col("cdr1_len") - F.col("c1")) + F.abs(F.col("cdr2_len") - F.col("c2")) + d3).filter(F.col("distance").isNotNull())
+    held = own.groupBy(*kind).agg(F.coalesce(F.sum(F.when(d3 == 0, F.col("seq_count"))), F.lit(0)).alias("held"))
+    order = Window.partitionBy(*kind).orderBy("distance", "ord")  # the catalog of a chain type, once for each kind of query
+    ranked = own.join(held, kind).withColumn("exact", F.col("held") >= enough).filter(~F.col("exact") | (d3 == 0))
+    ranked = ranked.withColumn("before", F.coalesce(F.sum("seq_count").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranked = ranked.filter(F.col("exact") | (F.col("before") <= enough)).withColumn("rank", F.row_number().over(order) - 1)
+    return queries.join(ranked.select(*kind, "path", "cdr3_len", "distance", "rank"), kind).select("query_id", "path", "cdr3_len", "distance", "rank")
+
+
+def unpaired_search_all(store: DataFrame, catalog: DataFrame, queries: DataFrame, min_rows: int = 1000, max_rows: int = 50_000, tolerance: float = 1.0, blocks: int = 16) -> DataFrame:
+    """unpaired_search for each row of queries (query_id, chain_type, c1, c2, c3, cdr3): query_id, path, row_ord, rank.
+
+    Bucket sizes are counted once. Distances to a query's cdr3 are only counted for buckets that are large enough to be
+    filtered by them. The walk of a query goes over its list of buckets, which is as long as the catalog at most.
+    """
+    steps = 23  # tolerance * 0.9 ** k down to a tenth
+    size = store.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    least = F.when(F.col("c3") > 10, F.floor(F.lit(min_rows) * F.col("c3") / 10) * 4).otherwise(F.lit(min_rows))
+    listed = choose_buckets_all(catalog, queries).join(queries.select("query_id", "c3", F.col("cdr3").alias("query_cdr3")).withColumn("least", least), "query_id").join(size, "path")
+    listed = materialize(listed, "listed")
+    sharp = (F.col("cdr3_len") == F.col("c3")) & (F.col("n") >= 10 * F.col("least"))
+    # a running sum over the list ends it where plain buckets are enough; only the sharp ones before that are compared
+    order = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    listed = listed.withColumn("sharp", sharp).withColumn("plain", F.coalesce(F.sum(F.when(~F.col("sharp"), F.col("n")).otherwise(0)).over(order), F.lit(0))).filter(F.col("plain") < F.col("least"))
+    distance = popcount_hamming(F.col("cdr3"), F.col("query_cdr3"))
+    limit = lambda k: F.floor(F.col("c3") * (tolerance * 0.9**k))
+    dealt = store.withColumn("block", F.pmod(F.xxhash64("row_ord"), F.lit(blocks)))
+    met = dealt.join(listed.select("path", "query_id", "c3", "query_cdr3").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), ["path", "block"])
+    tight = met.withColumn("d", distance).groupBy("query_id", "path").agg(F.array(*[F.coalesce(F.sum((F.col("d") <= limit(k)).cast("long")), F.lit(0)) for k in range(steps)]).alias("tight"))
+    lists = listed.join(tight, ["query_id", "path"], "left").groupBy("query_id", "c3", "least").agg(F.array_sort(F.collect_list(F.struct("rank", "path", "sharp", "n", "tight"))).alias("list"))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for query, c3, least, line in zip(batch["query_id"], batch["c3"], batch["least"], batch["list"]):
+                taken, held = [], 0
+                for b in line:
+                    if held >= least:
+                        break
+                    near = b["tight"]
+                    taken.append((b["path"], b["rank"], int(c3 * tolerance) if b["sharp"] else None))
+                    held += near[0] if b["sharp"] else b["n"]
+                    if not b["sharp"] and held > max_rows:
+                        break
+                    k = 0
+                    while held > max_rows and k < steps - 1:
+                        k += 1
+                        taken, held = [(b["path"], b["rank"], int(c3 * (tolerance * 0.9**k)))], near[k]
+                out += [(query, *x) for x in taken]
+            yield pd.DataFrame(out, columns=["query_id", "path", "rank", "most"]).astype({"most": "Int64"})
+
+    keep = lists.mapInPandas(walk, "query_id long, path string, rank int, most int").join(queries.select("query_id", F.col("cdr3").alias("query_cdr3")), "query_id")
+    found = dealt.join(keep.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), ["path", "block"]).filter(F.col("most").isNull() | (distance <= F.col("most")))
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "row_ord"))
+    return found.withColumn("place", first).filter(F.col("place") <= max_rows).select("query_id", "path", "row_ord", "rank")
+
+
 #: Gene marks of each level, widest last, in the order in which they are tried for every length difference.
 LEVELS = [("*", "*"), ("-", "*"), ("V", "J")]
 
@@ -203,3 +300,28 @@ def clonotype_search(store: DataFrame, clonotype: str, target: Sequence[str], ma
         if done:
             break
     return rows.filter((F.col("len_diff") <= level[0]) & F.col(f"level{level[1]}")).drop("level0", "level1", "level2").withColumn("level_diff", F.lit(level[0])).withColumn("level_marks", F.lit(level[1]))
+
+
+def clonotype_search_all(store: DataFrame, clonotype: str, queries: DataFrame, max_diff: int = 10, more_than: int = 100, blocks: int = 16) -> DataFrame:
+    """clonotype_search for each row of queries (query_id, clonotype): the store's columns with query_id, level_diff, level_marks.
+
+    Distinct genes and lengths of the queries meet those of the store; the level of each kind of query is read off a
+    running sum over at most max_diff counts.
+    """
+    fields = lambda df, c: df.withColumn("__c", clonotype_fields(F.col(c))).withColumns({"v": F.col("__c.v"), "j": F.col("__c.j"), "n3": F.length("__c.cdr3")}).drop("__c")
+    rows, asked = fields(store, clonotype), fields(queries.select("query_id", F.col("clonotype").alias("query_clonotype")), "query_clonotype")
+    kinds = asked.select(F.col("v").alias("qv"), F.col("j").alias("qj"), F.col("n3").alias("q3")).distinct()
+    near = kinds.withColumn("n3", F.explode(F.sequence(F.col("q3") - (max_diff - 1), F.col("q3") + (max_diff - 1))))
+    shapes = near.join(rows.groupBy("v", "j", "n3").agg(F.count(F.lit(1)).alias("n")), "n3").withColumn("d", F.abs(F.col("n3") - F.col("q3")))
+    for k, (a, b) in enumerate(LEVELS):
+        shapes = shapes.withColumn(f"l{k}", similar_gene(F.col("v"), F.col("qv"), a) & similar_gene(F.col("j"), F.col("qj"), b))
+    kind = ["qv", "qj", "q3"]
+    sums = shapes.groupBy(*kind, "d").agg(*[F.coalesce(F.sum(F.when(F.col(f"l{k}"), F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(3)])
+    up = Window.partitionBy(*kind).orderBy("d")
+    sums = sums.select(*kind, "d", F.array(*[F.sum(f"n{k}").over(up) for k in range(3)]).alias("held"))
+    level = sums.select(*kind, "d", F.posexplode("held").alias("k", "n")).groupBy(*kind).agg(F.coalesce(F.min(F.when(F.col("n") > more_than, F.struct("d", "k"))), F.struct(F.lit(max_diff - 1).alias("d"), F.lit(2).alias("k"))).alias("level"))
+    fit = F.when(F.col("level.k") == 0, F.col("l0")).when(F.col("level.k") == 1, F.col("l1")).otherwise(F.col("l2"))
+    shapes = shapes.join(level, kind).filter((F.col("d") <= F.col("level.d")) & fit).select(*kind, "v", "j", "n3", F.col("level.d").alias("level_diff"), F.col("level.k").alias("level_marks"))
+    wanted = asked.select("query_id", F.col("v").alias("qv"), F.col("j").alias("qj"), F.col("n3").alias("q3")).join(shapes, kind).drop(*kind).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(*store.columns), F.lit(blocks)))
+    return dealt.join(wanted, ["v", "j", "n3", "block"]).drop("v", "j", "n3", "block")

@@ -13,6 +13,7 @@ from seqloom.operators.ranking import ranking_metric as metric
 BAND = [10, 2, 10, 2, 10, 4, 5]
 START = [10, 0, 0, 0, 0, 0, 5]
 START_L = [10, 0, 10, 0, 10, 0, 10]
+START_PAIR = [16, 0, 2, 0, 5, 0, 10, 16, 0, 2, 0, 2, 0, 10]
 MIN_ROWS, CAP = 300, 50
 
 
@@ -25,36 +26,10 @@ def region_store(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "chains").filter(F.size("regions") == 7).withColumn("lens", C.region_lengths(F.col("regions")))
 
 
-def heavy_query(spark: SparkSession, d: str) -> dict:
-    """The query: the first heavy chain with regions (one row)."""
-    return t(spark, d, "chains").filter("chain_type = 'H' and size(regions) = 7 and clonotype is not null").orderBy("chain_id").limit(1).first().asDict()
-
-
-def band_filter(spark, d):
-    q = [len(r) for r in heavy_query(spark, d)["regions"]]
-    return search.band_filter(region_store(spark, d), "lens", q, BAND).select("chain_id", "chain_type")
-
-
-def _relaxed(spark, d):
-    q = [len(r) for r in heavy_query(spark, d)["regions"]]
-    return search.relaxed_search(region_store(spark, d), "lens", q, START, MIN_ROWS, CAP)
-
-
-def relaxed_search(spark, d):
-    return _relaxed(spark, d).select("chain_id", "entry")
-
-
-def search_top_k(spark, d):
-    cdr3 = heavy_query(spark, d)["regions"][5]
-    near = _relaxed(spark, d).withColumn("cdr3", F.get("regions", F.lit(5))).filter(F.length("cdr3") == len(cdr3))
-    near = near.withColumn("distance", C.symbol_hamming(F.col("cdr3"), F.lit(cdr3))).withColumn("one", F.lit(1))
-    return competition_rank(near, ["one"], "distance", descending=False).filter("rank < 20").select("chain_id", "distance", F.col("rank").cast("long").alias("rank"))
-
-
 def query_chains(spark: SparkSession, d: str, heavy: list[int], light: list[int]) -> DataFrame:
     """The queries: every chain with regions whose id is divisible by 20, with the tolerance of its type."""
     of_type = F.when(F.col("chain_type") == "L", F.lit(light)).otherwise(F.lit(heavy))
-    return region_store(spark, d).filter("chain_id % 20 = 0").select(F.col("chain_id").alias("query_id"), F.col("lens").alias("target"), of_type.alias("tolerance"), F.get("regions", F.lit(5)).alias("query_cdr3"))
+    return region_store(spark, d).filter("chain_id % 20 = 0").select(F.col("chain_id").alias("query_id"), F.col("chain_type").alias("query_type"), F.col("lens").alias("target"), of_type.alias("tolerance"), F.get("regions", F.lit(5)).alias("query_cdr3"))
 
 
 def band_filter_all(spark, d):
@@ -75,22 +50,55 @@ def search_top_k_all(spark, d):
     return competition_rank(near, ["query_id"], "distance", descending=False).filter("rank < 20").select("query_id", "chain_id", "distance", F.col("rank").cast("long").alias("rank"))
 
 
-def close_cdr3(spark, d):
-    return search.close_cdr3(t(spark, d, "bucket_store"), "cdr3", heavy_query(spark, d)["regions"][5]).select("row_ord", "cdr3")
+def substitution_search(spark, d):
+    """Chains of the query's type within the widening band: at least 1,000, of more than 10,000 the close ones, 10,000 at most."""
+    store, most = region_store(spark, d).withColumn("cdr3", F.get("regions", F.lit(5))), 10_000
+    parts = []
+    for kind, start in (("H", START), ("L", START_L)):
+        own = store.filter(F.col("chain_type") == kind)
+        limits = search.length_limits(own, "lens", 7).withColumn("quantile", F.transform("longest", lambda x: x.cast("double")))  # here the longest regions are the reference too
+        asked = search.clamp_targets(query_chains(spark, d, start, start).filter(F.col("query_type") == kind), limits)
+        parts.append(search.relaxed_search_all(own, asked, "lens", 7, 1000, 50))
+    found = search.keep_close(parts[0].unionByName(parts[1]), [("cdr3", "query_cdr3")], most, "query_id", "chain_id", cut=True)
+    return found.select("query_id", "chain_id", "entry")
+
+
+def pair_store(spark: SparkSession, d: str) -> DataFrame:
+    """Heavy and light chains of a target with fourteen regions."""
+    one = lambda k: region_store(spark, d).select(F.col("chain_id").alias(k), F.col("regions").alias(f"{k}_regions"))
+    pairs = msa.positional_pairs(t(spark, d, "chains")).filter("heavy is not null and light is not null").select("heavy", "light")
+    both = pairs.join(one("heavy"), "heavy").join(one("light"), "light").withColumn("regions", F.concat("heavy_regions", "light_regions")).drop("heavy_regions", "light_regions")
+    return both.withColumn("lens", C.region_lengths(F.col("regions"))).withColumn("cdr3", F.get("regions", F.lit(5))).withColumn("light_cdr3", F.get("regions", F.lit(12)))
+
+
+def paired_search(spark, d):
+    """Pairs within the widening band over fourteen regions: at least 2,000, of more than 50,000 those with close heavy CDR3."""
+    store = pair_store(spark, d)
+    asked = store.filter("heavy % 20 = 0").select(F.col("heavy").alias("query_id"), F.col("light").alias("query_light"), F.col("lens").alias("target"), F.lit(START_PAIR).alias("tolerance"), F.col("cdr3").alias("query_cdr3"))
+    asked = search.clamp_targets(asked, search.length_limits(store, "lens", 14))
+    found = search.relaxed_search_all(store, asked, "lens", 14, 2000, 100)
+    return search.keep_close(found, [("cdr3", "query_cdr3")], 50_000, "query_id", "heavy", cut=False).select("query_id", "query_light", "heavy", "light", "entry")
 
 
 def _cdr3_pairs(spark, d):
-    q = heavy_query(spark, d)["regions"][5]
-    return t(spark, d, "bucket_store").filter(F.length("cdr3") == len(q)).withColumn("q", F.lit(q))
+    """Every stored chain with every query of its CDR3 length."""
+    q = query_chains(spark, d, START, START_L).filter("length(query_cdr3) > 0").select("query_id", "query_cdr3", F.length("query_cdr3").alias("n"))
+    store = t(spark, d, "bucket_store").select("row_ord", "cdr3").withColumn("n", F.length("cdr3")).withColumn("block", F.pmod(F.xxhash64("row_ord"), F.lit(16)))
+    return store.join(q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(15)))), ["n", "block"])
+
+
+def close_cdr3(spark, d):
+    p = _cdr3_pairs(spark, d)
+    return p.filter(C.popcount_hamming(F.col("cdr3"), F.col("query_cdr3")) <= F.floor(F.col("n") * 1.6)).select("query_id", "row_ord", "cdr3")
 
 
 def popcount_hamming(spark, d):
-    return _cdr3_pairs(spark, d).select("row_ord", C.popcount_hamming(F.col("cdr3"), F.col("q")).cast("long").alias("distance"))
+    return _cdr3_pairs(spark, d).select("query_id", "row_ord", C.popcount_hamming(F.col("cdr3"), F.col("query_cdr3")).cast("long").alias("distance"))
 
 
 def weighted_hamming(spark, d):
-    w = F.transform(F.sequence(F.lit(1), F.length("q")), lambda i: i.cast("double") / 2)
-    return _cdr3_pairs(spark, d).select("row_ord", C.symbol_hamming(F.col("cdr3"), F.col("q")).cast("long").alias("distance"), C.weighted_hamming(F.col("cdr3"), F.col("q"), w).alias("weighted"))
+    w = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: i.cast("double") / 2)
+    return _cdr3_pairs(spark, d).select("query_id", "row_ord", C.symbol_hamming(F.col("cdr3"), F.col("query_cdr3")).cast("long").alias("distance"), C.weighted_hamming(F.col("cdr3"), F.col("query_cdr3"), w).alias("weighted"))
 
 
 def length_limits(spark, d):
@@ -98,20 +106,24 @@ def length_limits(spark, d):
     return one.select(F.posexplode(F.arrays_zip("longest", "quantile")).alias("region", "z")).select("region", F.col("z.longest").cast("long").alias("longest"), F.round("z.quantile", 6).alias("quantile"))
 
 
+def _bucket_queries(spark, d):
+    at = lambda i: F.get("lens", F.lit(i))
+    return region_store(spark, d).filter("chain_id % 20 = 0").select(F.col("chain_id").alias("query_id"), "chain_type", at(1).alias("c1"), at(3).alias("c2"), at(5).alias("c3"), F.get("regions", F.lit(5)).alias("cdr3"))
+
+
 def bucket_choice(spark, d):
-    lens = [len(r) for r in heavy_query(spark, d)["regions"]]
-    chosen = search.choose_buckets(t(spark, d, "bucket_catalog"), [lens[1], lens[3], lens[5]], "H")
-    return chosen.select("path", F.col("distance").cast("long").alias("distance"), F.col("rank").cast("long").alias("rank"))
+    chosen = search.choose_buckets_all(t(spark, d, "bucket_catalog"), _bucket_queries(spark, d))
+    return chosen.select("query_id", "path", F.col("distance").cast("long").alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
 def unpaired_search(spark, d):
-    return search.unpaired_search(t(spark, d, "bucket_store"), t(spark, d, "bucket_catalog"), heavy_query(spark, d)["regions"], "H")
+    return search.unpaired_search_all(t(spark, d, "bucket_store"), t(spark, d, "bucket_catalog"), _bucket_queries(spark, d))
 
 
 def clonotype_search(spark, d):
-    q = heavy_query(spark, d)["clonotype"].split(";")
-    target = [q[0].split("|")[0], q[1].split("|")[0], q[2]]
-    return search.clonotype_search(t(spark, d, "chains").filter("clonotype is not null"), "clonotype", target, 10, 20).select("chain_id", F.col("level_diff").cast("long").alias("level_diff"), F.col("level_marks").cast("long").alias("level_marks"))
+    c = t(spark, d, "chains").filter("clonotype is not null")
+    asked = c.filter("chain_id % 20 = 0").select(F.col("chain_id").alias("query_id"), "clonotype")
+    return search.clonotype_search_all(c, "clonotype", asked).select("query_id", "chain_id", F.col("level_diff").cast("long").alias("level_diff"), F.col("level_marks").cast("long").alias("level_marks"))
 
 
 def clonotype_groups(spark, d):
@@ -242,23 +254,31 @@ _NAMES = [
     "band_filter", "relaxed_search", "search_top_k", "close_cdr3", "popcount_hamming", "weighted_hamming", "length_limits", "bucket_choice", "unpaired_search",
     "clonotype_search", "clonotype_groups", "skip_existing", "keep_set", "sliding_windows", "region_intervals", "region_vector", "safe_names", "residue_codes",
     "deletion_values", "query_identity", "letter_block", "spreadsheet_ids", "contiguous_split", "chunk_list", "positional_pairs", "self_pairs", "assembly_ids",
-    "species_ids", "ranking_metric", "residue_gap", "clonotype_join", "target_order", "fan_out", "band_filter_all", "relaxed_search_all", "search_top_k_all",
+    "species_ids", "ranking_metric", "residue_gap", "clonotype_join", "target_order", "fan_out", "substitution_search", "paired_search",
 ]
 
 
 def queries() -> dict:
-    return {name: globals()[name] for name in _NAMES}
-
-
-_STORE = "WITH q AS (SELECT * FROM chains WHERE chain_type = 'H' AND len(regions) = 7 AND clonotype IS NOT NULL ORDER BY chain_id LIMIT 1), s AS (SELECT * FROM chains WHERE len(regions) = 7)"
-_ENTRY = f"""{_STORE},
-    e AS (SELECT s.chain_id, s.regions, list_transform(range(0, 7), lambda i: greatest(abs(len(s.regions[i+1]) - len(q.regions[i+1])) - ({START})[i+1], 0)) AS need, q.regions AS qr FROM s, q),
-    f AS (SELECT *, list_max(list_transform(range(0, 7), lambda i: CASE WHEN need[i+1] = 0 THEN 0 ELSE i + 7 * (need[i+1] - 1) + 1 END)) AS entry FROM e),
-    g AS (SELECT c, (SELECT count(*) FROM f WHERE entry <= c) AS n FROM range(0, {CAP}) r(c)),
-    stop AS (SELECT coalesce(min(c), {CAP - 1}) AS stop FROM g WHERE n >= {MIN_ROWS}),
-    got AS (SELECT f.* FROM f, stop WHERE entry <= stop AND entry < {CAP})"""
-_CDR3 = "WITH q AS (SELECT regions[6] AS q FROM chains WHERE chain_type = 'H' AND len(regions) = 7 AND clonotype IS NOT NULL ORDER BY chain_id LIMIT 1), p AS (SELECT row_ord, cdr3, q FROM bucket_store, q WHERE length(cdr3) = length(q))"
+    return {name: globals().get(f"{name}_all") or globals()[name] for name in _NAMES}
+
+
+_STORE = "WITH s AS (SELECT * FROM chains WHERE len(regions) = 7), q AS (SELECT chain_id AS query_id, chain_type AS qt, regions AS qr FROM s WHERE chain_id % 20 = 0)"
+_NEED = lambda n, start: f"list_transform(range(0, {n}), lambda i: greatest(abs(len(r[i+1]) - len(qr[i+1])) - ({start})[i+1], 0))"
+_LAST = lambda n: f"list_max(list_transform(range(0, {n}), lambda i: CASE WHEN need[i+1] = 0 THEN 0 ELSE i + {n} * (need[i+1] - 1) + 1 END))"
+_STOP = lambda least, cap: f"""g AS (SELECT query_id, query_light, entry, sum(count(*)) OVER (PARTITION BY query_id, query_light ORDER BY entry) AS held FROM f WHERE entry < {cap} GROUP BY query_id, query_light, entry),
+    stop AS (SELECT query_id, query_light, coalesce(min(entry) FILTER (held >= {least}), {cap - 1}) AS stop FROM g GROUP BY query_id, query_light),
+    got AS (SELECT f.* FROM f JOIN stop ON f.query_id = stop.query_id AND f.query_light IS NOT DISTINCT FROM stop.query_light WHERE entry <= stop AND entry < {cap})"""
+_START = f"(CASE WHEN qt = 'L' THEN {START_L} ELSE {START} END)"
+_ENTRY = lambda same, least: f"""{_STORE}, e AS (SELECT query_id, NULL AS query_light, s.chain_id, s.regions AS r, qr, {_NEED(7, _START).replace("r[i+1]", "s.regions[i+1]", 1)} AS need FROM s JOIN q ON {same}),
+    f AS (SELECT *, {_LAST(7)} AS entry FROM e), {_STOP(least, CAP)}"""
+_CDR3 = f"{_STORE}, p AS (SELECT query_id, row_ord, cdr3, qr[6] AS q FROM bucket_store JOIN q ON length(cdr3) = length(qr[6]) AND length(cdr3) > 0)"
 _POP = "list_sum(list_transform(range(1, length(q) + 1), lambda i: bit_count(xor(ascii(substr(cdr3, i, 1)), ascii(substr(q, i, 1))))))"
+_PAIRED = """WITH n AS (SELECT chain_id, target_id, chain_type, ori_name, row_number() OVER (PARTITION BY target_id, chain_type ORDER BY ord DESC, chain_id DESC) AS k, count(*) OVER (PARTITION BY target_id, chain_type) AS m FROM chains WHERE chain_type IN ('H', 'L')),
+            h AS (SELECT * FROM n WHERE chain_type = 'H'), l AS (SELECT * FROM n WHERE chain_type = 'L'),
+            dp AS (SELECT h.target_id, h.chain_id AS heavy, l.chain_id AS light, false AS is_cross FROM h JOIN l ON h.target_id = l.target_id AND h.k = l.k WHERE (h.m = 1 AND l.m = 1) OR h.ori_name IS DISTINCT FROM l.ori_name),
+            cp AS (SELECT h.target_id, h.chain_id AS heavy, l.chain_id AS light, true AS is_cross FROM h JOIN l ON h.target_id = l.target_id WHERE h.target_id NOT IN (SELECT target_id FROM dp) AND h.ori_name IS DISTINCT FROM l.ori_name),
+            p AS (SELECT * FROM dp UNION ALL SELECT * FROM cp)
+    SELECT heavy, light FROM p"""
 _PREFIX = lambda g, m: f"(CASE WHEN strpos({g}, '{m}') > 0 THEN substr({g}, 1, strpos({g}, '{m}') - 1) ELSE substr({g}, 1, greatest(length({g}) - 1, 0)) END)"
 _SIM = lambda a, b, m: f"({a} = {b} OR {_PREFIX(a, m)} = {_PREFIX(b, m)})"
 _LEVEL = lambda k: f"({_SIM('v', 'tv', search.LEVELS[k][0])} AND {_SIM('j', 'tj', search.LEVELS[k][1])})"
@@ -269,29 +289,33 @@ def oracle_sql() -> dict[str, str]:
     perm = [C.INTERNAL_ORDER.index(c) for c in order]
     code = "CASE WHEN strpos('ACDEFGHIKLMNPQRSTVWYX-', c) > 0 THEN strpos('ACDEFGHIKLMNPQRSTVWYX-', c) - 1 ELSE 20 END"
     return {
-        "band_filter": f"{_STORE} SELECT s.chain_id, s.chain_type FROM s, q WHERE list_bool_and(list_transform(range(1, 8), lambda i: abs(len(s.regions[i]) - len(q.regions[i])) <= ({BAND})[i]))",
-        "relaxed_search": f"{_ENTRY} SELECT chain_id, CAST(entry AS INTEGER) AS entry FROM got",
-        "search_top_k": f"""{_ENTRY}, h AS (SELECT chain_id, regions[6] AS cdr3, qr[6] AS q FROM got WHERE length(regions[6]) = length(qr[6])),
-            k AS (SELECT chain_id, CAST(list_sum(list_transform(range(1, length(q) + 1), lambda i: CASE WHEN substr(cdr3, i, 1) <> substr(q, i, 1) THEN 1 ELSE 0 END)) AS INTEGER) AS distance FROM h)
-            SELECT * FROM (SELECT chain_id, distance, rank() OVER (ORDER BY distance) - 1 AS rank FROM k) WHERE rank < 20""",
-        "close_cdr3": f"{_CDR3} SELECT row_ord, cdr3 FROM p WHERE {_POP} <= CAST(floor(length(q) * 1.6) AS INTEGER)",
-        "popcount_hamming": f"{_CDR3} SELECT row_ord, CAST({_POP} AS BIGINT) AS distance FROM p",
-        "weighted_hamming": f"""{_CDR3} SELECT row_ord, CAST(list_sum(list_transform(range(1, length(q) + 1), lambda i: CASE WHEN substr(cdr3, i, 1) <> substr(q, i, 1) THEN 1 ELSE 0 END)) AS BIGINT) AS distance,
+        "band_filter": f"{_STORE} SELECT query_id, s.chain_id, s.chain_type FROM s, q WHERE list_bool_and(list_transform(range(1, 8), lambda i: abs(len(s.regions[i]) - len(qr[i])) <= ({BAND})[i]))",
+        "relaxed_search": f"{_ENTRY('true', MIN_ROWS)} SELECT query_id, chain_id, CAST(entry AS INTEGER) AS entry FROM got",
+        "substitution_search": f"{_ENTRY('s.chain_type = qt', 1000)} SELECT query_id, chain_id, CAST(entry AS INTEGER) AS entry FROM got",
+        "paired_search": f"""{_STORE}, pp AS ({_PAIRED}), ps AS (SELECT heavy, light, a.regions || b.regions AS r FROM pp JOIN s a ON a.chain_id = heavy JOIN s b ON b.chain_id = light),
+            e AS (SELECT x.heavy AS query_id, x.light AS query_light, y.heavy, y.light, x.r AS qr, {_NEED(14, START_PAIR).replace("r[i+1]", "y.r[i+1]", 1).replace("qr[i+1]", "x.r[i+1]")} AS need FROM ps x, ps y WHERE x.heavy % 20 = 0),
+            f AS (SELECT *, {_LAST(14)} AS entry FROM e), {_STOP(2000, 100)}
+            SELECT query_id, query_light, heavy, light, CAST(entry AS INTEGER) AS entry FROM got""",
+        "search_top_k": f"""{_ENTRY('true', MIN_ROWS)}, h AS (SELECT query_id, chain_id, r[6] AS cdr3, qr[6] AS q FROM got WHERE length(r[6]) = length(qr[6])),
+            k AS (SELECT query_id, chain_id, CAST(coalesce(list_sum(list_transform(range(1, length(q) + 1), lambda i: CASE WHEN substr(cdr3, i, 1) <> substr(q, i, 1) THEN 1 ELSE 0 END)), 0) AS INTEGER) AS distance FROM h)
+            SELECT * FROM (SELECT query_id, chain_id, distance, rank() OVER (PARTITION BY query_id ORDER BY distance) - 1 AS rank FROM k) WHERE rank < 20""",
+        "close_cdr3": f"{_CDR3} SELECT query_id, row_ord, cdr3 FROM p WHERE {_POP} <= CAST(floor(length(q) * 1.6) AS INTEGER)",
+        "popcount_hamming": f"{_CDR3} SELECT query_id, row_ord, CAST({_POP} AS BIGINT) AS distance FROM p",
+        "weighted_hamming": f"""{_CDR3} SELECT query_id, row_ord, CAST(list_sum(list_transform(range(1, length(q) + 1), lambda i: CASE WHEN substr(cdr3, i, 1) <> substr(q, i, 1) THEN 1 ELSE 0 END)) AS BIGINT) AS distance,
             CAST(list_sum(list_transform(range(1, length(q) + 1), lambda i: CASE WHEN substr(cdr3, i, 1) <> substr(q, i, 1) THEN i / 2.0 ELSE 0.0 END)) AS DOUBLE) AS weighted FROM p""",
         "length_limits": f"{_STORE}, l AS (SELECT i AS region, len(regions[i + 1]) AS n FROM s, range(0, 7) r(i)) SELECT CAST(region AS INTEGER) AS region, max(n) AS longest, round(quantile_cont(n, 0.999), 6) AS quantile FROM l GROUP BY region",
-        "bucket_choice": f"""{_STORE}, o AS (SELECT path, c.ord AS ord, c.cdr3_len = len(q.regions[6]) AS own, coalesce(seq_count, 0) AS n,
-              abs(c.cdr1_len - len(q.regions[2])) + abs(c.cdr2_len - len(q.regions[4])) + abs(c.cdr3_len - len(q.regions[6])) AS distance FROM bucket_catalog c, q WHERE c.chain_type = 'H'),
-            u AS (SELECT * FROM o WHERE distance IS NOT NULL), x AS (SELECT coalesce(sum(n) FILTER (own), 0) >= 1000 AS exact FROM u),
-            r AS (SELECT path, distance, exact, coalesce(sum(n) OVER (ORDER BY distance, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (ORDER BY distance, ord) - 1 AS rank
-              FROM u, x WHERE NOT exact OR own)
-            SELECT path, CAST(distance AS BIGINT) AS distance, rank FROM r WHERE exact OR before <= 1000""",
-        "clonotype_search": f"""WITH q AS (SELECT clonotype FROM chains WHERE chain_type = 'H' AND len(regions) = 7 AND clonotype IS NOT NULL ORDER BY chain_id LIMIT 1),
-            tq AS (SELECT split_part(split_part(clonotype, ';', 1), '|', 1) AS tv, split_part(split_part(clonotype, ';', 2), '|', 1) AS tj, split_part(clonotype, ';', 3) AS tc FROM q),
-            c AS (SELECT chain_id, split_part(split_part(clonotype, ';', 1), '|', 1) AS v, split_part(split_part(clonotype, ';', 2), '|', 1) AS j, split_part(clonotype, ';', 3) AS cdr3 FROM chains WHERE clonotype IS NOT NULL),
-            m AS (SELECT chain_id, abs(length(cdr3) - length(tc)) AS d, {_LEVEL(0)} AS l0, {_LEVEL(1)} AS l1, {_LEVEL(2)} AS l2 FROM c, tq),
-            lv AS (SELECT a.d, k.k, (SELECT count(*) FROM m WHERE m.d <= a.d AND CASE k.k WHEN 0 THEN l0 WHEN 1 THEN l1 ELSE l2 END) AS n FROM range(0, 10) a(d), range(0, 3) k(k)),
-            lw AS (SELECT d, k FROM lv WHERE n > 20 OR (d = 9 AND k = 2) ORDER BY d, k LIMIT 1)
-            SELECT chain_id, lw.d AS level_diff, lw.k AS level_marks FROM m, lw WHERE m.d <= lw.d AND CASE lw.k WHEN 0 THEN l0 WHEN 1 THEN l1 ELSE l2 END""",
+        "bucket_choice": f"""{_STORE}, k AS (SELECT query_id, qt, len(qr[2]) AS c1, len(qr[4]) AS c2, len(qr[6]) AS c3 FROM q),
+            o AS (SELECT query_id, path, c.ord AS ord, c.cdr3_len = c3 AS own, coalesce(seq_count, 0) AS n, abs(c.cdr1_len - c1) + abs(c.cdr2_len - c2) + abs(c.cdr3_len - c3) AS distance FROM bucket_catalog c JOIN k ON c.chain_type = qt),
+            u AS (SELECT * FROM o WHERE distance IS NOT NULL), x AS (SELECT query_id, coalesce(sum(n) FILTER (own), 0) >= 1000 AS exact FROM u GROUP BY query_id),
+            r AS (SELECT query_id, path, distance, exact, coalesce(sum(n) OVER (PARTITION BY query_id ORDER BY distance, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY query_id ORDER BY distance, ord) - 1 AS rank
+              FROM u JOIN x USING (query_id) WHERE NOT exact OR own)
+            SELECT query_id, path, CAST(distance AS BIGINT) AS distance, rank FROM r WHERE exact OR before <= 1000""",
+        "clonotype_search": f"""WITH c AS (SELECT chain_id, split_part(split_part(clonotype, ';', 1), '|', 1) AS v, split_part(split_part(clonotype, ';', 2), '|', 1) AS j, split_part(clonotype, ';', 3) AS cdr3 FROM chains WHERE clonotype IS NOT NULL),
+            tq AS (SELECT chain_id AS query_id, v AS tv, j AS tj, cdr3 AS tc FROM c WHERE chain_id % 20 = 0),
+            m AS (SELECT query_id, chain_id, abs(length(cdr3) - length(tc)) AS d, {_LEVEL(0)} AS l0, {_LEVEL(1)} AS l1, {_LEVEL(2)} AS l2 FROM c, tq),
+            lv AS (SELECT t.query_id, a.d, k.k, (SELECT count(*) FROM m WHERE m.query_id = t.query_id AND m.d <= a.d AND CASE k.k WHEN 0 THEN l0 WHEN 1 THEN l1 ELSE l2 END) AS n FROM tq t, range(0, 10) a(d), range(0, 3) k(k)),
+            lw AS (SELECT query_id, d, k FROM lv WHERE n > 100 OR (d = 9 AND k = 2) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, k) = 1)
+            SELECT query_id, chain_id, lw.d AS level_diff, lw.k AS level_marks FROM m JOIN lw USING (query_id) WHERE m.d <= lw.d AND CASE lw.k WHEN 0 THEN l0 WHEN 1 THEN l1 ELSE l2 END""",
         "clonotype_groups": "SELECT clonotype, count(*) AS n, min(chain_id) AS first_chain FROM chains WHERE clonotype IS NOT NULL GROUP BY clonotype",
         "skip_existing": "SELECT DISTINCT concat_ws('_', target_id, name) AS msa_id FROM chains WHERE concat_ws('_', target_id, name) NOT IN (SELECT msa_id FROM msa_rows WHERE msa_id IS NOT NULL)",
         "keep_set": "SELECT chain_id FROM chains WHERE substr(ori_name, 1, 4) IN (SELECT lower(file_id) FROM structures)",

@@ -34,6 +34,30 @@ def test_relaxation_equals_the_loop(spark):
         assert got == loop(rows, clamped, tol, overflow, 40, 50)
 
 
+def test_many_targets_equal_the_loop(spark):
+    """Clamped targets with overflow, and what is done where a query finds too many rows."""
+    rng = random.Random(18)
+    rows = [(i, [rng.randrange(3, 12) for _ in range(7)], "".join(rng.choice("ACDEFG") for _ in range(rng.randrange(5, 7)))) for i in range(150)]
+    store = spark.createDataFrame(rows + [(999, None, None)], "id long, lens array<int>, cdr3 string")
+    limits = search.length_limits(store, "lens", 7, 0.9)
+    top, ref = limits.first()
+    asked = [(q, [rng.randrange(3, 18) for _ in range(7)], [rng.randrange(0, 5) for _ in range(7)], "ACDEFG"[: 5 + q % 2]) for q in range(9)]
+    queries = search.clamp_targets(spark.createDataFrame(asked, "query_id long, target array<int>, tolerance array<int>, query_cdr3 string"), limits)
+    found = search.relaxed_search_all(store, queries, "lens", 7, 40, 50)
+    got, close, cut = ({} for _ in range(3))
+    for into, df in ((got, found), (close, search.keep_close(found, [("cdr3", "query_cdr3")], 45, "query_id", "id", cut=False)), (cut, search.keep_close(found, [("cdr3", "query_cdr3")], 3, "query_id", "id", cut=True))):
+        for r in df.collect():
+            into.setdefault(r["query_id"], []).append(r["id"])
+    pop = lambda a, b: sum((ord(x) ^ ord(y)).bit_count() for x, y in zip(a, b))
+    near = lambda ids, q: [i for i in ids if len(rows[i][2]) == len(q) and pop(rows[i][2], q) <= int(len(q) * 1.6)]
+    for q, target, tol, cdr3 in asked:
+        clamped, overflow = search.clamp_target(target, top, ref)
+        want = loop([r[:2] for r in rows], clamped, tol, overflow, 40, 50)
+        assert sorted(got.get(q, [])) == want
+        assert sorted(close.get(q, [])) == (near(want, cdr3) if len(want) > 45 else want)
+        assert sorted(cut.get(q, [])) == (near(want, cdr3)[:3] if len(want) > 3 else want)
+
+
 def walk(store, catalog, regions, chain_type, min_rows, max_rows, tol=1.0):
     """The unpaired search as a direct walk over buckets."""
     c1, c2, c3 = (len(regions[i]) for i in (1, 3, 5))
@@ -88,6 +112,11 @@ def test_unpaired_search_equals_the_walk(spark):
         regions = ["A" * 5, "A" * 7, "A", "A" * 6, "A", "ACDEFG", "A"]
         got = search.unpaired_search(spark.createDataFrame(store, schema_s), spark.createDataFrame(catalog, schema_c), regions, "H", min_rows, max_rows)
         assert [r["row_ord"] for r in got.collect()] == walk(store, catalog, regions, "H", min_rows, max_rows), seed
+        asked = [(1, "H", 5, 7, 6, "ACDEFG"), (2, "L", 5, 6, 7, "GACDEFG"), (3, "H", 8, 8, 12, "ACDEFGACDEFG")]
+        many = search.unpaired_search_all(spark.createDataFrame(store, schema_s), spark.createDataFrame(catalog, schema_c), spark.createDataFrame(asked, "query_id long, chain_type string, c1 int, c2 int, c3 int, cdr3 string"), min_rows, max_rows).orderBy("query_id", "rank", "row_ord").collect()
+        for q, kind, c1, c2, c3, cdr3 in asked:
+            line = ["A", "A" * c1, "A", "A" * c2, "A", cdr3, "A"]
+            assert [r["row_ord"] for r in many if r["query_id"] == q] == walk(store, catalog, line, kind, min_rows, max_rows), (seed, q)
 
 
 def test_dense_sums(spark, monkeypatch):
