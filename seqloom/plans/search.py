@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import columns as C
+from seqloom.operators import chains as N
+from seqloom.operators import features as X
 from seqloom.operators import msa, search
 from seqloom.operators.ranking import competition_rank
 from seqloom.operators.ranking import ranking_metric as metric
@@ -127,16 +129,17 @@ def clonotype_search(spark, d):
 
 
 def clonotype_groups(spark, d):
-    c = t(spark, d, "chains").filter("clonotype is not null")
-    return c.groupBy("clonotype").agg(F.count(F.lit(1)).alias("n"), F.min("chain_id").alias("first_chain"))
+    return N.group_clonotypes(t(spark, d, "chains"), "clonotype", F.count(F.lit(1)).alias("n"), F.min("chain_id").alias("first_chain"))
 
 
 def skip_existing(spark, d):
-    return t(spark, d, "chains").select(F.concat_ws("_", "target_id", "name").alias("msa_id")).distinct().join(t(spark, d, "msa_rows").select("msa_id").distinct(), "msa_id", "left_anti")
+    wanted = t(spark, d, "chains").select(F.concat_ws("_", "target_id", "name").alias("msa_id")).distinct()
+    return N.skip_existing(wanted, t(spark, d, "msa_rows"), "msa_id")
 
 
 def keep_set(spark, d):
-    return t(spark, d, "chains").join(t(spark, d, "structures").select(F.lower("file_id").alias("k")).distinct(), F.substring("ori_name", 1, 4) == F.col("k"), "left_semi").select("chain_id")
+    listed = t(spark, d, "structures").select(F.lower("file_id").alias("k"))
+    return N.keep_listed(t(spark, d, "chains"), F.substring("ori_name", 1, 4), listed, "k").select("chain_id")
 
 
 def sliding_windows(spark, d):
@@ -155,10 +158,7 @@ def region_vector(spark, d):
 
 
 def safe_names(spark, d):
-    c = t(spark, d, "chains").select("chain_id", "target_id", C.safe_name(F.col("name")).alias("clean"))
-    n = F.row_number().over(Window.partitionBy("target_id", "clean").orderBy("chain_id"))
-    again = (F.length("clean") == 1) | (n > 1)
-    return c.withColumn("safe", F.when(again, F.concat_ws("_", "clean", "target_id")).otherwise(F.col("clean"))).select("chain_id", "safe")
+    return N.unique_names(t(spark, d, "chains"), "name", "target_id", "chain_id").select("chain_id", "safe")
 
 
 def residue_codes(spark, d):
@@ -196,7 +196,7 @@ def contiguous_split(spark, d):
 
 
 def chunk_list(spark, d):
-    r = t(spark, d, "msa_rows").withColumn("chunk", F.ntile(7).over(Window.partitionBy("msa_id").orderBy("row_idx", "row_id")))
+    r = N.chunks(t(spark, d, "msa_rows"), ["msa_id"], ["row_idx", "row_id"], 7)
     return r.groupBy("msa_id", F.col("chunk").cast("long").alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -230,19 +230,33 @@ def ranking_metric(spark, d):
 
 
 def residue_gap(spark, d):
-    w = Window.partitionBy("target_id").orderBy("ord", "chain_id")
-    return t(spark, d, "chains").select("chain_id", (200 * (F.row_number().over(w) - 1) + F.coalesce(F.sum(F.length("full_seq")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("long").alias("offset"))
+    return N.residue_offsets(t(spark, d, "chains"), "target_id", ["ord", "chain_id"], "full_seq").select("chain_id", "offset")
 
 
 def clonotype_join(spark, d):
-    """Chain, original sequence and the last clonotype of a name."""
     c = t(spark, d, "chains")
-    last = c.filter("clonotype is not null").groupBy("target_id", "name").agg(F.max_by("clonotype", "chain_id").alias("last_clonotype"))
-    return c.join(last, ["target_id", "name"]).select("chain_id", "last_clonotype")
+    return N.with_clonotypes(c, c.select("target_id", "name", "clonotype", F.col("chain_id").alias("at")), ["target_id", "name"], "at").select("chain_id", "last_clonotype")
 
 
 def target_order(spark, d):
-    return t(spark, d, "chains").groupBy("target_id").agg(F.coalesce(F.sum(F.length("full_seq")), F.lit(0)).alias("length"))
+    return N.target_lengths(t(spark, d, "chains"), "target_id", "full_seq")
+
+
+def region_shift(spark, d):
+    """Regions of chains after three residues more in front."""
+    s = region_store(spark, d).select("chain_id", F.posexplode(X.shift_regions(C.region_intervals(F.col("lens")), F.lit(3))).alias("region", "i"))
+    return s.select("chain_id", F.col("region").cast("long").alias("region"), F.col("i.s").cast("long").alias("s"), F.col("i.e").cast("long").alias("e"))
+
+
+def substitution_scores(spark, d):
+    """Each alignment row against its query under a table made by a rule: 4 for the same letter, -1 for another, -4 for a gap."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ-"
+    value = lambda a, b: -4 if "-" in (a, b) else 4 if a == b else -1
+    table = C.substitution_table("\n".join([" ".join(letters), *(" ".join([a, *(str(value(a, b)) for b in letters)]) for a in letters)]))
+    m = t(spark, d, "msa_rows").select("row_id", "msa_id", "row_idx", F.upper("seq").alias("seq"))
+    q = m.filter("row_idx = 0").groupBy("msa_id").agg(F.min("seq").alias("q"))
+    score = C.substitution_score(F.col("q"), F.col("seq"), table, frozen=(0, 5), strict_gap=(3,))
+    return m.join(q, "msa_id").select("row_id", F.aggregate(score, F.lit(0.0), lambda a, x: a + x).alias("score"))
 
 
 def fan_out(spark, d):
@@ -254,7 +268,7 @@ _NAMES = [
     "band_filter", "relaxed_search", "search_top_k", "close_cdr3", "popcount_hamming", "weighted_hamming", "length_limits", "bucket_choice", "unpaired_search",
     "clonotype_search", "clonotype_groups", "skip_existing", "keep_set", "sliding_windows", "region_intervals", "region_vector", "safe_names", "residue_codes",
     "deletion_values", "query_identity", "letter_block", "spreadsheet_ids", "contiguous_split", "chunk_list", "positional_pairs", "self_pairs", "assembly_ids",
-    "species_ids", "ranking_metric", "residue_gap", "clonotype_join", "target_order", "fan_out", "substitution_search", "paired_search",
+    "species_ids", "region_shift", "substitution_scores", "ranking_metric", "residue_gap", "clonotype_join", "target_order", "fan_out", "substitution_search", "paired_search",
 ]
 
 
@@ -322,6 +336,10 @@ def oracle_sql() -> dict[str, str]:
         "sliding_windows": """SELECT chain_id, start, CASE WHEN length(full_seq) > 200 THEN substr(full_seq, start + 1, 150) ELSE full_seq END AS "window"
             FROM (SELECT chain_id, full_seq, unnest(CASE WHEN length(full_seq) > 200 THEN range(0, length(full_seq), 100) ELSE [0] END) AS start FROM chains WHERE length(full_seq) > 0)""",
         "region_intervals": f"{_STORE}, l AS (SELECT chain_id, i AS region, len(regions[i + 1]) AS n FROM s, range(0, 7) r(i)) SELECT chain_id, region, CAST(sum(n) OVER w - n AS BIGINT) AS s, CAST(sum(n) OVER w AS BIGINT) AS e FROM l WINDOW w AS (PARTITION BY chain_id ORDER BY region)",
+        "region_shift": f"{_STORE}, l AS (SELECT chain_id, i AS region, len(regions[i + 1]) AS n FROM s, range(0, 7) r(i)) SELECT chain_id, region, CAST(sum(n) OVER w - n + 3 AS BIGINT) AS s, CAST(sum(n) OVER w + 3 AS BIGINT) AS e FROM l WINDOW w AS (PARTITION BY chain_id ORDER BY region)",
+        "substitution_scores": """WITH m AS (SELECT row_id, msa_id, row_idx, upper(seq) AS seq FROM msa_rows), q AS (SELECT msa_id, min(seq) AS q FROM m WHERE row_idx = 0 GROUP BY msa_id),
+            p AS (SELECT row_id, i, substr(q, i, 1) AS a, substr(seq, i, 1) AS b FROM (SELECT row_id, q, seq, CAST(unnest(range(1, length(q) + 1)) AS INTEGER) AS i FROM m JOIN q USING (msa_id)))
+            SELECT row_id, CAST(sum(CASE WHEN i = 4 AND b = '-' THEN -50 WHEN a = '-' OR b = '-' THEN -4 WHEN a = b THEN 4 ELSE -1 END) AS DOUBLE) AS score FROM p GROUP BY row_id""",
         "region_vector": f"{_STORE}, l AS (SELECT chain_id, i AS region, len(regions[i + 1]) AS n FROM s, range(0, 7) r(i)), m AS (SELECT chain_id, region + 1 AS region, n, CAST(sum(n) OVER (PARTITION BY chain_id ORDER BY region) - n AS BIGINT) AS first FROM l) SELECT chain_id, region, n, first FROM m WHERE n > 0",
         "safe_names": r"""WITH c AS (SELECT chain_id, target_id, translate(translate(name, '<:"/\|?*+-()[]{}', ''), chr(32) || ',' || chr(13) || chr(10), '____') AS clean FROM chains),
             n AS (SELECT *, row_number() OVER (PARTITION BY target_id, clean ORDER BY chain_id) AS k FROM c)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import columns as C
+from seqloom.operators import chains as N
 from seqloom.operators import clustering as K
 from seqloom.operators import curation as T
 from seqloom.operators import geometry as G
@@ -62,9 +63,8 @@ def id_closure(spark, d):
 
 
 def release_dates(spark, d):
-    c = t(spark, d, "chains").select("chain_id", F.lower(F.substring("ori_name", 1, 4)).alias("id"))
-    s = t(spark, d, "structures").groupBy(F.lower("file_id").alias("id")).agg(F.min("release_date").alias("release_date"))
-    return c.join(s, "id", "left").withColumn("passes", F.coalesce(F.col("release_date") <= F.lit(CUTOFF).cast("date"), F.lit(True))).select("chain_id", "release_date", "passes")
+    dates = t(spark, d, "structures").select(F.col("file_id").alias("id"), "release_date")
+    return N.with_release_date(t(spark, d, "chains").select("chain_id", "ori_name"), F.substring("ori_name", 1, 4), dates, F.lit(CUTOFF).cast("date")).select("chain_id", "release_date", "passes")
 
 
 def index_arrays(spark, d):
