@@ -102,17 +102,81 @@ def paired_rows(rows: DataFrame, target: str = "target_id", chain: str = "chain_
 
 
 def species_pairs(rows: DataFrame, target: str, chain: str, species: str, similarity: str, row: str, max_rows: int = 600) -> DataFrame:
-    """Rows of two chains paired by rank of similarity within a species; -1 where a chain has no row left.
+    """Rows of a target's chains paired by rank of similarity within a species: (target, species, rank, n_chains, rows).
 
+    ``rows`` has one entry for each chain of the target, in the order of chains; -1 where the species has none there.
     Species of one chain only, or with more than max_rows rows in a chain, are skipped; within a species as many pairs
-    are formed as the poorer chain has rows.
+    are formed as the poorest of its chains has rows.
     """
+    chains = rows.groupBy(target).agg(F.array_sort(F.collect_set(chain)).alias("__chains"))  # a target's chains are few
     known = rows.filter(F.col(species) != "")
     size = known.groupBy(target, species, chain).agg(F.count(F.lit(1)).alias("__m"))
     fit = size.groupBy(target, species).agg(F.count(F.lit(1)).alias("n_chains"), F.min("__m").alias("__least"), F.max("__m").alias("__most")).filter((F.col("n_chains") > 1) & (F.col("__most") <= max_rows))
     w = Window.partitionBy(target, species, chain).orderBy(F.desc(similarity), row)
     ranked = known.join(fit, [target, species]).withColumn("rank", F.row_number().over(w)).filter("rank <= __least")
-    return ranked.groupBy(target, species, "rank").agg(F.coalesce(F.max(F.when(F.col(chain) == 0, F.col(row))), F.lit(-1)).alias("row_0"), F.coalesce(F.max(F.when(F.col(chain) == 1, F.col(row))), F.lit(-1)).alias("row_1"))
+    held = ranked.groupBy(target, species, "rank", "n_chains").agg(F.map_from_entries(F.collect_list(F.struct(chain, row))).alias("__held")).join(chains, target)
+    none = F.lit(-1).cast(rows.schema[row].dataType)
+    return held.select(target, species, "rank", "n_chains", F.transform("__chains", lambda c: F.coalesce(F.try_element_at("__held", c), none)).alias("rows"))
+
+
+def order_pairs(pairs: DataFrame, target: str, rows: str = "rows", n_chains: str = "n_chains", ties: Sequence[str] = (), out: str = "place") -> DataFrame:
+    """Place of each pair in its target: those of more chains first, then by the product of their rows."""
+    product = F.abs(F.aggregate(rows, F.lit(1.0), lambda acc, r: acc * r.cast("double")))
+    return pairs.withColumn(out, F.row_number().over(Window.partitionBy(target).orderBy(F.desc(n_chains), product, *ties)))
+
+
+def gather_pairs(pairs: DataFrame, rows: DataFrame, target: str, place: str, chain: str, row: str, seq: str = "seq", joined: str = "rows") -> DataFrame:
+    """(target, place, seq): the rows of each pair side by side; -1 and rows that aren't there are gaps over the whole chain."""
+    size = rows.groupBy(target, chain).agg(F.max(F.length(seq)).alias("__n"))
+    order = size.withColumn("__k", F.row_number().over(Window.partitionBy(target).orderBy(chain)) - 1)
+    cells = pairs.select(target, place, F.posexplode(joined).alias("__k", row)).join(order, [target, "__k"])
+    met = cells.join(rows.select(target, chain, row, seq), [target, chain, row], "left")
+    line = F.array_sort(F.collect_list(F.struct("__k", F.coalesce(seq, F.repeat(F.lit("-"), F.col("__n"))).alias("s"))))
+    return met.groupBy(target, place).agg(F.array_join(F.transform(line, lambda x: x["s"]), "").alias(seq))
+
+
+def append_blocks(blocks: DataFrame, target: str, single: str, name: str, order: Sequence[str], out: str = "row_idx") -> DataFrame:
+    """Rows of a target's alignments one below the other: those of pairs in reverse order of their names, then single ones
+    in order; ``out`` numbers them from 0. Rows must be padded to one length before."""
+    pair_last = F.when(F.col(single), F.lit(None)).otherwise(F.col(name))
+    w = Window.partitionBy(target).orderBy(single, F.desc(pair_last), name, *order)
+    return blocks.withColumn(out, F.row_number().over(w) - 1)
+
+
+def concatenate_with_gaps(rows: DataFrame, chains: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Alignments of a target's chains in the columns of the whole target, each row once (the first one counts)."""
+    return first_wins(block_diagonal(rows, chains), ["target_id", "seq"], order)
+
+
+def rebuild_linker(rows: DataFrame, columns: DataFrame, msa: str = "msa_id", idx: str = "row_idx", seq: str = "seq", key: str = "row_id", seed: int = 7, longer_than: int = 3) -> DataFrame:
+    """Rows in which the gaps of linker columns (``columns``: msa, pos; runs longer than a limit) are filled with the query's
+    residues there, in an order drawn for each row; the query stays."""
+    runs = islands(columns, [msa], "pos", longer_than)
+    line = runs.groupBy(msa).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__runs"))  # at most one for four columns
+    query = rows.filter(F.col(idx) == 0).groupBy(msa).agg(F.min(seq).alias("__q"))
+    met = rows.join(line, msa, "left").join(query, msa, "left")
+
+    def fill(text: Column, run: Column) -> Column:
+        n = run["end"] - run["start"] + 1
+        own = chars(F.substring(F.col("__q"), run["start"] + 1, n))
+        drawn = F.array_sort(F.transform(own, lambda c, i: F.struct(F.xxhash64(F.lit(seed), F.col(key), run["start"], i).alias("h"), c.alias("c"))))
+        return F.concat(F.substring(text, F.lit(1), run["start"]), F.array_join(F.transform(drawn, lambda x: x["c"]), ""), F.substring(text, run["end"] + 2, F.length(text)))
+
+    filled = F.aggregate("__runs", F.col(seq), fill)
+    return met.withColumn(seq, F.when((F.col(idx) > 0) & F.col("__runs").isNotNull(), filled).otherwise(F.col(seq))).drop("__runs", "__q")
+
+
+def diagonal_mask(before: Column, own: Column, total: Column) -> Column:
+    """For each column of a target 1 where an unpaired row's own chain is, 0 elsewhere."""
+    rest = total - before - own
+    return F.concat(F.array_repeat(F.lit(0), before.cast("int")), F.array_repeat(F.lit(1), own.cast("int")), F.array_repeat(F.lit(0), rest.cast("int")))
+
+
+def chain_counts(rows: DataFrame, msa: str = "msa_id", seq: str = "seq", deletions: str = "deletions") -> DataFrame:
+    """(msa, num_alignments, seq_length, deletion_mean): the counts and the mean deletion of a cell that go with the
+    features of a chain; rows without deletions count as rows only."""
+    total = F.aggregate(F.coalesce(F.col(deletions), F.array().cast("array<int>")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.groupBy(msa).agg(F.count(F.lit(1)).alias("num_alignments"), F.max(F.length(seq)).alias("seq_length"), (F.sum(total) / F.sum(F.when(F.col(deletions).isNotNull(), F.size(deletions)))).alias("deletion_mean"))
 
 
 def positional_pairs(chains: DataFrame, target: str = "target_id", kind: str = "chain_type", source: str = "ori_name", name: str = "chain_id", order: Sequence[str] = ("ord", "chain_id")) -> DataFrame:

@@ -85,3 +85,17 @@ def masked_cells(cells: DataFrame, keys: Sequence[str], profile: DataFrame, on:
     any_letter = F.substring(F.lit(letters), (F.floor(F.col("__w") * len(letters)) + 1).cast("int"), F.lit(1))
     kind = F.when(F.col("__v") < uniform, any_letter).when(F.col("__v") < uniform + from_profile, drawn).when(F.col("__v") < uniform + from_profile + same, F.col("aa")).otherwise("#")
     return c.join(table, list(on), "left").withColumn("corrupt", F.when(F.col("__u") < share, kind).otherwise(F.col("aa"))).drop("__u", "__v", "__w", "__t")
+
+
+def delete_blocks(rows: DataFrame, group: Sequence[str], idx: str, share: float = 0.3, blocks: int = 5, seed: int = 5) -> DataFrame:
+    """Rows without ``blocks`` runs of row numbers, each ``share`` of the group long, that begin at hashed places; row 0 stays.
+
+    Runs may overlap. A run is a pair of numbers, so only the size of a group is joined to its rows.
+    """
+    size = rows.groupBy(*group).agg((F.max(idx) + 1).alias("__n"))
+    start = lambda k: F.floor(_draw(seed + k, *group) * F.col("__n"))
+    long = F.floor(F.col("__n") * share)
+    hit = F.lit(False)
+    for k in range(blocks):
+        hit = hit | F.col(idx).between(start(k), start(k) + long - 1)
+    return rows.join(size, list(group)).filter((F.col(idx) == 0) | ~hit).drop("__n")

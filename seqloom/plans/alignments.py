@@ -100,12 +100,97 @@ def paired_rows(spark, d):
     return M.paired_rows(_species(spark, d)).select("target_id", "pair_id", F.array_join(F.transform("rows", lambda x: x.cast("string")), ",").alias("rows"))
 
 
-def species_pairs(spark, d):
-    s = _species(spark, d)
+def _three_chains(m):
+    """Three neighbouring alignments as the chains of one target."""
+    number = F.substring("msa_id", 2, 8).cast("int")
+    return m.withColumn("target_id", F.concat(F.lit("p"), F.floor(number / 3).cast("string"))).withColumn("chain_idx", number % 3)
+
+
+def _species_rows(spark, d):
+    s = _three_chains(rows(spark, d)).withColumn("pair_id", F.coalesce(F.lower(F.trim(F.element_at(F.split("description", "\\|"), 1))), F.lit("")))
     q = s.filter("row_idx = 0").groupBy("msa_id").agg(F.min("seq").alias("q"))
-    s = s.join(q, "msa_id").withColumn("similarity", C.identity_score(F.col("seq"), F.col("q"))).filter("row_idx > 0")
-    out = M.species_pairs(s, "target_id", "chain_idx", "pair_id", "similarity", "row_id")
-    return out.select("target_id", "pair_id", F.col("rank").cast("long").alias("rank"), "row_0", "row_1")
+    return s.join(q, "msa_id").withColumn("similarity", C.identity_score(F.col("seq"), F.col("q"))).filter("row_idx > 0")
+
+
+def _species_pairs(spark, d):
+    return M.species_pairs(_species_rows(spark, d), "target_id", "chain_idx", "pair_id", "similarity", "row_id")
+
+
+def _listed(c):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+def species_pairs(spark, d):
+    return _species_pairs(spark, d).select("target_id", "pair_id", F.col("rank").cast("long").alias("rank"), "n_chains", _listed("rows").alias("rows"))
+
+
+def pair_order(spark, d):
+    p = M.order_pairs(_species_pairs(spark, d), "target_id", ties=["pair_id", "rank"])
+    return p.select("target_id", F.col("place").cast("long").alias("place"), "pair_id", F.col("rank").cast("long").alias("rank"))
+
+
+def paired_sequences(spark, d):
+    """The paired rows themselves, chain after chain, gaps where a chain has none."""
+    p = M.order_pairs(_species_pairs(spark, d), "target_id", ties=["pair_id", "rank"])
+    return M.gather_pairs(p, _species_rows(spark, d), "target_id", "place", "chain_idx", "row_id").select("target_id", F.col("place").cast("long").alias("place"), "seq")
+
+
+def append_blocks(spark, d):
+    """Alignments of light chains as single ones, the others as those of pairs."""
+    m = _three_chains(rows(spark, d)).withColumn("single", F.col("msa_id").endswith("L"))
+    return M.append_blocks(m.select("row_id", "target_id", "msa_id", "single", F.col("row_idx").alias("idx")), "target_id", "single", "msa_id", ["idx", "row_id"]).select("row_id", F.col("row_idx").cast("long").alias("row_idx"))
+
+
+def gap_concatenation(spark, d):
+    m = _three_chains(rows(spark, d)).withColumnRenamed("chain_idx", "chain_ord")
+    chains = m.groupBy("target_id", "chain_ord").agg(F.max(F.length("seq")).alias("length"))
+    return M.concatenate_with_gaps(m.select("target_id", "chain_ord", "seq", "row_idx", "row_id"), chains, ["chain_ord", "row_idx", "row_id"]).select("row_id", "seq")
+
+
+def diagonal_masks(spark, d):
+    """Cluster bias of the first row, and sum and place of the mask of unpaired rows."""
+    m = _three_chains(rows(spark, d))
+    chains = m.groupBy("target_id", "chain_idx").agg(F.max(F.length("seq")).alias("n"))
+    w = Window.partitionBy("target_id").orderBy("chain_idx")
+    chains = chains.withColumn("pre", F.sum("n").over(w) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy("target_id")))
+    mask = M.diagonal_mask(F.col("pre"), F.col("n"), F.col("total"))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    j = m.join(chains, ["target_id", "chain_idx"]).withColumn("mask", mask)
+    return j.select("row_id", F.when(F.col("row_idx") == 0, 1).otherwise(0).alias("bias"), F.size("mask").cast("long").alias("n"), total("mask").alias("on"), (F.array_position("mask", 1) - 1).alias("first"))
+
+
+def chain_counts(spark, d):
+    return M.chain_counts(rows(spark, d)).select("msa_id", "num_alignments", F.col("seq_length").cast("long").alias("seq_length"), F.round("deletion_mean", 6).alias("deletion_mean"))
+
+
+def rebuild_linker(spark, d):
+    """Alignments whose rows but the query lose columns 31 to 40: filled again with the query's residues in some order."""
+    m = rows(spark, d)
+    cut = F.concat(F.substring("seq", 1, 30), F.lit("-" * 10), F.substring("seq", F.lit(41), F.length("seq")))
+    m = m.withColumn("seq", F.when(F.col("row_idx") > 0, cut).otherwise(F.col("seq")))
+    out = M.rebuild_linker(m, M.gap_columns(m))
+    middle = F.array_join(F.array_sort(C.chars(F.substring("seq", 31, 10))), "")  # the draw is a permutation
+    return out.select("row_id", F.substring("seq", 1, 30).alias("front"), middle.alias("letters"), F.substring("seq", F.lit(41), F.length("seq")).alias("back"))
+
+
+def delete_blocks(spark, d):
+    return S.delete_blocks(rows(spark, d), ["msa_id"], "row_idx").select("msa_id", "row_id")
+
+
+def strided_blocks(spark, d):
+    m = rows(spark, d).withColumn("block", F.col("row_id") % 2)
+    return S.strided_sample(m, ["msa_id", "block"], ["row_idx", "row_id"], 16 // 2, 3, 20).select("msa_id", "block", F.col("bucket").cast("long").alias("bucket"), "row_id")
+
+
+def top_ranked(spark, d):
+    """Rows of which fewer than five of their alignment are more like the query."""
+    m = A.gap_and_similarity(rows(spark, d)).withColumn("similarity", F.round("similarity", 6))
+    return R.competition_rank(m, ["msa_id"], "similarity").filter("rank < 5").select("row_id")
+
+
+def reorder_and_crop(spark, d):
+    """The first 50 rows of each alignment in the order of likeness."""
+    return reorder_by_likeness(spark, d).filter("place < 50")
 
 
 def column_frequency(spark, d):
@@ -264,7 +349,8 @@ _NAMES = [
     "sequence_features", "alignment_features", "mask_ends", "slice_part", "merge_homomers", "stack_blocks", "missing_rows", "random_unknown",
     "contiguous_crop", "ensemble", "chain_names", "is_homomer", "seqres_lines",
     "dedup_first_wins", "drop_query_gaps", "pad_to_full", "merge_parts", "block_diagonal", "block_crop", "gap_islands", "gap_columns", "anti_join_paired",
-    "paired_rows", "species_pairs", "column_frequency", "residue_frequency", "column_information", "profile", "deletion_mean", "gap_and_similarity",
+    "paired_rows", "species_pairs", "pair_order", "paired_sequences", "append_blocks", "gap_concatenation", "diagonal_masks", "chain_counts",
+    "rebuild_linker", "delete_blocks", "strided_blocks", "top_ranked", "reorder_and_crop", "column_frequency", "residue_frequency", "column_information", "profile", "deletion_mean", "gap_and_similarity",
     "frequent_labels", "cluster_profile", "reorder_by_likeness", "competition_rank", "distinct_top", "top_then_filter", "strided_sample", "quota_sample",
     "uniform_sample", "gumbel_order", "masked_cells",
 ]
@@ -285,6 +371,15 @@ _SIM = f"""{_M}, q AS (SELECT msa_id, min(seq) AS q FROM m WHERE row_idx = 0 GRO
 _SPECIES = f"{_M}, s AS (SELECT row_id, msa_id, row_idx, seq, 'p' || (CAST(substr(msa_id, 2, 8) AS INTEGER) // 2) AS target_id, CAST(substr(msa_id, 2, 8) AS INTEGER) % 2 AS chain_idx, coalesce(lower(trim(split_part(description, '|', 1))), '') AS pair_id FROM m)"
 
 
+_THREE = f"{_M}, s AS (SELECT *, 'p' || (CAST(substr(msa_id, 2, 8) AS INTEGER) // 3) AS target_id, CAST(substr(msa_id, 2, 8) AS INTEGER) % 3 AS chain_idx, coalesce(lower(trim(split_part(description, '|', 1))), '') AS pair_id FROM m)"
+_TRIPLES = f"""{_THREE}, q AS (SELECT msa_id, min(seq) AS q FROM s WHERE row_idx = 0 GROUP BY msa_id), x0 AS (SELECT s.*, q FROM s JOIN q USING (msa_id) WHERE row_idx > 0), ch AS (SELECT target_id, list(DISTINCT chain_idx ORDER BY chain_idx) AS cs FROM x0 GROUP BY target_id),
+    x AS (SELECT *, list_sum(list_transform(range(1, length(q) + 1), lambda i: CASE WHEN substr(seq, i, 1) = substr(q, i, 1) THEN 1 ELSE -1 END)) / length(q) AS sim FROM x0 WHERE pair_id <> ''),
+    n AS (SELECT target_id, pair_id, chain_idx, count(*) AS m FROM x GROUP BY ALL), f AS (SELECT target_id, pair_id, min(m) AS least, count(*) AS n_chains FROM n GROUP BY ALL HAVING count(*) > 1 AND max(m) <= 600),
+    r AS (SELECT target_id, pair_id, chain_idx, row_id, row_number() OVER (PARTITION BY target_id, pair_id, chain_idx ORDER BY sim DESC, row_id) AS rank FROM x),
+    h AS (SELECT target_id, pair_id, rank, n_chains, map_from_entries(list((chain_idx, row_id))) AS held FROM r JOIN f USING (target_id, pair_id) WHERE rank <= least GROUP BY target_id, pair_id, rank, n_chains),
+    tr AS (SELECT target_id, pair_id, rank, n_chains, list_transform(cs, lambda c: coalesce(held[c], -1)) AS rl, array_to_string(list_transform(cs, lambda c: coalesce(held[c], -1)), ',') AS rows FROM h JOIN ch USING (target_id))"""
+
+
 _C = "WITH c AS (SELECT *, regexp_replace(upper(full_seq), '[^A-Z]', '', 'g') AS s FROM chains WHERE length(full_seq) > 0), "
 
 
@@ -323,11 +418,24 @@ def oracle_sql() -> dict[str, str]:
         "paired_rows": f"""{_SPECIES}, n AS (SELECT target_id, count(DISTINCT chain_idx) AS k FROM s GROUP BY target_id), l AS (SELECT target_id, pair_id, chain_idx, max(row_idx) AS r FROM s WHERE pair_id <> '' AND row_idx > 0 GROUP BY ALL),
             f AS (SELECT target_id, pair_id, count(*) AS k, string_agg(CAST(r AS VARCHAR), ',' ORDER BY chain_idx) AS rows FROM l GROUP BY ALL)
             SELECT target_id, pair_id, rows FROM f JOIN n USING (target_id, k) UNION ALL SELECT target_id, '', CASE k WHEN 1 THEN '0' ELSE '0,0' END FROM n""",
-        "species_pairs": f"""{_SPECIES}, q AS (SELECT msa_id, min(seq) AS q FROM s WHERE row_idx = 0 GROUP BY msa_id),
-            x AS (SELECT s.*, list_sum(list_transform(range(1, length(q) + 1), lambda i: CASE WHEN substr(seq, i, 1) = substr(q, i, 1) THEN 1 ELSE -1 END)) / length(q) AS sim FROM s JOIN q USING (msa_id) WHERE row_idx > 0 AND pair_id <> ''),
-            n AS (SELECT target_id, pair_id, chain_idx, count(*) AS m FROM x GROUP BY ALL), f AS (SELECT target_id, pair_id, min(m) AS least FROM n GROUP BY ALL HAVING count(*) > 1 AND max(m) <= 600),
-            r AS (SELECT target_id, pair_id, chain_idx, row_id, row_number() OVER (PARTITION BY target_id, pair_id, chain_idx ORDER BY sim DESC, row_id) AS rank FROM x)
-            SELECT target_id, pair_id, rank, coalesce(max(CASE WHEN chain_idx = 0 THEN row_id END), -1) AS row_0, coalesce(max(CASE WHEN chain_idx = 1 THEN row_id END), -1) AS row_1 FROM r JOIN f USING (target_id, pair_id) WHERE rank <= least GROUP BY target_id, pair_id, rank""",
+        "species_pairs": f"{_TRIPLES} SELECT target_id, pair_id, rank, n_chains, rows FROM tr",
+        "pair_order": f"{_TRIPLES} SELECT target_id, row_number() OVER (PARTITION BY target_id ORDER BY n_chains DESC, abs(list_product(rl)), pair_id, rank) AS place, pair_id, rank FROM tr",
+        "paired_sequences": f"""{_TRIPLES}, po AS (SELECT target_id, row_number() OVER (PARTITION BY target_id ORDER BY n_chains DESC, abs(list_product(rl)), pair_id, rank) AS place, rl FROM tr),
+            u AS (SELECT po.target_id, place, k, rl[k] AS row_id FROM po, range(1, 4) t(k) WHERE k <= len(rl)), lc AS (SELECT target_id, chain_idx, max(length(seq)) AS n, row_number() OVER (PARTITION BY target_id ORDER BY chain_idx) AS k FROM x0 GROUP BY target_id, chain_idx)
+            SELECT u.target_id, place, string_agg(coalesce(x0.seq, repeat('-', CAST(lc.n AS BIGINT))), '' ORDER BY u.k) AS seq FROM u JOIN lc ON u.target_id = lc.target_id AND u.k = lc.k LEFT JOIN x0 ON x0.row_id = u.row_id GROUP BY u.target_id, place""",
+        "append_blocks": f"{_THREE} SELECT row_id, row_number() OVER (PARTITION BY target_id ORDER BY msa_id LIKE '%L', CASE WHEN msa_id LIKE '%L' THEN '' ELSE msa_id END DESC, msa_id, row_idx, row_id) - 1 AS row_idx FROM s",
+        "gap_concatenation": f"""{_THREE}, l AS (SELECT target_id, chain_idx, max(length(seq)) AS n FROM s GROUP BY ALL), o AS (SELECT *, sum(n) OVER (PARTITION BY target_id ORDER BY chain_idx) - n AS pre, sum(n) OVER (PARTITION BY target_id) AS total FROM l),
+            b AS (SELECT row_id, row_idx, target_id, chain_idx, repeat('-', CAST(pre AS BIGINT)) || seq || repeat('-', CAST(total - pre - n AS BIGINT)) AS seq FROM s JOIN o USING (target_id, chain_idx))
+            SELECT row_id, seq FROM b QUALIFY row_number() OVER (PARTITION BY target_id, seq ORDER BY chain_idx, row_idx, row_id) = 1""",
+        "diagonal_masks": f"""{_THREE}, l AS (SELECT target_id, chain_idx, max(length(seq)) AS n FROM s GROUP BY ALL), o AS (SELECT *, sum(n) OVER (PARTITION BY target_id ORDER BY chain_idx) - n AS pre, sum(n) OVER (PARTITION BY target_id) AS total FROM l)
+            SELECT row_id, CASE WHEN row_idx = 0 THEN 1 ELSE 0 END AS bias, CAST(total AS BIGINT) AS n, CAST(o.n AS BIGINT) AS "on", CAST(pre AS BIGINT) AS first FROM s JOIN o USING (target_id, chain_idx)""",
+        "chain_counts": "SELECT msa_id, count(*) AS num_alignments, max(length(seq)) AS seq_length, round(sum(list_sum(deletions)) / sum(len(deletions)), 6) AS deletion_mean FROM msa_rows GROUP BY msa_id",
+        "rebuild_linker": f"""{_M}, q AS (SELECT msa_id, min(seq) AS q FROM m WHERE row_idx = 0 GROUP BY msa_id), n AS (SELECT msa_id, count(*) FILTER (row_idx > 0) AS deep FROM m GROUP BY msa_id)
+            SELECT row_id, substr(seq, 1, 30) AS front, array_to_string(list_sort(split(substr(CASE WHEN row_idx = 0 THEN seq ELSE q END, 31, 10), '')), '') AS letters, substr(seq, 41) AS back FROM m JOIN q USING (msa_id)""",
+        "strided_blocks": f"""{_M}, r AS (SELECT msa_id, row_id % 2 AS block, row_id, row_number() OVER (PARTITION BY msa_id, row_id % 2 ORDER BY row_idx, row_id) - 1 AS r, count(*) OVER (PARTITION BY msa_id, row_id % 2) AS n FROM m),
+            b AS (SELECT *, (SELECT min(i) FROM range(0, 8) x(i) WHERE r >= i * n // 8 AND r < (i + 1) * n // 8) AS bucket FROM r), c AS (SELECT *, r - min(r) OVER (PARTITION BY msa_id, block, bucket) AS p, count(*) OVER (PARTITION BY msa_id, block, bucket) AS k, min(bucket) OVER (PARTITION BY msa_id, block) AS b0 FROM b)
+            SELECT msa_id, block, bucket, row_id FROM c WHERE p = CASE WHEN bucket = b0 THEN 0 WHEN 3 >= k THEN k - 1 ELSE least((k // 19) * 3, k - 1) END""",
+        "top_ranked": f"{_SIM} SELECT row_id FROM sim QUALIFY rank() OVER (PARTITION BY msa_id ORDER BY round(similarity, 6) DESC) <= 5",
         "column_frequency": f"{_CELLS} SELECT msa_id, pos, aa, round(freq, 6) AS freq FROM (SELECT msa_id, pos, aa, n / sum(n) OVER (PARTITION BY msa_id, pos) AS freq FROM cnt) WHERE aa <> 'X'",
         "residue_frequency": f"{_P} SELECT msa_id, pos, aa, round(p, 6) AS p, round(gap, 6) AS gap FROM p",
         "column_information": f"{_P}, h AS (SELECT *, sum(-p * log2(p)) OVER (PARTITION BY msa_id, pos) AS h FROM p) SELECT msa_id, pos, aa, round((log2(20) - h) * p * (1 - gap), 6) AS information FROM h",
@@ -339,6 +447,9 @@ def oracle_sql() -> dict[str, str]:
         "reorder_by_likeness": f"""{_M}, f AS (SELECT msa_id, arg_min(seq, CAST(row_idx AS BIGINT) * 1000000000 + row_id) AS q FROM m GROUP BY msa_id),
             x AS (SELECT row_id, msa_id, row_idx, CAST(list_sum(list_transform(range(1, length(q) + 1), lambda i: CASE WHEN substr(seq, i, 1) <> substr(q, i, 1) THEN i % 4 ELSE 0 END)) AS DOUBLE) AS distance FROM m JOIN f USING (msa_id))
             SELECT row_id, distance, row_number() OVER (PARTITION BY msa_id ORDER BY distance, row_idx, row_id) - 1 AS place FROM x""",
+        "reorder_and_crop": f"""{_M}, f AS (SELECT msa_id, arg_min(seq, CAST(row_idx AS BIGINT) * 1000000000 + row_id) AS q FROM m GROUP BY msa_id),
+            x AS (SELECT row_id, msa_id, row_idx, CAST(list_sum(list_transform(range(1, length(q) + 1), lambda i: CASE WHEN substr(seq, i, 1) <> substr(q, i, 1) THEN i % 4 ELSE 0 END)) AS DOUBLE) AS distance FROM m JOIN f USING (msa_id))
+            SELECT row_id, distance, row_number() OVER (PARTITION BY msa_id ORDER BY distance, row_idx, row_id) - 1 AS place FROM x QUALIFY place < 50""",
         "competition_rank": f"{_SIM} SELECT row_id, rank() OVER (PARTITION BY msa_id ORDER BY round(similarity, 6) DESC) - 1 AS rank FROM sim",
         "distinct_top": f"{_SIM}, o AS (SELECT msa_id, row_id, round(similarity, 6) AS s FROM sim WHERE row_idx > 0 QUALIFY row_number() OVER (PARTITION BY msa_id, seq ORDER BY round(similarity, 6) DESC, row_id) = 1) SELECT msa_id, row_id, place FROM (SELECT *, row_number() OVER (PARTITION BY msa_id ORDER BY s DESC, row_id) AS place FROM o) WHERE place <= 20",
         "top_then_filter": f'{_SIM} SELECT row_id, "index" FROM (SELECT *, row_number() OVER (PARTITION BY msa_id ORDER BY round(similarity, 6) DESC, row_id) AS "index" FROM sim) WHERE "index" <= 100 AND gap_share = 0',
