@@ -11,9 +11,13 @@ from seqloom.functions.columns import chars
 from seqloom.session import materialize
 
 
+# Fixed value: the form of a hit's name, identifier and chain.
+HIT_FORM = r"^([a-zA-Z\d]{4})_([a-zA-Z0-9.]+)"
+
+
 def hit_id(name: Column) -> Column:
     """struct(id, chain): four word characters in lower case, and the chain; null where the name has another form."""
-    form = r"^([a-zA-Z\d]{4})_([a-zA-Z0-9.]+)"
+    form = HIT_FORM
     return F.when(F.regexp_extract(name, form, 1) != "", F.struct(F.lower(F.regexp_extract(name, form, 1)).alias("id"), F.regexp_extract(name, form, 2).alias("chain")))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,24 @@ def read_fasta(files: DataFrame, keep_mark: bool = False) -> DataFrame:
     return record.select("source_file", (F.col("ord") - 1).alias("ord"), (F.concat(F.lit(">"), name) if keep_mark else name).alias("name"), F.regexp_replace(F.array_join(body, ""), r"\s", "").alias("seq"))
 
 
+def read_fasta_records(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(source_file, name, seq) of FASTA files of any size: a record is a line that ends at the next ``>``, so files are split
+    like any text and no file is held in one cell. The same rules as read_fasta; the order of records isn't kept."""
+    raw = spark.read.option("lineSep", "\n>").text(path, pathGlobFilter=glob).select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    begins = F.col("value").startswith(">")  # only the first record of a file keeps its mark
+    lead = raw.filter("block = 0").groupBy("source_file").agg(F.min(F.struct("at", begins.alias("marked"))).alias("f")).filter("not f.marked").select("source_file", F.col("f.at").alias("at"))
+    parts = F.split(F.regexp_replace(F.when(begins, F.substring("value", F.lit(2), F.length("value"))).otherwise(F.col("value")), r"\r\n?", "\n"), "\n")
+    body = F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: ~x.startswith("#"))
+    known = raw.join(lead, ["source_file", "at"], "left_anti").filter(F.trim("value") != "")  # text before a file's first mark is no record
+    return known.select("source_file", F.trim(F.get(parts, F.lit(0))).alias("name"), F.regexp_replace(F.array_join(body, ""), r"\s", "").alias("seq"))
+
+
+def write_fasta_records(records: DataFrame, out: str, order: list[str]) -> None:
+    """Write (name, seq) as FASTA text below ``out``, one file for each range of ``order``; no file is gathered."""
+    ranged = records.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged.select(F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("value")).write.text(out)
+
+
 def read_two_line(files: DataFrame) -> DataFrame:
     """Strict dialect: names and sequences on alternating lines."""
     lines = files.select("source_file", F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\n")).alias("n", "line"))
@@ -117,6 +138,11 @@ def stockholm_to_a3m(files: DataFrame, most: int | None = None, drop_query_gaps:
     return out if most is None else out.filter(F.col("row_idx") < most)
 
 
+def truncate_stockholm(files: DataFrame, most: int) -> DataFrame:
+    """The records of the first ``most`` names of each file, as they stand."""
+    return stockholm_records(files).filter(F.col("row_idx") < most)
+
+
 def dedup_stockholm(files: DataFrame) -> DataFrame:
     """The first record of each sequence, as seen in the query's columns."""
     r = _with_query(stockholm_records(files))
@@ -140,7 +166,8 @@ def read_tblout(files: DataFrame) -> DataFrame:
 
 def read_clonotypes(spark: SparkSession, path: str) -> DataFrame:
     """(name, clonotype) of a CSV with a header; the last row of a name counts. The schema is given, not guessed."""
-    rows = spark.read.option("header", True).option("enforceSchema", False).schema("name string, clonotype string").csv(path).withColumn("n", F.monotonically_increasing_id())
+    rows = spark.read.option("header", True).option("enforceSchema", False).schema("name string, clonotype string").csv(path)
+    rows = rows.withColumn("n", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()))  # the order of files, splits and lines
     return rows.groupBy("name").agg(F.max_by("clonotype", "n").alias("clonotype"))
 
 
@@ -182,6 +209,23 @@ def read_range(blobs: DataFrame, index: DataFrame) -> DataFrame:
     return index.join(blobs, "db").select("db", "name", F.decode(F.substring(F.col("content"), (F.col("start") + 1).cast("int"), F.col("size").cast("int")), "UTF-8").alias("value"))
 
 
+def read_file_ranges(index: DataFrame, folder: str) -> DataFrame:
+    """(db, name, value): the bytes of each index entry (db, name, start, size), read from the files ``folder/db`` by seeking.
+
+    Files may be of any size; only the ranges are read. The folder must be mounted on every executor."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            values = []
+            for db, start, size in zip(batch["db"], batch["start"], batch["size"]):
+                with open(f"{folder}/{db}", "rb") as file:
+                    file.seek(int(start))
+                    values.append(file.read(int(size)).decode("utf-8", "replace"))
+            yield batch[["db", "name"]].assign(value=values)
+
+    return index.select("db", "name", "start", "size").mapInPandas(read, "db string, name string, value string")
+
+
 def unify_indices(indices: list[DataFrame]) -> DataFrame:
     """One index of several; the later one wins."""
     out = None

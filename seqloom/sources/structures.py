@@ -127,10 +127,20 @@ def read_hhr(files: DataFrame) -> DataFrame:
 
 
 def hmm_description(text: Column) -> Column:
-    """struct(id, chain, start, end, length, text) of ``id_chain/start-end mol:protein length:n text``; null without a match."""
-    form = r"^>?([a-zA-Z0-9]+)_([a-zA-Z0-9]+)/([0-9]+)-([0-9]+).*protein length:([0-9]+) *(.*)$"
-    part = lambda i: F.regexp_extract(text, form, i)
-    return F.when(text.rlike(form), F.struct(F.lower(part(1)).alias("id"), part(2).alias("chain"), part(3).cast("int").alias("start"), part(4).cast("int").alias("end"), part(5).cast("int").alias("length"), part(6).alias("text")))
+    """struct(id, chain, start, end, length, text) of ``id_chain/start-end mol:protein length:n text``; null without a match.
+
+    Split at its marks: the part before the first blank at ``/``, ``_`` and ``-``, the rest at ``length:``. Identifier and
+    chain are word characters, numbers are digits.
+    """
+    clean = F.ltrim(text, F.lit(">"))
+    head, rest = F.split(clean, r"\s", 2), F.split(clean, "protein length:", 2)
+    place = F.split(F.get(head, F.lit(0)), "/", 2)
+    name, span = F.split(F.get(place, F.lit(0)), "_", 2), F.split(F.get(place, F.lit(1)), "-", 2)
+    n, about = F.regexp_extract(F.get(rest, F.lit(1)), "^([0-9]+)", 1), F.regexp_replace(F.get(rest, F.lit(1)), "^[0-9]+ *", "")
+    number = lambda c: F.when(c.rlike("^[0-9]+$"), c.cast("int"))
+    word = lambda c: F.when(c.rlike(r"^\w+$"), c)
+    out = F.struct(F.lower(word(F.get(name, F.lit(0)))).alias("id"), word(F.get(name, F.lit(1))).alias("chain"), number(F.get(span, F.lit(0))).alias("start"), number(F.get(span, F.lit(1))).alias("end"), number(n).alias("length"), about.alias("text"))
+    return F.when(out["id"].isNotNull() & out["chain"].isNotNull() & out["start"].isNotNull() & out["end"].isNotNull() & out["length"].isNotNull(), out)
 
 
 def read_obsolete(files: DataFrame) -> DataFrame:

@@ -125,3 +125,33 @@ def test_ingest(spark, tmp_path):
     (tmp_path / "in" / "b.fasta").write_text(">b\nA*B\n")
     ingest_region_fasta(*args).awaitTermination()
     assert sorted((r["name"], r["lens"]) for r in spark.read.parquet(str(tmp_path / "store")).collect()) == [("a", [2, 2, 1]), ("b", [1, 1])]
+
+
+def test_fasta_records_of_split_files(spark, tmp_path):
+    """Files cut into many splits give the same records as whole ones."""
+    import random
+
+    rng = random.Random(1)
+    want = []
+    for f in range(3):
+        text = "; a remark before the first record\n\n" if f == 1 else ""
+        for i in range(400):
+            seq = "".join(rng.choice("ACDEFG") for _ in range(rng.randrange(0, 90)))
+            lines = [seq[k : k + 30] for k in range(0, len(seq), 30)]
+            text += f">f{f}_{i} some text\n" + "\n".join(["# note", "", *lines] if i % 5 == 0 else lines) + ("\r\n" if i % 7 == 0 else "\n")
+            want.append((f"f{f}_{i} some text", seq))
+        (tmp_path / f"f{f}.fasta").write_text(text if f else text.rstrip("\n"), newline="")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        got = S.read_fasta_records(spark, f"file://{tmp_path}")
+        assert got.rdd.getNumPartitions() > 10
+        assert sorted((r["name"], r["seq"]) for r in got.collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_file_ranges(spark, tmp_path):
+    (tmp_path / "a.db").write_bytes("onetwoéthree".encode())
+    index = spark.createDataFrame([("a.db", "x", 0, 3), ("a.db", "y", 3, 5), ("a.db", "z", 8, 5)], "db string, name string, start long, size long")
+    assert {r["name"]: r["value"] for r in S.read_file_ranges(index, str(tmp_path)).collect()} == {"x": "one", "y": "twoé", "z": "three"}
