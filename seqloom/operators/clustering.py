@@ -20,12 +20,13 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))))
 
 
-def blocked_pairs(df: DataFrame, key: str, vector: str, block: str, blocks: int, most: float) -> DataFrame:
+def blocked_pairs(df: DataFrame, key: str, vector: str, most: float, block_rows: int = 10_000) -> DataFrame:
     """(a, b, distance), a < b, of all pairs with cosine distance <= most, in blocks of rows.
 
-    Rows are dealt into ``blocks`` blocks by a hash of the key; each pair of blocks is one task with one matrix product,
-    so a task holds two blocks whatever the size of the table, and only pairs within the limit leave it.
+    Rows are dealt into blocks of about block_rows by a hash of the key; each pair of blocks is one task with one matrix
+    product, so a task holds two blocks whatever the size of the table, and only pairs within the limit leave it.
     """
+    blocks = max(1, -(-df.count() // block_rows))
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
     left = rows.withColumn("o", F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))))
     right = rows.select(F.col("k").alias("k2"), F.col("v").alias("v2"), F.col("b").alias("o2")).withColumn("b2", F.explode(F.sequence(F.lit(0), F.col("o2"))))
@@ -63,16 +64,36 @@ def representatives(df: DataFrame, cluster: str, key: str, vector: str, most: in
     return near.withColumn("rank", rank).filter(F.col("rank") <= most).select(cluster, key, "centre", "distance", "rank")
 
 
-def nearest_centre(rows: DataFrame, centres: DataFrame, key: str, vector: str, max_centres: int = 100_000) -> DataFrame:
-    """(key, centre, agreement): the centre of largest dot product, the smallest id among equals.
+def nearest_centre(rows: DataFrame, centres: DataFrame, key: str, vector: str, block_rows: int = 100_000) -> DataFrame:
+    """(key, centre, agreement): the centre of largest dot product (to nine digits), the smallest id among equals.
 
-    The centres are a sampled set; they are counted and must be at most max_centres, which bounds what is broadcast.
+    Centres are shipped in blocks of at most about block_rows, each a matrix; rows are multiplied with it batch by batch and
+    only the best of a block leaves the task, so that more centres mean more blocks over the same rows.
     """
-    if centres.limit(max_centres + 1).count() > max_centres:
-        raise ValueError(f"more than {max_centres} centres")
-    c = centres.select(F.col(key).alias("centre"), F.col(vector).alias("cv"))
-    pairs = rows.select(key, vector).join(F.broadcast(c)).withColumn("agreement", F.round(dot(F.col(vector), F.col("cv")), 9))
-    return pairs.groupBy(key).agg(F.max(F.struct("agreement", (-F.col("centre")).alias("n"))).alias("m")).select(key, (-F.col("m.n")).alias("centre"), F.col("m.agreement").alias("agreement"))
+    c = centres.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    blocks = max(1, -(-c.count() // block_rows))
+    out = None
+    for block in range(blocks):
+        part = c.filter(F.pmod(F.xxhash64("k"), F.lit(blocks)) == block).orderBy("k").toPandas()  # a block
+        if not len(part):
+            continue
+        shipped = rows.sparkSession.sparkContext.broadcast((part["k"].to_numpy(), np.array(part["v"].tolist(), float)))
+
+        def nearest(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
+            ids, matrix = shipped.value
+            for batch in batches:
+                for lot in np.array_split(np.arange(len(batch)), -(-len(batch) * len(ids) // 20_000_000) or 1):
+                    agree = np.round(np.array(batch["v"].iloc[lot].tolist(), float).reshape(len(lot), -1) @ matrix.T, 9)
+                    best = agree.argmax(1)  # ids are sorted, so the first of equals is the smallest
+                    yield pd.DataFrame({"k": batch["k"].iloc[lot].to_numpy(), "agreement": agree[np.arange(len(lot)), best], "centre": ids[best]})
+
+        one = rows.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(nearest, "k long, agreement double, centre long")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return rows.select(F.col(key), F.lit(None).cast("long").alias("centre"), F.lit(None).cast("double").alias("agreement")).limit(0)
+    if blocks > 1:
+        out = out.groupBy("k").agg(F.max(F.struct("agreement", (-F.col("centre")).alias("n"))).alias("m")).select("k", F.col("m.agreement").alias("agreement"), (-F.col("m.n")).alias("centre"))
+    return out.select(F.col("k").alias(key), "centre", "agreement")
 
 
 def joint_clusters(labels: DataFrame, target: str, least_pairs: int = 3, more_rows: int = 15) -> DataFrame:
@@ -194,21 +215,39 @@ def density_clusters(df: DataFrame, group: Sequence[str], key: str, vector: str,
     return df.select(*group, key, vector).groupBy(*group).applyInPandas(one, schema)
 
 
-def kmeans_labels(df: DataFrame, key: str, vector: str, k: int, seed: int = 0, max_rows: int = 20_000) -> DataFrame:
-    """(key, label) of k-means on the rows' distances to all rows (distance-matrix rows as features).
+def kmeans_labels(df: DataFrame, key: str, vector: str, k: int, seed: int = 0) -> DataFrame:
+    """(key, label) of k-means on the rows' cosine distances to all rows (distance-matrix rows as features).
 
-    The features are n x n numbers, so this is for sampled sets of at most max_rows rows (an error beyond).
+    With unit vectors U the difference of two rows of the matrix is U (u - v), so its length is that of R (u - v) for any R
+    with R'R = U'U: the features are R u, as many numbers as a vector has, and no matrix of rows times rows is made.
+    U'U is a sum over rows; it is the only thing that goes to the driver.
     """
-    if df.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"more than {max_rows} rows")
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    unit = df.select(key, F.transform(vector, lambda x: x.cast("double") / F.sqrt(dot(F.col(vector), F.col(vector)))).alias("u"))
+    unit = df.filter(F.col(vector).isNotNull()).select(key, F.transform(vector, lambda x: x.cast("double") / F.sqrt(dot(F.col(vector), F.col(vector)))).alias("u"))
     unit = materialize(unit, "unit")
-    far = F.greatest(F.lit(0.0), 1 - dot(F.col("u"), F.col("ou")))
-    row = unit.join(unit.select(F.col(key).alias("ok"), F.col("u").alias("ou"))).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("ok", far.alias("d")))), lambda s: s["d"]).alias("f"))
-    features = row.select(key, array_to_vector("f").alias("features"))
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            u = np.array(batch["u"].tolist(), float)
+            held = u.T @ u if held is None else held + u.T @ u
+        if held is not None:
+            yield pd.DataFrame({"m": [held.ravel()]})
+
+    parts = unit.select("u").mapInPandas(products, "m array<double>").select(F.posexplode("m").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()  # the vector's length squared
+    if not parts:
+        return unit.select(key, F.lit(0).alias("label"))
+    power, turn = np.linalg.eigh(np.array([r["x"] for r in parts]).reshape(int(len(parts) ** 0.5), -1))
+    root = (turn * np.sqrt(np.maximum(power, 0))).T
+
+    def turned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(list(np.array(batch.tolist(), float).reshape(len(batch), -1) @ root.T))
+
+    features = unit.select(key, array_to_vector(F.pandas_udf(turned, "array<double>")("u")).alias("features"))
+    features = materialize(features, "features")
     return KMeans(k=k, seed=seed).fit(features).transform(features).select(key, F.col("prediction").alias("label"))
 
 

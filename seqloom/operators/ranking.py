@@ -8,12 +8,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.columns import weighted_hamming
+from seqloom.session import materialize
+
+#: Rows that one window may hold. Larger groups are put in order over several tasks; the result is the same.
+WINDOW_ROWS = 2_000_000
+
+
+def place_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """df with the 0-based place of each row in its group, ascending; the order must be total.
+
+    If a group has more than WINDOW_ROWS rows, the table is sorted in range partitions and written, and a row's place is
+    its place in its partition and the rows of its group in earlier ones.
+    """
+    most = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= WINDOW_ROWS:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
+    keys = [*group, *order]
+    line = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id()), "line")
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    counts = line.groupBy("__part", *group).agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    here = F.row_number().over(Window.partitionBy("__part", *group).orderBy(*order)) - 1
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("__part", *group)]
+    met = line.withColumn("__here", here).alias("l").join(counts.alias("c"), same)
+    return met.select(*[F.col(f"l.{c}").alias(c) for c in df.columns], (F.col("l.__here") + F.col("c.__before")).cast("int").alias(name))
 
 
 def competition_rank(df: DataFrame, group: Sequence[str], value: str, name: str = "rank", descending: bool = True) -> DataFrame:
-    """0-based rank: how many rows of the group are strictly better."""
-    order = F.desc(value) if descending else F.asc(value)
-    return df.withColumn(name, F.rank().over(Window.partitionBy(*group).orderBy(order)) - 1)
+    """0-based rank: how many rows of the group are strictly better.
+
+    Counted from the distinct values of a group and their rows, so that equal values shrink before the exchange.
+    """
+    up = Window.partitionBy(*group).orderBy(F.desc(value) if descending else F.asc(value)).rowsBetween(Window.unboundedPreceding, -1)
+    values = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__n")).withColumn(name, F.coalesce(F.sum("__n").over(up), F.lit(0)).cast("int")).drop("__n")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*group, value)]
+    return df.alias("l").join(values.alias("r"), same).select("l.*", F.col(f"r.{name}").alias(name))
 
 
 def ranking_metric(h_cdr3: Column, h_cdr1: Column, h_cdr1_len: Column, everything: Column) -> Column:
@@ -43,7 +71,8 @@ def reorder_by_likeness(rows: DataFrame, weights: DataFrame, block: Sequence[str
     used = F.when(none, F.transform("weights", lambda _: F.lit(1.0))).otherwise(F.col("weights"))
     measured = rows.join(first.join(weights, list(block)).withColumn("weights", used), list(block))
     measured = measured.withColumn("distance", weighted_hamming(F.upper(F.col(seq)), F.col("__q"), F.col("weights"))).drop("__q", "weights")
-    return measured.withColumn(name, F.row_number().over(Window.partitionBy(*block).orderBy(F.asc_nulls_last("distance"), order)) - 1)
+    measured = measured.withColumn("__far", F.coalesce("distance", F.lit(float("inf"))))
+    return place_in_group(measured, block, ["__far", order], name).drop("__far")
 
 
 def top_then_filter(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, keep: Column) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.columns import contiguous_bucket
+from seqloom.operators.ranking import place_in_group
 
 
 def _draw(seed: int, *key: str) -> Column:
@@ -20,15 +21,15 @@ def strided_sample(rows: DataFrame, block: Sequence[str], order: Sequence[str],
 
     Once t is at least a bucket's size its last row is taken; the first pick is row 0; empty buckets give nothing.
     """
-    w = Window.partitionBy(*block)
-    r = rows.withColumn("__r", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
+    size = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("__n"))
+    r = place_in_group(rows, block, order, "__r").join(size, list(block))
     r = r.withColumn("bucket", contiguous_bucket(F.col("__r"), F.col("__n"), F.lit(buckets)))
-    b = Window.partitionBy(*block, "bucket")
-    r = r.withColumn("__m", F.count(F.lit(1)).over(b)).withColumn("__p", F.row_number().over(b.orderBy("__r")) - 1)
+    # bucket i begins at floor(i n / k), so nothing has to be counted again
+    begin = lambda i: F.floor(i * F.col("__n") / buckets)
+    r = r.withColumn("__m", begin(F.col("bucket") + 1) - begin(F.col("bucket"))).withColumn("__p", F.col("__r") - begin(F.col("bucket")))
     at = F.when(F.lit(turn) >= F.col("__m"), F.col("__m") - 1).otherwise(F.least(F.floor(F.col("__m") / max(turns - 1, 1)) * turn + shift, F.col("__m") - 1))
-    first = F.min("bucket").over(w)
-    at = F.when(F.col("bucket") == F.col("__b0"), 0).otherwise(at)
-    return r.withColumn("__b0", first).filter(F.col("__p") == at).drop("__r", "__n", "__m", "__p", "__b0")
+    at = F.when(F.col("__r") == F.col("__p"), 0).otherwise(at)  # the first bucket that has rows
+    return r.filter(F.col("__p") == at).drop("__r", "__n", "__m", "__p")
 
 
 def quota_sample(rows: DataFrame, target: str, cluster: str, order: str, most: int, first: int = 512) -> DataFrame:

@@ -9,7 +9,7 @@ from seqloom.functions import columns as C
 from seqloom.operators import chains as N
 from seqloom.operators import features as X
 from seqloom.operators import msa, search
-from seqloom.operators.ranking import competition_rank
+from seqloom.operators.ranking import competition_rank, place_in_group
 from seqloom.operators.ranking import ranking_metric as metric
 
 BAND = [10, 2, 10, 2, 10, 4, 5]
@@ -190,8 +190,8 @@ def spreadsheet_ids(spark, d):
 
 
 def contiguous_split(spark, d):
-    w = Window.partitionBy("msa_id")
-    r = t(spark, d, "msa_rows").withColumn("r", F.row_number().over(w.orderBy("row_idx", "row_id")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    m = t(spark, d, "msa_rows").select("msa_id", "row_idx", "row_id")
+    r = place_in_group(m, ["msa_id"], ["row_idx", "row_id"], "r").join(m.groupBy("msa_id").agg(F.count(F.lit(1)).alias("n")), "msa_id")
     return r.withColumn("bucket", C.contiguous_bucket(F.col("r"), F.col("n"), F.lit(7))).groupBy("msa_id", F.col("bucket").cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("r").cast("long").alias("first"))
 
 

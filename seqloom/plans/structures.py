@@ -169,7 +169,7 @@ def confidence(spark, d):
 
 
 def cosine_pairs(spark, d):
-    return K.blocked_pairs(t(spark, d, "embeddings"), "vec_id", "embedding", "b", 4, 0.6).select("a", "b", F.round("distance", 6).alias("distance"))
+    return K.blocked_pairs(t(spark, d, "embeddings"), "vec_id", "embedding", 0.6).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
 def representatives(spark, d):
