@@ -96,15 +96,28 @@ def kabsch(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]
 
 
 def superpose(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, n, rmsd, aligned_rmsd) of matched residues x1..z1 and x2..z2; a group is one pair of structures."""
+    """(keys, n, rmsd, aligned_rmsd) of matched residues x1..z1 and x2..z2.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[["x1", "y1", "z1"]].to_numpy(float), pdf[["x2", "y2", "z2"]].to_numpy(float)
-        plain = float(np.sqrt(((a - b) ** 2).sum(1).mean()))
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), len(pdf), plain, kabsch(a, b)[2]]], columns=[*keys, "n", "rmsd", "aligned_rmsd"])
-
-    schema = ", ".join([*(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys), "n int, rmsd double, aligned_rmsd double"])
-    return pairs.groupBy(*keys).applyInPandas(one, schema)
+    The best rotation needs only the sums and products of the coordinates, so a group is aggregated, never gathered.
+    """
+    side = lambda n: [F.col(f"{c}{n}").cast("double") for c in "xyz"]
+    a, b = side(1), side(2)
+    sums = [F.array(*[F.sum(x) for x in a]).alias("sa"), F.array(*[F.sum(x) for x in b]).alias("sb"), F.array(*[F.sum(x * y) for x in a for y in b]).alias("sab")]
+    squares = [F.sum(sum((x * x for x in v), F.lit(0.0))).alias(name) for v, name in ((a, "qa"), (b, "qb"))]
+    off = F.sum(sum(((x - y) * (x - y) for x, y in zip(a, b)), F.lit(0.0)))
+    held = pairs.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n"), F.sqrt(off / F.count(F.lit(1))).alias("rmsd"), *sums, *squares)
+
+    def aligned(n: pd.Series, sa: pd.Series, sb: pd.Series, sab: pd.Series, qa: pd.Series, qb: pd.Series) -> pd.Series:
+        out = []
+        for k, x, y, xy, p, q in zip(n, sa, sb, sab, qa, qb):
+            x, y = np.array(x), np.array(y)
+            u, s, vt = np.linalg.svd(np.array(xy).reshape(3, 3) - np.outer(x, y) / k)
+            s[2] *= np.sign(np.linalg.det(u @ vt)) or 1.0
+            out.append(max(0.0, (p - x @ x / k) + (q - y @ y / k) - 2 * s.sum()) / k)
+        return pd.Series(out) ** 0.5
+
+    best = F.pandas_udf(aligned, "double")
+    return held.select(*keys, "n", "rmsd", best("n", "sa", "sb", "sab", "qa", "qb").alias("aligned_rmsd"))
 
 
 def expected_confidence(logits: Column, bins: int = 50) -> Column:
@@ -113,3 +126,132 @@ def expected_confidence(logits: Column, bins: int = 50) -> Column:
     weight = F.transform(logits, lambda v: F.exp(v - top))
     total = F.aggregate(weight, F.lit(0.0), lambda s, v: s + v)
     return 100 * F.aggregate(F.transform(weight, lambda w, i: w * (i + 0.5) / bins), F.lit(0.0), lambda s, v: s + v) / total
+
+
+def expected_error(logits: Column, longest: float = 31.0) -> Column:
+    """Expected aligned error of a pair: bins of equal width up to the longest, the last one open, under a softmax."""
+    n = F.size(logits)
+    top = F.array_max(logits)
+    weight = F.transform(logits, lambda v: F.exp(v - top))
+    step = F.lit(longest) / (n - 1)
+    return F.aggregate(F.transform(weight, lambda w, i: w * (i + 0.5) * step), F.lit(0.0), lambda s, v: s + v) / F.aggregate(weight, F.lit(0.0), lambda s, v: s + v)
+
+
+def template_score(pairs: DataFrame, keys: Sequence[str], residue: str, error_logits: str, n: str, longest: float = 31.0) -> DataFrame:
+    """Predicted TM score: the best residue's mean over its pairs of the expectation of 1 / (1 + (error / d0)^2).
+
+    pairs: keys, residue (the one that is aligned on), logits of a pair's error, and n, the residues of the structure.
+    """
+    m = F.greatest(F.col(n), F.lit(19)).cast("double")
+    d0 = 1.24 * F.pow(m - 15, F.lit(1.0 / 3)) - 1.8
+    top = F.array_max(error_logits)
+    weight = F.transform(error_logits, lambda v: F.exp(v - top))
+    step = F.lit(longest) / (F.size(error_logits) - 1)
+    value = F.aggregate(F.transform(weight, lambda w, i: w / (1 + F.pow((i + 0.5) * step / d0, F.lit(2.0)))), F.lit(0.0), lambda s, v: s + v) / F.aggregate(weight, F.lit(0.0), lambda s, v: s + v)
+    each = pairs.withColumn("__v", value).groupBy(*keys, residue).agg(F.avg("__v").alias("__v"))
+    return each.groupBy(*keys).agg(F.max("__v").alias("ptm"))
+
+
+def _minus(a: Sequence[Column], b: Sequence[Column]) -> list[Column]:
+    return [p - q for p, q in zip(a, b)]
+
+
+def _cross(a: Sequence[Column], b: Sequence[Column]) -> list[Column]:
+    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+
+
+def _dot(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def _unit(a: Sequence[Column]) -> list[Column]:
+    length = F.sqrt(F.greatest(_dot(a, a), F.lit(1e-20)))
+    return [x / length for x in a]
+
+
+def dihedral(a: Sequence[Column], b: Sequence[Column], c: Sequence[Column], d: Sequence[Column]) -> Column:
+    """The angle of four points around the line from the second to the third, in radians."""
+    u, v, w = _minus(b, a), _minus(c, b), _minus(d, c)
+    m, n = _cross(u, v), _cross(v, w)
+    return F.atan2(_dot(_cross(m, n), _unit(v)), _dot(m, n))
+
+
+def residues(atoms: DataFrame, keys: Sequence[str], names: Sequence[str] = ("N", "CA", "C", "CB")) -> DataFrame:
+    """One row for each residue: keys, aa, and for each atom name a column array of x, y, z, null where it is missing; ``n_atoms``.
+
+    Selenium of a modified methionine counts as its sulphur, and the residue as methionine.
+    """
+    aa = F.when(F.col("aa") == "MSE", "MET").otherwise(F.col("aa"))
+    name = F.when((F.col("aa") == "MSE") & (F.col("atom") == "SE"), "SD").otherwise(F.col("atom"))
+    held = atoms.withColumns({"__atom": name, "aa": aa})
+    place = F.array("x", "y", "z")
+    return held.groupBy(*keys).agg(F.min("aa").alias("aa"), F.count(F.lit(1)).alias("n_atoms"), *[F.max(F.when(F.col("__atom") == n, place)).alias(n) for n in names])
+
+
+def _xyz(column: Column) -> list[Column]:
+    return [F.get(column, F.lit(i)) for i in range(3)]
+
+
+def backbone_torsions(rows: DataFrame, chain: Sequence[str], residue: str) -> DataFrame:
+    """rows (of residues()) with phi, psi and omega of each residue, omega being that of the bond to the one before."""
+    w = Window.partitionBy(*chain).orderBy(residue)
+    before = lambda c: _xyz(F.lag(c).over(w))
+    n, ca, c = (_xyz(F.col(x)) for x in ("N", "CA", "C"))
+    return rows.withColumns({"phi": dihedral(before("C"), n, ca, c), "psi": dihedral(n, ca, c, _xyz(F.lead("N").over(w))), "omega": dihedral(before("CA"), before("C"), n, ca)})
+
+
+def frames(rows: DataFrame) -> DataFrame:
+    """rows (of residues()) with ``frame``: nine numbers, the axes of the residue: along CA to C, N made orthogonal to it, and across."""
+    n, ca, c = (_xyz(F.col(x)) for x in ("N", "CA", "C"))
+    first = _unit(_minus(c, ca))
+    arm = _minus(n, ca)
+    along = _dot(first, arm)
+    second = _unit([p - along * q for p, q in zip(arm, first)])
+    return rows.withColumn("frame", F.array(*first, *second, *_cross(first, second)))
+
+
+def amide_bonds(torsions: DataFrame, allowed: float = 40.0) -> DataFrame:
+    """torsions with ``amide``: trans, cis or twisted, by how far omega is from 180 or 0 degrees; ``amide_ok`` is false for
+    a twisted bond and for a cis bond before a residue that isn't a proline."""
+    turn = F.abs(F.degrees("omega"))
+    kind = F.when(turn >= 180 - allowed, "trans").when(turn <= allowed, "cis").when(turn.isNotNull(), "twisted")
+    return torsions.withColumn("amide", kind).withColumn("amide_ok", (F.col("amide") == "trans") | ((F.col("amide") == "cis") & F.col("aa").isin("P", "PRO")))
+
+
+# Length of the bond between C and N of the next residue and its deviation, in general and before proline.
+C_N_BOND = {"other": (1.329, 0.014), "proline": (1.341, 0.016)}
+
+
+def bond_violations(rows: DataFrame, chain: Sequence[str], residue: str, factor: float = 12.0) -> DataFrame:
+    """Consecutive residues with the length of the bond between them, and whether it is off by more than ``factor`` deviations."""
+    w = Window.partitionBy(*chain).orderBy(residue)
+    gap = _minus(_xyz(F.col("N")), _xyz(F.lag("C").over(w)))
+    length = rows.withColumn("bond", F.sqrt(_dot(gap, gap))).filter(F.col("bond").isNotNull())
+    pro = F.col("aa").isin("P", "PRO")
+    want, off = (F.when(pro, C_N_BOND["proline"][i]).otherwise(C_N_BOND["other"][i]) for i in (0, 1))
+    return length.withColumn("violates", F.abs(F.col("bond") - want) > factor * off)
+
+
+def clashes(atoms: DataFrame, structure: Sequence[str], chain: str, residue: str, radius: str, overlap: float = 1.5, widest: float = 4.0) -> DataFrame:
+    """Pairs of atoms of different residues that are nearer than their radii less an overlap; a chain's neighbouring residues
+    are no pairs. Atoms meet in cubes of the widest distance, so that no structure's pairs are formed."""
+    cube = [F.floor(F.col(c) / widest).cast("long").alias(f"g{c}") for c in "xyz"]
+    one = lambda n: atoms.select(*structure, F.col(chain).alias(f"c{n}"), F.col(residue).alias(f"r{n}"), F.col("atom").alias(f"atom{n}"), F.col(radius).alias(f"radius{n}"), *[F.col(c).alias(f"{c}{n}") for c in "xyz"], *cube)
+    other = one(2)
+    for c in "xyz":
+        other = other.withColumn("__o", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(f"g{c}", F.col(f"g{c}") + F.col("__o")).drop("__o")
+    met = one(1).join(other, [*structure, "gx", "gy", "gz"]).filter("struct(c1, r1) < struct(c2, r2) and not (c1 = c2 and r2 - r1 <= 1)")
+    met = met.withColumn("d", distance(["x1", "y1", "z1"], ["x2", "y2", "z2"])).filter(F.col("d") < F.col("radius1") + F.col("radius2") - overlap)
+    return met.select(*structure, "c1", "r1", "atom1", "c2", "r2", "atom2", "d")
+
+
+def rmsd_matrix(points: DataFrame, model: str, residue: str) -> DataFrame:
+    """(a, b, rmsd), a < b, of all pairs of models, after the best superposition of their common residues."""
+    one, two = ((points.select(F.col(model).alias(m), residue, *[F.col(c).alias(f"{c}{i}") for c in "xyz"])) for m, i in (("a", 1), ("b", 2)))
+    return superpose(one.join(two, residue).filter("a < b"), ["a", "b"]).select("a", "b", F.col("aligned_rmsd").alias("rmsd"))
+
+
+def near_models(matrix: DataFrame, below: float = 4.0) -> DataFrame:
+    """(model, mean_rmsd) of models whose mean RMSD to the others is below a limit."""
+    both = matrix.select(F.col("a").alias("model"), "rmsd").unionByName(matrix.select(F.col("b").alias("model"), "rmsd"))
+    return both.groupBy("model").agg(F.avg("rmsd").alias("mean_rmsd")).filter(F.col("mean_rmsd") < below)

@@ -95,3 +95,54 @@ def locate_chain(hits: DataFrame, chains: DataFrame, keys: Sequence[str]) -> Dat
     how = F.when(holds & (F.col("chain") == F.col("__named")), 1).when(holds, 2).when(F.regexp_like("seq", pattern), 3)
     best = joined.withColumn("how", how).filter(F.col("how").isNotNull()).groupBy(*keys).agg(F.min(F.struct("how", "chain_ord", "chain")).alias("b"))
     return best.select(*keys, "b.how", F.col("b.chain").alias("chain"))
+
+
+def place_template(mapping: DataFrame, atoms: DataFrame, queries: DataFrame, keys: Sequence[str], least_atoms: int = 5) -> DataFrame:
+    """Template residues at the query's positions: keys, q, letter, x, y, z, mask and ``reject_reason``.
+
+    mapping: keys, q (0-based query position), h (residue of the template); atoms: keys, h, letter, x, y, z; queries: keys,
+    length. Positions without a template residue have a gap, zeros and mask 0. A template with fewer than
+    least_atoms placed residues is marked 'few_atoms'.
+    """
+    met = mapping.join(atoms, [*keys, "h"]).drop("h")
+    line = queries.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("length") - 1))).drop("length")
+    out = line.join(met, [*keys, "q"], "left")
+    placed = met.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    reason = F.when(F.coalesce("__n", F.lit(0)) < least_atoms, "few_atoms").alias("reject_reason")
+    return out.join(placed, list(keys), "left").select(*keys, "q", F.coalesce("letter", F.lit("-")).alias("letter"), zero("x"), zero("y"), zero("z"), F.col("letter").isNotNull().cast("int").alias("mask"), reason)
+
+
+def empty_template(queries: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What a query without templates gets: gaps, zeros and mask 0 at every position. queries: keys, length."""
+    line = queries.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("length") - 1))).drop("length")
+    return line.select(*keys, "q", F.lit("-").alias("letter"), *[F.lit(0.0).alias(c) for c in "xyz"], F.lit(0).alias("mask"), F.lit(None).cast("string").alias("reject_reason"))
+
+
+def templates_or_empty(placed: DataFrame, queries: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The accepted templates' positions, and empty ones for queries without any."""
+    good = placed.filter("reject_reason is null")
+    return good.unionByName(empty_template(queries.join(good.select(*keys).distinct(), list(keys), "left_anti"), keys))
+
+
+def identity_mapping(queries: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, q, h of a template that is the query's own structure."""
+    return queries.select(*keys, F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("q")).withColumn("h", F.col("q"))
+
+
+def realigned(mapping_query: Column, mapping_hit: Column, least: float = 0.9) -> Column:
+    """Whether two aligned texts (gaps as ``-``) agree in at least a share of the shorter one's residues."""
+    same = F.aggregate(F.zip_with(chars(mapping_query), chars(mapping_hit), lambda a, b: ((a == b) & (a != "-")).cast("int")), F.lit(0), lambda s, x: s + x)
+    shorter = F.least(F.length(F.translate(mapping_query, "-", "")), F.length(F.translate(mapping_hit, "-", "")))
+    return F.coalesce(same >= least * shorter, F.lit(False))
+
+
+def search_input(paired: Column, front: Column, back: Column) -> Column:
+    """What templates are searched with: the alignment if it is paired and nothing flanks the domain, else the query alone."""
+    return F.when(paired & (F.coalesce(front, F.lit(0)) == 0) & (F.coalesce(back, F.lit(0)) == 0), "alignment").otherwise("query")
+
+
+def region_hit_weights(lengths: Column) -> Column:
+    """Weight of each position of a heavy chain from its seven region lengths, for hit_score."""
+    table = F.array(*[F.lit(float(w)) for w in HIT_WEIGHTS.values()])
+    return F.flatten(F.zip_with(lengths, table, lambda n, w: F.array_repeat(w, n.cast("int"))))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import columns as C
 from seqloom.operators import chains as N
 from seqloom.operators import clustering as K
 from seqloom.operators import curation as T
+from seqloom.operators import features as X
 from seqloom.operators import geometry as G
 from seqloom.operators import templates as H
 
@@ -163,6 +164,112 @@ def superpose(spark, d):
     return G.superpose(side(a, 1).join(side(b, 2), ["label", "residue"]), ["label"]).select("label", "n", F.round("rmsd", 6).alias("rmsd"), F.round("aligned_rmsd", 6).alias("aligned_rmsd"))
 
 
+def _atoms(spark, d):
+    """Embeddings as residues: the label is the chain, the id the residue, twelve dimensions the places of four atoms."""
+    e = t(spark, d, "embeddings").withColumn("aa", F.substring(F.lit(C.RESIDUES), (F.col("vec_id") % 20 + 1).cast("int"), F.lit(1)))
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double") * 10
+    four = F.array(*[F.struct(F.lit(n).alias("atom"), *[at(3 * k + j).alias(c) for j, c in enumerate("xyz")]) for k, n in enumerate(("N", "CA", "C", "CB"))])
+    return e.select("label", F.col("vec_id").alias("residue"), "aa", F.explode(four).alias("p")).select("label", "residue", "aa", "p.*").filter("not (aa = 'G' and atom = 'CB')")
+
+
+def _residues(spark, d):
+    return G.residues(_atoms(spark, d), ["label", "residue"])
+
+
+def residue_atoms(spark, d):
+    r = _residues(spark, d)
+    return r.select("label", "residue", "aa", "n_atoms", F.round(F.get("CA", F.lit(0)), 6).alias("ca_x"), F.col("CB").isNull().alias("no_cb"))
+
+
+def pseudo_beta(spark, d):
+    return G.pseudo_beta(_atoms(spark, d), ["label", "residue"]).select("label", "residue", *[F.round(c, 6).alias(c) for c in "xyz"])
+
+
+def torsions(spark, d):
+    r = G.amide_bonds(G.backbone_torsions(_residues(spark, d), ["label"], "residue"))
+    return r.select("label", "residue", *[F.round(F.cos(a), 6).alias(f"cos_{a}") for a in ("phi", "psi", "omega")], F.round(F.sin("phi"), 6).alias("sin_phi"), "amide", "amide_ok")
+
+
+def frames(spark, d):
+    return G.frames(_residues(spark, d)).select("label", "residue", *[F.round(F.get("frame", F.lit(i)), 6).alias(f"f{i}") for i in range(9)])
+
+
+def bond_violations(spark, d):
+    return G.bond_violations(_residues(spark, d), ["label"], "residue").select("label", "residue", F.round("bond", 6).alias("bond"), "violates")
+
+
+def clashes(spark, d):
+    a = _atoms(spark, d).withColumn("radius", F.when(F.col("atom") == "N", 1.55).otherwise(1.7)).withColumn("one", F.lit(1)).withColumns({c: F.col(c) * 8 for c in "xyz"})
+    return G.clashes(a, ["one"], "label", "residue", "radius").select("c1", "r1", "atom1", "c2", "r2", "atom2", F.round("d", 6).alias("d"))
+
+
+def rmsd_models(spark, d):
+    """Chains as models of one structure: their first residues superposed with each other."""
+    p = _points(spark, d).withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("residue")))
+    return G.near_models(G.rmsd_matrix(p, "label", "place"), 1e9).select("model", F.round("mean_rmsd", 6).alias("mean_rmsd"))
+
+
+def aligned_error(spark, d):
+    e = t(spark, d, "embeddings")
+    return e.select("vec_id", F.round(G.expected_error(F.transform("embedding", lambda v: v.cast("double"))), 6).alias("error"))
+
+
+def predicted_tm(spark, d):
+    e = t(spark, d, "embeddings").select("label", F.col("vec_id").alias("residue"), F.transform("embedding", lambda v: v.cast("double")).alias("logits"))
+    n = e.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return G.template_score(e.join(n, "label").withColumn("on", F.col("residue") % 7), ["label"], "on", "logits", "n").select("label", F.round("ptm", 6).alias("ptm"))
+
+
+def confident_chains(spark, d):
+    e = t(spark, d, "embeddings")
+    return e.select("vec_id", X.confident(F.transform("embedding", lambda v: v.cast("double") * 100)).alias("confident"))
+
+
+def _mapped(spark, d):
+    h = _hits(spark, d).select("chain_id", "file_id", "chain_ord", "query", "template")
+    n = F.least(F.length("query"), F.length("template"))
+    pair = h.select("chain_id", "file_id", "chain_ord", F.length("query").alias("length"), F.explode(F.sequence(F.lit(0), n - 1)).alias("q"), "query", "template").withColumn("h", F.col("q"))
+    same = F.substring("query", F.col("q") + 1, F.lit(1)) == F.substring("template", F.col("h") + 1, F.lit(1))
+    return h, pair.filter(same).select("chain_id", "file_id", "chain_ord", "q", "h")
+
+
+def template_features(spark, d):
+    """Template residues at the positions at which they agree with the query, and empty templates where there are too few."""
+    h, mapping = _mapped(spark, d)
+    keys = ["chain_id", "file_id", "chain_ord"]
+    atoms = h.select(*keys, F.posexplode(C.chars(F.col("template"))).alias("h", "letter")).withColumns({"x": F.col("h") * 1.5, "y": F.lit(1.0), "z": F.col("chain_ord") * 1.0})
+    queries = h.select(*keys, F.length("query").alias("length"))
+    out = H.templates_or_empty(H.place_template(mapping, atoms, queries, keys), queries, keys)
+    return out.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("mask").alias("placed"), F.round(F.sum("x"), 6).alias("x"))
+
+
+def own_templates(spark, d):
+    """Each chain's own structure as its template."""
+    c = t(spark, d, "chains").filter("length(full_seq) > 0").select("chain_id", F.length("full_seq").alias("length"))
+    return H.identity_mapping(c, ["chain_id"]).groupBy("chain_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs(F.col("q") - F.col("h"))).alias("off"))
+
+
+def realigned_hits(spark, d):
+    h = _hits(spark, d)
+    n = F.least(F.length("query"), F.length("template"))
+    return h.select("chain_id", "file_id", "chain_ord", H.realigned(F.substring("query", F.lit(1), n), F.substring("template", F.lit(1), n)).alias("same"))
+
+
+def search_inputs(spark, d):
+    c = t(spark, d, "chains")
+    extra = F.length("full_seq") - F.aggregate(C.region_lengths(F.col("regions")), F.lit(0), lambda a, x: a + x)
+    paired = F.col("chain_type").isNotNull() & (F.col("chain_id") % 2 == 0)
+    return c.select("chain_id", H.search_input(paired, F.greatest(extra, F.lit(0)), F.lit(0)).alias("input"))
+
+
+def weighted_template_scores(spark, d):
+    """Hits of heavy chains, scored by the weights of their regions."""
+    r = t(spark, d, "chains").filter("size(regions) = 7 and chain_type = 'H'").select("chain_id", H.region_hit_weights(C.region_lengths(F.col("regions"))).alias("weights"))
+    j = _hits(spark, d).join(r, "chain_id").withColumn("n", F.least(F.length("query"), F.length("template"), F.size("weights")))
+    cut = lambda c: F.substring(c, F.lit(1), F.col("n"))
+    return j.select("chain_id", "file_id", "chain_ord", F.round(H.hit_score(cut("query"), cut("template"), F.slice("weights", F.lit(1), F.col("n"))), 6).alias("score"))
+
+
 def confidence(spark, d):
     e = t(spark, d, "embeddings")
     return e.select("vec_id", F.round(G.expected_confidence(F.transform(F.slice("embedding", 1, 50), lambda v: v.cast("double"))), 6).alias("confidence"))
@@ -201,7 +308,8 @@ _NAMES = [
     "hit_ids", "template_prefilter", "template_scores", "locate_chain", "id_closure", "release_dates", "index_arrays", "residue_maps", "quality_filter",
     "complex_filter", "structure_cache", "chain_cache", "stochastic_keep", "mixture_draws", "centre_distance", "gdt", "lddt", "drmsd", "distogram",
     "neighbour_breaks", "interface", "superpose", "confidence", "cosine_pairs", "representatives", "nearest_centre", "joint_clusters", "density_clusters",
-    "kmeans_labels",
+    "kmeans_labels", "residue_atoms", "pseudo_beta", "torsions", "frames", "bond_violations", "clashes", "rmsd_models", "aligned_error", "predicted_tm",
+    "confident_chains", "template_features", "own_templates", "realigned_hits", "search_inputs", "weighted_template_scores",
 ]
 
 
@@ -218,6 +326,18 @@ _A = "WITH a AS (SELECT label, vec_id AS residue, CAST(embedding[1] AS DOUBLE) *
 _D = lambda p, q: f"sqrt(({p}.x - {q}.x) * ({p}.x - {q}.x) + ({p}.y - {q}.y) * ({p}.y - {q}.y) + ({p}.z - {q}.z) * ({p}.z - {q}.z))"
 _PAIRS = f"{_A}, p AS (SELECT u.label, u.residue AS r1, v.residue AS r2, {_D('u', 'v')} AS d FROM a u JOIN a v ON u.label = v.label AND u.residue < v.residue), q AS (SELECT u.label, u.residue AS r1, v.residue AS r2, {_D('u', 'v')} AS e FROM b u JOIN b v ON u.label = v.label AND u.residue < v.residue)"
 _SHARE = lambda s: f"list_max(list_transform(range(1, length({s}) + 1), lambda i: length({s}) - length(replace({s}, substr({s}, i, 1), '')))) / length({s})"
+_PLACE = lambda k: f"[{', '.join(f'CAST(embedding[{3 * k + j}] AS DOUBLE) * 10' for j in (1, 2, 3))}]"
+_ATOMS = f"WITH a AS (SELECT label, vec_id AS residue, substr('ACDEFGHIKLMNPQRSTVWY', CAST(vec_id % 20 + 1 AS INTEGER), 1) AS aa, {_PLACE(0)} AS N, {_PLACE(1)} AS CA, {_PLACE(2)} AS C, {_PLACE(3)} AS CB FROM embeddings)"
+_SUB = lambda p, q: f"[{', '.join(f'{p}[{i}] - {q}[{i}]' for i in (1, 2, 3))}]"
+_CROSS = lambda p, q: f"[({p})[2] * ({q})[3] - ({p})[3] * ({q})[2], ({p})[3] * ({q})[1] - ({p})[1] * ({q})[3], ({p})[1] * ({q})[2] - ({p})[2] * ({q})[1]]"
+
+
+def _DIHEDRAL(a, b, c, d):  # noqa: N802
+    u, v, w = _SUB(b, a), _SUB(c, b), _SUB(d, c)
+    m, n = _CROSS(u, v), _CROSS(v, w)
+    return f"CASE WHEN {a} IS NOT NULL AND {d} IS NOT NULL THEN atan2(list_dot_product({_CROSS(m, n)}, {v}) / sqrt(list_dot_product({v}, {v})), list_dot_product({m}, {n})) END"
+
+
 _V = "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), u AS (SELECT vec_id, label, e, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS n FROM v)"
 
 
@@ -250,6 +370,34 @@ def oracle_sql() -> dict[str, str]:
         "distogram": f"{_PAIRS} SELECT label, CAST(greatest(0, least(63, floor((d - 2.0) / (20.0 / 64)))) AS BIGINT) AS bin, count(*) AS n FROM p GROUP BY 1, 2",
         "neighbour_breaks": f"{_A}, l AS (SELECT label, residue, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2 + (z - lag(z) OVER w) ** 2) AS d FROM a WINDOW w AS (PARTITION BY label ORDER BY residue)) SELECT label, residue, round(d, 6) AS d, d > 20 AS broken FROM l WHERE d IS NOT NULL",
         "interface": f"{_A} SELECT u.label, u.residue, round(min({_D('u', 'v')}), 6) AS min_distance FROM a u JOIN a v ON u.label <> v.label AND abs(u.x - v.x) < 2.5 AND {_D('u', 'v')} < 2.5 GROUP BY 1, 2",
+        "residue_atoms": f"{_ATOMS} SELECT label, residue, aa, CASE WHEN aa = 'G' THEN 3 ELSE 4 END AS n_atoms, round(CA[1], 6) AS ca_x, aa = 'G' AS no_cb FROM a",
+        "pseudo_beta": f"{_ATOMS} SELECT label, residue, round(p[1], 6) AS x, round(p[2], 6) AS y, round(p[3], 6) AS z FROM (SELECT label, residue, CASE WHEN aa = 'G' THEN CA ELSE CB END AS p FROM a)",
+        "torsions": f"""{_ATOMS}, w AS (SELECT *, lag(C) OVER o AS pc, lag(CA) OVER o AS pca, lead(N) OVER o AS nn FROM a WINDOW o AS (PARTITION BY label ORDER BY residue)),
+            g AS (SELECT label, residue, aa, {_DIHEDRAL('pc', 'N', 'CA', 'C')} AS phi, {_DIHEDRAL('N', 'CA', 'C', 'nn')} AS psi, {_DIHEDRAL('pca', 'pc', 'N', 'CA')} AS omega FROM w),
+            k AS (SELECT *, CASE WHEN abs(degrees(omega)) >= 140 THEN 'trans' WHEN abs(degrees(omega)) <= 40 THEN 'cis' WHEN omega IS NOT NULL THEN 'twisted' END AS amide FROM g)
+            SELECT label, residue, round(cos(phi), 6) AS cos_phi, round(cos(psi), 6) AS cos_psi, round(cos(omega), 6) AS cos_omega, round(sin(phi), 6) AS sin_phi, amide, amide = 'trans' OR (amide = 'cis' AND aa = 'P') AS amide_ok FROM k""",
+        "frames": f"""{_ATOMS}, u AS (SELECT label, residue, {_SUB('C', 'CA')} AS c, {_SUB('N', 'CA')} AS n FROM a), v AS (SELECT *, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS f FROM u),
+            w AS (SELECT *, list_transform(range(1, 4), lambda i: n[i] - list_dot_product(f, n) * f[i]) AS s0 FROM v), x AS (SELECT *, list_transform(s0, lambda y: y / sqrt(list_dot_product(s0, s0))) AS s FROM w), y AS (SELECT *, {_CROSS('f', 's')} AS t FROM x)
+            SELECT label, residue, {", ".join(f"round({v}[{i % 3 + 1}], 6) AS f{i}" for i, v in enumerate(["f"] * 3 + ["s"] * 3 + ["t"] * 3))} FROM y""",
+        "bond_violations": f"""{_ATOMS}, w AS (SELECT *, lag(C) OVER (PARTITION BY label ORDER BY residue) AS pc FROM a), b AS (SELECT label, residue, aa, sqrt(list_sum(list_transform(range(1, 4), lambda i: (N[i] - pc[i]) ** 2))) AS bond FROM w WHERE pc IS NOT NULL)
+            SELECT label, residue, round(bond, 6) AS bond, abs(bond - CASE WHEN aa = 'P' THEN 1.341 ELSE 1.329 END) > 12 * CASE WHEN aa = 'P' THEN 0.016 ELSE 0.014 END AS violates FROM b""",
+        "clashes": f"""{_ATOMS}, p AS (SELECT label, residue, 'N' AS atom, 1.55 AS r, N AS p FROM a UNION ALL SELECT label, residue, 'CA', 1.7, CA FROM a UNION ALL SELECT label, residue, 'C', 1.7, C FROM a UNION ALL SELECT label, residue, 'CB', 1.7, CB FROM a WHERE aa <> 'G'),
+            m AS (SELECT u.label AS c1, u.residue AS r1, u.atom AS atom1, v.label AS c2, v.residue AS r2, v.atom AS atom2, u.r + v.r - 1.5 AS most, sqrt((8 * (u.p[1] - v.p[1])) ** 2 + (8 * (u.p[2] - v.p[2])) ** 2 + (8 * (u.p[3] - v.p[3])) ** 2) AS d
+              FROM p u JOIN p v ON (u.label < v.label OR (u.label = v.label AND v.residue - u.residue > 1)) AND abs(u.p[1] - v.p[1]) < 0.5)
+            SELECT c1, r1, atom1, c2, r2, atom2, round(d, 6) AS d FROM m WHERE d < most""",
+        "aligned_error": "WITH l AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), w AS (SELECT vec_id, list_transform(e, lambda x: exp(x - list_max(e))) AS w FROM l) SELECT vec_id, round(list_sum(list_transform(w, lambda x, i: x * (i - 0.5) * 31.0 / (len(w) - 1))) / list_sum(w), 6) AS error FROM w",
+        "predicted_tm": """WITH l AS (SELECT label, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, count(*) OVER (PARTITION BY label) AS n FROM embeddings), w AS (SELECT label, vec_id, 1.24 * (greatest(n, 19) - 15) ** (1.0 / 3) - 1.8 AS d0, list_transform(e, lambda x: exp(x - list_max(e))) AS w FROM l),
+            v AS (SELECT label, vec_id % 7 AS r, avg(list_sum(list_transform(w, lambda x, i: x / (1 + ((i - 0.5) * 31.0 / (len(w) - 1) / d0) ** 2))) / list_sum(w)) AS v FROM w GROUP BY 1, 2) SELECT label, round(max(v), 6) AS ptm FROM v GROUP BY label""",
+        "confident_chains": "SELECT vec_id, list_max(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 100)) > 50 AS confident FROM embeddings",
+        "template_features": f"""{_HITS}, k AS (SELECT chain_id, file_id, chain_ord, length(query) AS n, list_filter(range(0, aligned_cols), lambda i: substr(query, i + 1, 1) = substr(template, i + 1, 1)) AS places FROM h)
+            SELECT chain_id, file_id, CAST(chain_ord AS INTEGER) AS chain_ord, n, CAST(CASE WHEN len(places) < 5 THEN 0 ELSE len(places) END AS BIGINT) AS placed, round(CASE WHEN len(places) < 5 THEN 0 ELSE list_sum(places) * 1.5 END, 6) AS x FROM k""",
+        "own_templates": "SELECT chain_id, length(full_seq) AS n, CAST(0 AS BIGINT) AS off FROM chains WHERE length(full_seq) > 0",
+        "realigned_hits": f"{_HITS} SELECT chain_id, file_id, CAST(chain_ord AS INTEGER) AS chain_ord, len(list_filter(range(1, aligned_cols + 1), lambda i: substr(query, i, 1) = substr(template, i, 1))) >= 0.9 * aligned_cols AS same FROM h",
+        "search_inputs": "SELECT chain_id, CASE WHEN chain_type IS NOT NULL AND chain_id % 2 = 0 AND coalesce(greatest(length(full_seq) - list_sum(list_transform(regions, lambda r: length(r))), 0), 0) = 0 THEN 'alignment' ELSE 'query' END AS input FROM chains",
+        "weighted_template_scores": f"""{_HITS}, r AS (SELECT chain_id, regions FROM chains WHERE len(regions) = 7 AND chain_type = 'H'),
+            j AS (SELECT chain_id, file_id, chain_ord, query, template, repeat('1', length(regions[1])) || repeat('3', length(regions[2])) || repeat('1', length(regions[3])) || repeat('3', length(regions[4])) || repeat('0', length(regions[5]) + length(regions[6]) + length(regions[7])) AS w FROM h JOIN r USING (chain_id)),
+            n AS (SELECT *, least(length(query), length(template), length(w)) AS n FROM j)
+            SELECT chain_id, file_id, CAST(chain_ord AS INTEGER) AS chain_ord, round(list_sum(list_transform(range(1, n + 1), lambda i: CASE WHEN substr(query, i, 1) = substr(template, i, 1) THEN 1.0 ELSE -1.0 END * CAST(substr(w, i, 1) AS INTEGER))) / list_sum(list_transform(range(1, n + 1), lambda i: CAST(substr(w, i, 1) AS INTEGER))), 6) AS score FROM n""",
         "confidence": "WITH l AS (SELECT vec_id, list_transform(embedding[1:50], lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), w AS (SELECT vec_id, list_transform(e, lambda x: exp(x - list_max(e))) AS w FROM l) SELECT vec_id, round(100 * list_sum(list_transform(w, lambda x, i: x * (i - 0.5) / 50)) / list_sum(w), 6) AS confidence FROM w",
         "cosine_pairs": f"{_V} SELECT p.vec_id AS a, q.vec_id AS b, round(greatest(0, 1 - list_dot_product(p.n, q.n)), 6) AS distance FROM u p JOIN u q ON p.vec_id < q.vec_id WHERE 1 - list_dot_product(p.n, q.n) <= 0.6",
         "representatives": f"""{_V}, m AS (SELECT label, k, avg(x) AS x FROM (SELECT label, unnest(n) AS x, unnest(range(1, len(n) + 1)) AS k FROM u) GROUP BY ALL), c AS (SELECT label, list(x ORDER BY k) AS mean FROM m GROUP BY label),

@@ -56,3 +56,39 @@ def test_kmeans_features_keep_the_matrix_distances(spark):
     df = spark.createDataFrame([(i, (centres[i % 3] + rng.normal(size=6) * 0.2).tolist()) for i in range(90)], "k long, v array<double>")
     got = {r["k"]: r["label"] for r in clustering.kmeans_labels(df, "k", "v", 3).collect()}
     assert len({(i % 3, label) for i, label in got.items()}) == 3 == len(set(got.values()))
+
+
+def test_superposition_from_sums(spark):
+    from seqloom.operators import geometry
+
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for g in range(6):
+        a = rng.normal(size=(12, 3)) * 5
+        turn, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+        b = a @ turn + rng.normal(size=3) + rng.normal(size=(12, 3)) * 0.3  # half of the turns are mirrored
+        rows += [(g, *map(float, p), *map(float, q)) for p, q in zip(a, b)]
+        want[g] = (np.sqrt(((a - b) ** 2).sum(1).mean()), geometry.kabsch(a, b)[2])
+    df = spark.createDataFrame(rows, "g int, x1 double, y1 double, z1 double, x2 double, y2 double, z2 double")
+    got = {r["g"]: (r["rmsd"], r["aligned_rmsd"]) for r in geometry.superpose(df, ["g"]).collect()}
+    assert all(np.allclose(got[g], want[g]) for g in want) and len(got) == 6
+
+
+def test_few_atoms_and_empty_templates(spark):
+    from seqloom.operators import templates
+
+    queries = spark.createDataFrame([(1, 8), (2, 3)], "q_id int, length int")
+    mapping = spark.createDataFrame([(1, q, q + 1) for q in range(6)] + [(2, 0, 0)], "q_id int, q int, h int")
+    atoms = spark.createDataFrame([(i, h, "A", 1.0, 2.0, float(h)) for i in (1, 2) for h in range(9)], "q_id int, h int, letter string, x double, y double, z double")
+    placed = templates.place_template(mapping, atoms, queries, ["q_id"])
+    assert {r["q_id"]: r["reject_reason"] for r in placed.collect()} == {1: None, 2: "few_atoms"}
+    out = templates.templates_or_empty(placed, queries, ["q_id"]).collect()
+    assert sorted((r["q_id"], r["q"], r["letter"], r["mask"]) for r in out) == [(1, q, "A" if q < 6 else "-", int(q < 6)) for q in range(8)] + [(2, q, "-", 0) for q in range(3)]
+
+
+def test_deleted_blocks(spark):
+    df = spark.createDataFrame([("a", i) for i in range(200)], "g string, i int")
+    kept = sorted(r["i"] for r in sampling.delete_blocks(df, ["g"], "i", 0.1, 2).collect())
+    gone = sorted(set(range(200)) - set(kept))
+    assert 0 in kept and 20 <= len(gone) + 1 and len(gone) <= 40
+    assert sum(b - a > 1 for a, b in zip(gone, gone[1:])) <= 1  # two runs at most
