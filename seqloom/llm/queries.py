@@ -124,12 +124,39 @@ _SAID = r"""
       array_to_string(list_transform(regexp_extract_all(b, '\d+'), lambda x: CAST(CAST(x AS HUGEINT) AS VARCHAR)), ',') AS said FROM bare)"""
 
 
+_REL = """
+    WITH RECURSIVE m AS (SELECT row_id, msa_id, upper(seq) AS s FROM msa_rows WHERE msa_id IS NOT NULL AND seq IS NOT NULL),
+    c AS (SELECT msa_id, row_id, pos, substr(s, CAST(pos AS INTEGER), 1) AS l FROM m, LATERAL (SELECT unnest(range(1, length(s) + 1)) AS pos) WHERE regexp_matches(substr(s, CAST(pos AS INTEGER), 1), '[A-Z]')),
+    rel AS (SELECT x.row_id AS a, y.row_id AS b FROM c x JOIN c y ON x.msa_id = y.msa_id AND x.pos = y.pos AND x.row_id <> y.row_id GROUP BY 1, 2 HAVING 5 * sum((x.l = y.l)::INT) >= 3 * count(*))"""
+_SHINGLES = """
+    WITH t AS (SELECT 'chains' AS tbl, chain_id AS id, regexp_replace(upper(full_seq), '[^A-Z]', '', 'g') AS s FROM chains UNION ALL SELECT 'msa_rows', row_id, regexp_replace(upper(seq), '[^A-Z]', '', 'g') FROM msa_rows),
+    g AS (SELECT DISTINCT tbl, id, s, substr(s, CAST(i AS INTEGER), 5) AS w FROM t, LATERAL (SELECT unnest(range(1, length(s) - 3)) AS i) WHERE length(s) >= 5),
+    n AS (SELECT tbl, id, any_value(s) AS s, count(*) AS n FROM g GROUP BY tbl, id),
+    both_of AS (SELECT x.tbl, x.id AS id_a, y.id AS id_b, count(*) AS k FROM g x JOIN g y ON x.tbl = y.tbl AND x.w = y.w AND x.id < y.id GROUP BY ALL)"""
+
+
 def queries() -> dict:
     return {"p2_found": p2_found, "p2_row_groups": p2_row_groups, "p2_components": p2_components, "p2_groups": p2_groups, "p3_found": p3_found, "p3_subsets": p3_subsets, "p4_found": p4_found, "p4_ledger": p4_ledger, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix, "p8_found": p8_found, "p8_pages": p8_pages}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": _REL + """,
+            r AS (SELECT a, b FROM rel UNION SELECT r.a, rel.b FROM r JOIN rel ON r.b = rel.a WHERE r.a <> rel.b)
+            SELECT min(b) AS first_row_id, a AS row_id FROM r GROUP BY a HAVING min(b) < a""",
+        "p3_found": _REL + """ SELECT row_id FROM msa_rows JOIN subset_requests USING (msa_id) WHERE row_id NOT IN (SELECT a FROM rel)""",
+        "p5_found": _SHINGLES + """
+            SELECT k.tbl, id_a, id_b FROM both_of k JOIN n a ON a.tbl = k.tbl AND a.id = id_a JOIN n b ON b.tbl = k.tbl AND b.id = id_b WHERE a.s <> b.s AND 5 * k >= 3 * (a.n + b.n - k)""",
+        "p5_groups": _SHINGLES.replace("WITH t", "WITH RECURSIVE t", 1) + """,
+            k AS (SELECT tbl, id, CASE WHEN length(s) >= 5 THEN min(id) OVER (PARTITION BY tbl, s) ELSE id END AS class_id FROM t),
+            f AS (SELECT x.tbl, id_a, id_b FROM both_of x JOIN n a ON a.tbl = x.tbl AND a.id = id_a JOIN n b ON b.tbl = x.tbl AND b.id = id_b WHERE a.s <> b.s AND 5 * k >= 3 * (a.n + b.n - k)),
+            e AS (SELECT DISTINCT f.tbl, a.class_id AS u, b.class_id AS v FROM f JOIN k a ON a.tbl = f.tbl AND a.id = id_a JOIN k b ON b.tbl = f.tbl AND b.id = id_b), d AS (SELECT * FROM e UNION SELECT tbl, v, u FROM e),
+            r AS (SELECT tbl, u, v FROM d UNION SELECT r.tbl, r.u, d.v FROM r JOIN d ON r.tbl = d.tbl AND r.v = d.u),
+            l AS (SELECT tbl, u, count(*) AS n FROM d GROUP BY ALL), low AS (SELECT tbl, u, min(v) AS v FROM r GROUP BY ALL)
+            SELECT k.id, k.tbl, k.class_id, least(k.class_id, low.v) AS group_id, coalesce(l.n, 0) AS n_links FROM k LEFT JOIN l ON l.tbl = k.tbl AND l.u = k.class_id LEFT JOIN low ON low.tbl = k.tbl AND low.u = k.class_id""",
+        "p7_found": """
+            WITH s AS (SELECT lower(trim(regexp_replace(source, '\\s+', ' ', 'g'))) AS name, sum(len(regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}\\s]'))) AS n FROM documents GROUP BY 1)
+            SELECT t.source FROM mix_targets t LEFT JOIN s ON s.name = lower(trim(t.source)) WHERE coalesce(s.n, 0) * max_repeats < target_share * (SELECT sum(n) FROM s)""",
         "p4_found": _SAID + """
             SELECT f AS first_record_id, record_id FROM (SELECT record_id, min(record_id) OVER (PARTITION BY said) AS f FROM said) WHERE f <> record_id""",
         "p4_ledger": _SAID + """
