@@ -92,3 +92,13 @@ def test_deleted_blocks(spark):
     gone = sorted(set(range(200)) - set(kept))
     assert 0 in kept and 20 <= len(gone) + 1 and len(gone) <= 40
     assert sum(b - a > 1 for a, b in zip(gone, gone[1:])) <= 1  # two runs at most
+
+
+def test_protein_chains_and_knee(spark):
+    from seqloom.operators import assembly
+
+    monomers = spark.createDataFrame([("f", 1, "ALA"), ("f", 1, "DA"), ("f", 2, "DA"), ("g", 1, "ALA")], "file_id string, entity int, monomer string")
+    types = spark.createDataFrame([("f", "ALA", "L-PEPTIDE LINKING"), ("f", "DA", "DNA linking"), ("g", "ALA", "other")], "file_id string, monomer string, type string")
+    chains = spark.createDataFrame([("f", 1, "A"), ("f", 1, "B"), ("f", 2, "C"), ("g", 1, "A")], "file_id string, entity int, chain string")
+    assert {tuple(r) for r in assembly.protein_chains(monomers, types, chains).collect()} == {("f", "A"), ("f", "B")}
+    assert assembly.knee(np.r_[np.linspace(0, 0.1, 90), np.linspace(0.2, 1, 10)]) == 89 and assembly.knee(np.ones(4)) == 3
