@@ -135,12 +135,15 @@ def letter_block(text: Column) -> Column:
 
 
 def spreadsheet_id(number: Column) -> Column:
-    """1 is A, 27 is AA, 28 is BA: least significant letter first, up to four letters."""
-    letters, rest = F.lit(""), number
-    for _ in range(4):
-        letters = F.when(rest > 0, F.concat(letters, F.char(((rest - 1) % 26 + 65).cast("int")))).otherwise(letters)
-        rest = F.when(rest > 0, F.floor((rest - 1) / 26)).otherwise(0)
-    return letters
+    """1 is A, 27 is AA, 28 is BA: least significant letter first, as many as a 64-bit number needs."""
+    zero = F.struct(F.lit("").alias("text"), number.cast("long").alias("rest"))
+
+    def step(acc: Column, _: Column) -> Column:
+        more = acc["rest"] > 0
+        letter = F.char(((acc["rest"] - 1) % 26 + 65).cast("int"))
+        return F.struct(F.when(more, F.concat(acc["text"], letter)).otherwise(acc["text"]).alias("text"), F.when(more, F.floor((acc["rest"] - 1) / 26)).otherwise(F.lit(0).cast("long")).alias("rest"))
+
+    return F.when(number.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(14)), zero, step)["text"])
 
 
 # Fixed value: the form of an identifier that ends in a species code.

@@ -73,14 +73,24 @@ def index_array(seq: Column, start: Column | int) -> Column:
     return F.filter(number, lambda n: n.isNotNull())
 
 
+def _once(value: Column, of) -> Column:
+    """of(value) with value computed once, not again for each element of a lambda that uses it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def residue_mapping(query: Column, hit: Column, indices_query: Column, indices_hit: Column, full_query: Column) -> Column:
     """map<query position, hit position> of columns in which both have a residue, rebased to the first hit residue."""
-    low = F.array_min(F.filter(indices_hit, lambda i: i > -1))
     shift = F.instr(full_query, F.translate(query, "-", "")) - 1
-    first = F.array_min(F.filter(indices_query, lambda i: i > -1))
-    pairs = F.zip_with(indices_query, indices_hit, lambda q, h: F.struct((q - first + shift).cast("int").alias("q"), (h - low).cast("int").alias("h"), ((q > -1) & (h > -1)).alias("ok")))
-    fit = F.filter(pairs, lambda p: p["ok"] & (p["q"] < F.length(full_query)) & (p["h"] < F.length(F.translate(hit, "-", ""))))
-    return F.map_from_entries(F.transform(fit, lambda p: F.struct(p["q"], p["h"])))
+    arrays = F.struct(indices_query.alias("q"), indices_hit.alias("h"), shift.alias("shift"), F.length(full_query).alias("nq"), F.length(F.translate(hit, "-", "")).alias("nh"))
+    lowest = lambda a: F.array_min(F.filter(a, lambda i: i > -1))
+
+    def mapped(v: Column) -> Column:
+        pairs = F.zip_with(v["q"], v["h"], lambda q, h: F.struct((q - v["first"] + v["shift"]).cast("int").alias("q"), (h - v["low"]).cast("int").alias("h"), ((q > -1) & (h > -1)).alias("ok")))
+        fit = F.filter(pairs, lambda p: p["ok"] & (p["q"] < v["nq"]) & (p["h"] < v["nh"]))
+        return F.map_from_entries(F.transform(fit, lambda p: F.struct(p["q"], p["h"])))
+
+    with_ends = lambda v: F.struct(*[v[c].alias(c) for c in ("q", "h", "shift", "nq", "nh")], lowest(v["q"]).alias("first"), lowest(v["h"]).alias("low"))
+    return _once(_once(arrays, with_ends), mapped)
 
 
 def locate_chain(hits: DataFrame, chains: DataFrame, keys: Sequence[str]) -> DataFrame:
