@@ -53,10 +53,13 @@ def ranking_metric(h_cdr3: Column, h_cdr1: Column, h_cdr1_len: Column, everythin
 REGION_WEIGHTS = {"H": [0, 0, 1, 1, 1, 1, 3, 1, 0], "L": [0, 0, 1, 1, 1, 1, 1, 1, 0]}
 
 
-def region_weights(lengths: Column, chain_type: Column) -> Column:
-    """Weight of each position from region lengths (nine, FRONT to BACK); chains of other types weigh 0. Where a whole target
-    weighs 0, reorder_by_likeness takes all positions alike."""
-    table = F.when(chain_type == "H", F.array(*[F.lit(float(w)) for w in REGION_WEIGHTS["H"]])).when(chain_type == "L", F.array(*[F.lit(float(w)) for w in REGION_WEIGHTS["L"]])).otherwise(F.array(*[F.lit(0.0)] * 9))
+def region_weights(lengths: Column, chain_type: Column, others: float = 1.0) -> Column:
+    """Weight of each position from region lengths (nine, FRONT to BACK); chains of other types weigh ``others`` everywhere.
+
+    That is 1 for an alignment of one chain. Of several chains' weights, laid end to end, it must be 0: where a whole
+    target weighs 0, reorder_by_likeness takes all positions alike.
+    """
+    table = F.when(chain_type == "H", F.array(*[F.lit(float(w)) for w in REGION_WEIGHTS["H"]])).when(chain_type == "L", F.array(*[F.lit(float(w)) for w in REGION_WEIGHTS["L"]])).otherwise(F.array(*[F.lit(others)] * 9))
     return F.flatten(F.zip_with(lengths, table, lambda n, w: F.array_repeat(w, n.cast("int"))))
 
 

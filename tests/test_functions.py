@@ -62,6 +62,7 @@ def test_weights(spark):
     lens = F.array(*[F.lit(n) for n in (1, 0, 2, 0, 0, 0, 2, 0, 1)])
     assert one(spark, R.region_weights(lens, F.lit("H"))) == [0.0, 1.0, 1.0, 3.0, 3.0, 0.0]
     assert one(spark, R.region_weights(lens, F.lit("X"))) == [1.0] * 6
+    assert one(spark, R.region_weights(lens, F.lit("X"), 0.0)) == [0.0] * 6
 
 
 def test_index_and_mapping(spark):
