@@ -133,7 +133,7 @@ def quota_sample(got):
     m, want = _t("msa_rows").sort_values(["row_idx", "row_id"]), set()
     m["cluster"] = m.seq.str.upper().str.count("[AL]") % 5
     for msa, rows in m.groupby("msa_id"):
-        clusters = sorted((min(len(c), 512), c.row_idx.iloc[0] * 10**9 + c.row_id.iloc[0], k) for k, c in rows.groupby("cluster"))
+        clusters = sorted((min(len(c), 512), int(c.row_idx.iloc[0]) * 10**9 + int(c.row_id.iloc[0]), k) for k, c in rows.groupby("cluster"))
         taken = 0
         for i, (n, _, k) in enumerate(clusters):
             quota = min(n, (64 - taken) // (len(clusters) - i))
