@@ -32,6 +32,24 @@ def alignment_features(codes: Column, deletions: Column, n: int = 23) -> Column:
     return F.zip_with(one_hot(codes, n), extra, lambda hot, x: F.concat(F.transform(hot, lambda i: i.cast("double")), F.array(x["h"].cast("double"), x["v"])))
 
 
+def profile_arrays(rows: DataFrame, msa: str = "msa_id", seq: str = "seq", deletions: str = "deletions", n: int = 23) -> DataFrame:
+    """(msa, profile, deletion_mean): for each column of an alignment the shares of n residue codes among its rows and the
+    mean deletion (rows without deletions count as none there). Counted by column and code before anything is gathered."""
+    size = rows.groupBy(msa).agg(F.count(F.lit(1)).alias("__rows"), F.sum(F.col(deletions).isNotNull().cast("int")).alias("__known"))
+    cell = F.posexplode(F.arrays_zip(residue_codes(F.col(seq)).alias("c"), F.coalesce(F.col(deletions), F.array().cast("array<int>")).alias("d"))).alias("pos", "x")
+    counts = rows.select(msa, cell).groupBy(msa, "pos", F.col("x.c").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("x.d"), F.lit(0)).alias("d"))
+    column = counts.groupBy(msa, "pos").agg(F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("held"), F.sum("d").alias("d"))  # at most n codes
+    shares = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.try_element_at("held", k), F.lit(0)) / (F.col("__rows") + 1e-6))
+    line = column.join(size, msa).select(msa, F.struct("pos", shares.alias("p"), F.when(F.col("__known") > 0, F.col("d") / F.col("__known")).otherwise(0.0).alias("m")).alias("s"))
+    held = line.groupBy(msa).agg(F.array_sort(F.collect_list("s")).alias("line"))  # one entry for each column
+    return held.select(msa, F.transform("line", lambda x: x["p"]).alias("profile"), F.transform("line", lambda x: x["m"]).alias("deletion_mean"))
+
+
+def full_alignment_features(own: Column, profile: Column, deletion_mean: Column) -> Column:
+    """alignment_features with the column's profile and its mean deletion: 49 channels for each column."""
+    return F.zip_with(F.zip_with(own, profile, lambda a, b: F.concat(a, b)), deletion_value(deletion_mean), lambda a, m: F.concat(a, F.array(m)))
+
+
 def argmax(array: Column) -> Column:
     return F.array_position(array, F.array_max(array)) - 1
 

@@ -296,6 +296,16 @@ def alignment_features(spark, d):
     return m.select("row_id", F.size(f).cast("long").alias("n"), F.round(F.aggregate(F.transform(f, lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)), F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
+def full_features(spark, d):
+    """Channels of each row's columns with profile and mean deletion: their number and their sums."""
+    m = rows(spark, d)
+    j = m.filter("deletions is not null").join(X.profile_arrays(m), "msa_id")
+    f = X.full_alignment_features(X.alignment_features(C.residue_codes(F.col("seq")), F.col("deletions")), F.col("profile"), F.col("deletion_mean"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    j = j.select("row_id", f.alias("f"))
+    return j.select("row_id", F.size("f").cast("long").alias("n"), F.size(F.get("f", F.lit(0))).cast("long").alias("channels"), F.round(total(F.transform("f", lambda v: total(F.slice(v, 1, 25)))), 5).alias("own"), F.round(total(F.transform("f", lambda v: total(F.slice(v, 26, 23)))), 5).alias("profile"), F.round(total(F.transform("f", lambda v: F.get(v, F.lit(48)))), 5).alias("mean"))
+
+
 def mask_ends(spark, d):
     return rows(spark, d).select("row_id", X.mask_ends(F.col("seq"), F.lit(10), F.lit(12)).alias("seq"))
 
@@ -346,7 +356,7 @@ def seqres_lines(spark, d):
 
 
 _NAMES = [
-    "sequence_features", "alignment_features", "mask_ends", "slice_part", "merge_homomers", "stack_blocks", "missing_rows", "random_unknown",
+    "sequence_features", "alignment_features", "full_features", "mask_ends", "slice_part", "merge_homomers", "stack_blocks", "missing_rows", "random_unknown",
     "contiguous_crop", "ensemble", "chain_names", "is_homomer", "seqres_lines",
     "dedup_first_wins", "drop_query_gaps", "pad_to_full", "merge_parts", "block_diagonal", "block_crop", "gap_islands", "gap_columns", "anti_join_paired",
     "paired_rows", "species_pairs", "pair_order", "paired_sequences", "append_blocks", "gap_concatenation", "diagonal_masks", "chain_counts",
@@ -389,6 +399,10 @@ def oracle_sql() -> dict[str, str]:
         "sequence_features": f"""{_C} k AS (SELECT chain_id, length(s) AS n, list_sum(list_transform(split(translate(s, 'BJOUZ', 'DXXCE'), ''), lambda c: {code})) AS a FROM c)
             SELECT chain_id, n, n * (n - 1) // 2 AS index_sum, CAST(a AS BIGINT) AS aa_sum, CAST(a AS BIGINT) AS hot_sum, CAST(n AS DOUBLE) AS mask_sum, CAST(ceil(n / 50) * 50 AS BIGINT) AS padded FROM k""",
         "alignment_features": f"{_M} SELECT row_id, length(seq) AS n, round(length(seq) + list_sum(list_transform(deletions, lambda x: least(greatest(x, 0), 1) + atan(x / 3.0) * 2 / pi())), 5) AS total FROM m WHERE deletions IS NOT NULL",
+        "full_features": f"""{_M}, z AS (SELECT msa_id, count(*) AS n FROM m GROUP BY msa_id), dm AS (SELECT msa_id, pos, avg(d) AS a FROM (SELECT msa_id, unnest(deletions) AS d, unnest(range(1, len(deletions) + 1)) AS pos FROM m WHERE deletions IS NOT NULL) GROUP BY ALL),
+            dv AS (SELECT msa_id, sum(atan(a / 3.0) * 2 / pi()) AS mean FROM dm GROUP BY msa_id)
+            SELECT row_id, length(seq) AS n, 49 AS channels, round(length(seq) + list_sum(list_transform(deletions, lambda x: least(greatest(x, 0), 1) + atan(x / 3.0) * 2 / pi())), 5) AS own, round(length(seq) * z.n / (z.n + 1e-6), 5) AS profile, round(mean, 5) AS mean
+            FROM m JOIN z USING (msa_id) JOIN dv USING (msa_id) WHERE deletions IS NOT NULL""",
         "mask_ends": f"{_M} SELECT row_id, repeat('-', 10) || substr(seq, 11, length(seq) - 22) || repeat('-', 12) AS seq FROM m",
         "slice_part": f"{_M}, q AS (SELECT msa_id, min(strpos(seq, substr(seq, 21, 30))) AS pre FROM m WHERE row_idx = 0 GROUP BY msa_id) SELECT row_id, substr(seq, CAST(pre AS INTEGER), 30) AS seq FROM m JOIN q USING (msa_id)",
         "merge_homomers": f"{_M}, b AS (SELECT 'p' || (CAST(substr(msa_id, 2, 8) AS INTEGER) // 2) AS target_id, CAST(substr(msa_id, 2, 8) AS INTEGER) % 2 AS c, row_idx, seq FROM m QUALIFY row_number() OVER (PARTITION BY msa_id, row_idx ORDER BY row_id) = 1) SELECT target_id, row_idx, string_agg(seq, '' ORDER BY c) AS seq FROM b GROUP BY ALL",
