@@ -54,3 +54,9 @@ def test_close_cdr3_of_odd_texts(spark, tmp_path):
     want = sorted((q, i) for q, i, a, b in _pairs() if _bits(a, b) <= int(len(a) * 1.6))
     assert sorted((r["query_id"], r["row_ord"]) for r in df.collect()) == want
     assert _in_numbers_alone(df)
+
+
+def test_popcount_hamming_of_odd_texts(spark, tmp_path):
+    df = plan.popcount_hamming(spark, _folder(spark, tmp_path, CDR3S))
+    assert sorted(tuple(r) for r in df.collect()) == sorted((q, i, _bits(a, b)) for q, i, a, b in _pairs())
+    assert _in_numbers_alone(df)
