@@ -60,3 +60,10 @@ def test_popcount_hamming_of_odd_texts(spark, tmp_path):
     df = plan.popcount_hamming(spark, _folder(spark, tmp_path, CDR3S))
     assert sorted(tuple(r) for r in df.collect()) == sorted((q, i, _bits(a, b)) for q, i, a, b in _pairs())
     assert _in_numbers_alone(df)
+
+
+def test_weighted_hamming_of_odd_texts(spark, tmp_path):
+    df = plan.weighted_hamming(spark, _folder(spark, tmp_path, CDR3S))
+    differ = lambda a, b: [k for k, (x, y) in enumerate(zip(a, b), 1) if x != y]
+    assert sorted(tuple(r) for r in df.collect()) == sorted((q, i, len(differ(a, b)), sum(differ(a, b)) / 2) for q, i, a, b in _pairs())
+    assert _in_numbers_alone(df)
