@@ -128,10 +128,11 @@ def region_index(spark, d):
 
 
 def alignment_index(spark, d):
-    """Texts laid end to end and read again by their byte ranges."""
+    """Texts laid end to end, a file in parts of about 1 MB, and read again by their byte ranges."""
     r = _records(spark, d).select(F.col("source_file").alias("db"), "name", F.col("seq").alias("value"))
     index = Q.build_index(r)
-    blobs = r.groupBy("db").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "value"))), lambda x: x["value"]), "").cast("binary").alias("content"))
+    laid = r.join(index.select("db", "name", "start"), ["db", "name"]).groupBy("db", F.floor(F.col("start") / (1 << 20)).alias("part"))
+    blobs = laid.agg(F.min("start").alias("at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "value"))), lambda x: x["value"]), "").cast("binary").alias("content"))
     return Q.read_range(blobs, index).select("db", "name", "value")
 
 

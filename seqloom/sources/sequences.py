@@ -204,9 +204,35 @@ def build_index(files: DataFrame) -> DataFrame:
     return files.withColumn("size", F.octet_length("value").cast("long")).select("db", "name", F.coalesce(F.sum("size").over(w), F.lit(0)).alias("start"), "size")
 
 
-def read_range(blobs: DataFrame, index: DataFrame) -> DataFrame:
-    """(db, name, value): the bytes of each index entry. blobs: db, content."""
-    return index.join(blobs, "db").select("db", "name", F.decode(F.substring(F.col("content"), (F.col("start") + 1).cast("int"), F.col("size").cast("int")), "UTF-8").alias("value"))
+def read_range(blobs: DataFrame, index: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """(db, name, value): the bytes of each index entry. blobs: db, content and, where a file comes in several parts, ``at``, the
+    offset of the part.
+
+    Contents are cut into blocks once and an entry meets only the blocks that its range touches, so no row carries a file.
+    """
+    parts = blobs if "at" in blobs.columns else blobs.withColumn("at", F.lit(0))
+    parts = parts.select("db", F.col("at").cast("long").alias("at"), "content").filter(F.octet_length("content") > 0)
+    first = lambda x: F.floor(x / block).cast("long")
+    end = F.col("at") + F.octet_length("content")
+
+    def piece(k: Column) -> Column:
+        begin = F.greatest(F.col("at"), k * block)
+        cut = F.substring(F.col("content"), (begin - F.col("at") + 1).cast("int"), (F.least(end, (k + 1) * block) - begin).cast("int"))
+        return F.struct(k.alias("block"), begin.alias("begin"), cut.alias("bytes"))
+
+    pieces = parts.select("db", F.explode(F.transform(F.sequence(first(F.col("at")), first(end - 1)), piece)).alias("p")).select("db", "p.*")
+    entry = ["db", "name", "start", "size"]
+    asked = index.select(*entry).join(blobs.select("db").distinct(), "db")
+    asked = asked.withColumn("block", F.explode(F.sequence(first(F.col("start")), first(F.col("start") + F.greatest(F.col("size"), F.lit(1)) - 1))))
+    last = F.col("start") + F.col("size")
+    met = asked.alias("i").join(pieces.alias("p"), (F.col("i.db") == F.col("p.db")) & (F.col("i.block") == F.col("p.block")) & (F.col("begin") < last) & (F.col("begin") + F.octet_length("bytes") > F.col("start")), "left")
+    low = F.greatest(F.col("start"), F.col("begin"))
+    own = F.substring(F.col("bytes"), (low - F.col("begin") + 1).cast("int"), F.greatest(F.least(last, F.col("begin") + F.octet_length("bytes")) - low, F.lit(0)).cast("int"))
+    met = met.select(*[F.col(f"i.{c}").alias(c) for c in (*entry, "block")], "begin", own.alias("own"))
+    held = met.groupBy(*entry).agg(F.collect_set(F.struct("block", "begin", "own")).alias("parts"), F.count(F.lit(1)).alias("n"))
+    value = F.aggregate(F.array_sort("parts"), F.lit(b"").cast("binary"), lambda a, x: F.concat(a, F.coalesce(x["own"], F.lit(b"").cast("binary"))))
+    held = held.select("db", "name", F.decode(value, "UTF-8").alias("value"), F.explode(F.sequence(F.lit(1), (F.col("n") / F.size("parts")).cast("int"))))  # entries that repeat
+    return held.select("db", "name", "value")
 
 
 def read_file_ranges(index: DataFrame, folder: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import columns as C
 from seqloom.plans import search as plan
+from seqloom.sources import sequences as S
 
 
 def test_packed_distances_equal_those_of_characters(spark):
@@ -67,3 +68,12 @@ def test_weighted_hamming_of_odd_texts(spark, tmp_path):
     differ = lambda a, b: [k for k, (x, y) in enumerate(zip(a, b), 1) if x != y]
     assert sorted(tuple(r) for r in df.collect()) == sorted((q, i, len(differ(a, b)), sum(differ(a, b)) / 2) for q, i, a, b in _pairs())
     assert _in_numbers_alone(df)
+
+
+def test_ranges_of_files_in_parts(spark):
+    """Ranges over the edges of blocks and parts, of no bytes, beyond the end, twice, and of an unknown file."""
+    text = "".join(chr(97 + i % 26) for i in range(1000)).encode()
+    blobs = spark.createDataFrame([("d", 0, bytearray(text[:333])), ("d", 333, bytearray(text[333:])), ("e", 0, bytearray(b""))], "db string, at long, content binary")
+    asked = [("d", "a", 0, 1000), ("d", "b", 300, 100), ("d", "c", 128, 64), ("d", "z", 64, 0), ("d", "y", 1000, 0), ("d", "x", 990, 50), ("d", "w", 2000, 300), ("d", "t", 5, 9), ("d", "t", 5, 9), ("e", "v", 0, 4), ("f", "u", 0, 4)]
+    got = S.read_range(blobs, spark.createDataFrame(asked, "db string, name string, start long, size long"), block=64)
+    assert sorted((r["name"], r["value"]) for r in got.collect()) == sorted((n, text[s : s + k].decode() if db == "d" else "") for db, n, s, k in asked if db != "f")
