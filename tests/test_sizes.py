@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from seqloom.functions import columns as C
+from seqloom.operators import search as operators
 from seqloom.plans import search as plan
 from seqloom.sources import sequences as S
 
@@ -77,3 +78,31 @@ def test_ranges_of_files_in_parts(spark):
     asked = [("d", "a", 0, 1000), ("d", "b", 300, 100), ("d", "c", 128, 64), ("d", "z", 64, 0), ("d", "y", 1000, 0), ("d", "x", 990, 50), ("d", "w", 2000, 300), ("d", "t", 5, 9), ("d", "t", 5, 9), ("e", "v", 0, 4), ("f", "u", 0, 4)]
     got = S.read_range(blobs, spark.createDataFrame(asked, "db string, name string, start long, size long"), block=64)
     assert sorted((r["name"], r["value"]) for r in got.collect()) == sorted((n, text[s : s + k].decode() if db == "d" else "") for db, n, s, k in asked if db != "f")
+
+
+def test_listed_buckets_are_the_reachable_ones_of_the_choice(spark):
+    """The same ranks as of the whole choice, up to the bucket with which plain ones are enough, and no further."""
+    rng = random.Random(6)
+    catalog, size = [], []
+    for b in range(300):
+        n = rng.choice([0, 1, 3, 8, 90])
+        catalog.append((f"p{b}", rng.choice("HL"), rng.randrange(5, 8), rng.choice([5, 6, None]), rng.choice([6, 7, 12]), rng.choice([None, n, 5 * n, 40 * n]), b))
+        size += [(f"p{b}", n)] * (n > 0)
+    catalog = spark.createDataFrame(catalog, "path string, chain_type string, cdr1_len int, cdr2_len int, cdr3_len int, seq_count long, ord int")
+    asked = [(i, kind, c1, c2, c3) for i, (kind, c1, c2, c3) in enumerate((k, a, b, c) for k in "HL" for a in (5, 9) for b in (5, 6) for c in (6, 7, 9, 12))]
+    queries = spark.createDataFrame(asked, "query_id long, chain_type string, c1 int, c2 int, c3 int")
+    held, wanted, whole = dict(size), set(), {}
+    for r in operators.choose_buckets_all(catalog, queries).collect():
+        whole.setdefault(r["query_id"], []).append(r)
+    for q, kind, c1, c2, c3 in asked:
+        plain = 0
+        for r in sorted(whole.get(q, []), key=lambda r: r["rank"]):
+            n, least = held.get(r["path"], 0), 40 if c3 == 12 else 8
+            sharp = r["cdr3_len"] == c3 and n >= 10 * least
+            if plain < least and n:
+                wanted.add((kind, c1, c2, c3, r["path"], r["rank"], n, sharp))
+            plain += 0 if sharp else n
+    least = lambda c: F.when(c > 10, 40).otherwise(8)
+    got = operators._listed_buckets(catalog, spark.createDataFrame(size, "path string, n long"), queries.drop("query_id"), least)
+    got = {tuple(r) for r in got.select("chain_type", "c1", "c2", "c3", "path", "rank", "n", "sharp").collect()}
+    assert got == wanted and any(r[-1] for r in got) and len(got) < sum(map(len, whole.values())) / 3
