@@ -106,3 +106,18 @@ def test_listed_buckets_are_the_reachable_ones_of_the_choice(spark):
     got = operators._listed_buckets(catalog, spark.createDataFrame(size, "path string, n long"), queries.drop("query_id"), least)
     got = {tuple(r) for r in got.select("chain_type", "c1", "c2", "c3", "path", "rank", "n", "sharp").collect()}
     assert got == wanted and any(r[-1] for r in got) and len(got) < sum(map(len, whole.values())) / 3
+
+
+def test_distances_of_a_length_in_several_pieces(spark, monkeypatch):
+    """More queries and rows than go at once, mixed with letters beyond ASCII, long texts and a null row_ord: every pair once."""
+    monkeypatch.setattr(operators, "_PAIRS_AT_ONCE", 12)
+    monkeypatch.setattr(operators, "_ROWS_AT_ONCE", 5)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ACDÄ日😀" if k % 3 == 0 else "ACDEFGHIK") for _ in range(n)) for n in (1, 8, 9, 17, 40) for k in range(30)]
+    store = spark.createDataFrame([*enumerate(texts), (None, "ACDEFGHI")], "row_ord long, text string")
+    queries = spark.createDataFrame([(20 * i, x) for i, x in enumerate(texts) if i % 2], "query_id long, text string")
+    pairs = [(20 * j, i, x, y) for i, x in [*enumerate(texts), (None, "ACDEFGHI")] for j, y in enumerate(texts) if j % 2 and len(x) == len(y)]
+    key = lambda r: (r[0], -1 if r[1] is None else r[1])
+    got = operators.place_distances(store, queries, 3).collect()
+    differ = lambda a, b: [k for k, (x, y) in enumerate(zip(a, b), 1) if x != y]
+    assert sorted(map(tuple, got), key=key) == sorted(((q, i, len(differ(x, y)), sum(differ(x, y)) / 2) for q, i, x, y in pairs), key=key)
