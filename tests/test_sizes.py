@@ -64,6 +64,40 @@ def test_popcount_hamming_of_odd_texts(spark, tmp_path):
     assert _in_numbers_alone(df)
 
 
+def test_letters_in_few_numbers_equal_those_of_characters(spark):
+    rng = random.Random(5)
+    block = [chr(i) for i in range(64, 96)]
+    texts = [("".join(block), "".join(block[::-1]))] + [tuple("".join(rng.choice(block) for _ in range(n)) for _ in range(2)) for n in range(1, 37) for _ in range(5)]
+    df = spark.createDataFrame(texts, "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    got = df.filter(C.fits_letters(a) & C.fits_letters(b)).select("a", "b", C.packed_popcount(C.packed_letters(a), C.packed_letters(b))).collect()
+    assert len(got) == len(texts) and all(r[2] == _bits(r[0], r[1]) for r in got)
+    for odd in ["A" * 37, "Aa", "A ", "A-", "A*", "AÄ", None]:
+        assert not spark.range(1).select(C.fits_letters(F.lit(odd).cast("string"))).first()[0]
+
+
+def test_pairs_of_letters_are_one_join_without_nulls(spark, tmp_path):
+    """The usual CDR3s leave one join, of even tasks, and no column that a writer would keep levels for."""
+    cdr3s = ["ACD", "ACE", "A" * 36, "", None] + ["CARDY"] * 400
+    df = plan.popcount_hamming(spark, _folder(spark, tmp_path, cdr3s))
+    assert not any(field.nullable for field in df.schema)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    rows = df.groupBy(F.spark_partition_id()).count().collect()
+    assert len(rows) > 90 and max(r["count"] for r in rows) < 5 * 405 * 400 / 96
+    assert sum(r["count"] for r in rows) == 400 * 400 + 4 + 1
+
+
+def test_pairs_of_rows_without_row_ord(spark, tmp_path):
+    folder = _folder(spark, tmp_path, CDR3S)
+    rows = [(None, "ACF"), (None, "日CE"), (7, "ACF")]
+    spark.createDataFrame(rows, "row_ord long, cdr3 string").write.mode("append").parquet(f"{folder}/bucket_store.parquet")
+    want = _pairs() + [(20 * (j + 1), i, a, b) for i, a in rows for j, b in enumerate(CDR3S) if b and len(a) == len(b)]
+    key = lambda r: (r[0], -1 if r[1] is None else r[1], r[2])
+    assert sorted(map(tuple, plan.popcount_hamming(spark, folder).collect()), key=key) == sorted(((q, i, _bits(a, b)) for q, i, a, b in want), key=key)
+    near = [(q, i, a) for q, i, a, b in want if _bits(a, b) <= int(len(a) * 1.6)]
+    assert sorted(map(tuple, plan.close_cdr3(spark, folder).collect()), key=key) == sorted(near, key=key)
+
+
 def test_weighted_hamming_of_odd_texts(spark, tmp_path):
     df = plan.weighted_hamming(spark, _folder(spark, tmp_path, CDR3S))
     differ = lambda a, b: [k for k, (x, y) in enumerate(zip(a, b), 1) if x != y]
